@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .linededup import line_dedup
 from .quality import quality_scores
 from .runtime import read_table
@@ -23,6 +24,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -32,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
     }
 
@@ -39,10 +49,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: White space of ``[\x20\x09-\x0D]`` as DuckDB text.
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = "regexp_extract_all(" + _LOWER.format("coalesce({}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_benchmark_decontamination": f"""
+WITH docs AS (SELECT doc_id, {_ALNUM.format("text")} AS w FROM documents),
+bench AS (SELECT item_id, {_ALNUM.format("text")} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
+  FROM bench, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i) WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT size FROM wins),
+places AS (
+  SELECT doc_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win
+  FROM docs, sizes, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)
+),
+found AS (SELECT DISTINCT p.doc_id, p.i, p.size, b.item_id FROM places p JOIN wins b ON p.size = b.size AND p.win = b.win),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id
+),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
         "op9_line_dedup": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
