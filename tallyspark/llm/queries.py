@@ -12,6 +12,7 @@ from .linededup import line_dedup
 from .quality import quality_scores
 from .runtime import read_table
 from .simhash import near_duplicates
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +38,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+    scored = score_toxicity(docs, fit_toxicity(docs, labels.where(~held_out))).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
