@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     a component of one node, edges with a null end are ignored, and an empty
     edge table gives an empty result.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    both = durable(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
     nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
     live = durable(both.where("a <> b").distinct())
     labels = nodes.select("node", F.col("node").alias("root"))

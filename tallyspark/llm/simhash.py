@@ -28,7 +28,7 @@ from .runtime import durable, parallelism
 BITS = 64
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 #: Node pairs that are expanded together.
-_FRONTIER = 1 << 19
+_FRONTIER = 1 << 15
 _BRUTE = 24
 
 
