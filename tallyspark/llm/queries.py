@@ -13,6 +13,10 @@ from .quality import quality_scores
 from .runtime import read_table
 from .simhash import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
+from .urlrules import judge_urls
+
+#: (verdict, host, path start) of the URL query.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +37,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -50,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_url_filters": op7_url_filters,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
