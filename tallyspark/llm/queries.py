@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,27 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .linededup import line_dedup
 from .quality import quality_scores
-from .runtime import read_table
+from .runtime import durable, read_table, shared_dir
 from .simhash import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
 from .urlrules import judge_urls
+from .warc import read_warc, remove_folder, write_warc
 
 #: (verdict, host, path start) of the URL query.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    write_warc(read_table(spark, sf_dir, "pages"), folder).write.format("noop").mode("overwrite").save()
+    records = durable(read_warc(spark, folder, payloads=False).drop("payload").where("kind = 'record'"))
+    remove_folder(spark, folder)
+    number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("long"))
+    return records.select(number("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
