@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .linededup import line_dedup
+from .packing import pack_documents
 from .quality import quality_scores
 from .runtime import durable, read_table, shared_dir
 from .simhash import near_duplicates
@@ -32,6 +33,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; it belongs to the box, not to this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -70,6 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
+        "op3_packing": op3_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
