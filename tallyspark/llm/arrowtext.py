@@ -135,7 +135,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 
 def combine(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:
     """Order-sensitive 64-bit hash of parallel arrays of hashes."""
-    h = np.full(len(parts[0]), np.uint64(seed) * _M1 + np.uint64(len(parts)), np.uint64)
+    h = np.full(len(parts[0]), (seed * 0x9E3779B97F4A7C15 + len(parts)) & (1 << 64) - 1, np.uint64)
     for p in parts:
         h = mix(h * np.uint64(5) + p + _M1)
     return h

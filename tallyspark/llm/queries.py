@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality import quality_scores
 from .runtime import durable, read_table, shared_dir
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .urlrules import judge_urls
 from .warc import read_warc, remove_folder, write_warc
@@ -68,6 +69,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_url_filters": op7_url_filters,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
@@ -125,6 +132,19 @@ items AS (
 SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+        "op8_substring_dedup": f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS win
+  FROM docs, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)
+),
+twice AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS place FROM wins SEMI JOIN twice USING (win)),
+words AS (SELECT doc_id, place, w[place] AS word FROM docs, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS place)),
+left_over AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id)
 """,
         "op9_line_dedup": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
