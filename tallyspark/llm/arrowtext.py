@@ -240,3 +240,28 @@ def xxh64_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     for k in np.flatnonzero(length > LONG_SPAN):
         h[k] = xxhash.xxh64_intdigest(buf[starts[k] : ends[k]].tobytes(), seed)
     return h
+
+
+class Lookup:
+    """Places of distinct 64-bit keys in the given order: one table access for most, a bisection where keys share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.order]
+        bits = int(np.clip(np.ceil(np.log2(8 * len(keys) + 1)), 10, 23))
+        self.shift = np.uint64(64 - bits)
+        slot = (mix(self.keys) >> self.shift).astype(np.int64)
+        self.table = np.full(1 << bits, -1, np.int32)
+        self.table[slot] = np.arange(len(slot))
+        self.table[slot[np.bincount(slot, minlength=1 << bits)[slot] > 1]] = -2
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for others."""
+        got = self.table[(mix(keys) >> self.shift).astype(np.int64)]
+        many = np.flatnonzero(got == -2)
+        if len(many):
+            got[many] = np.minimum(np.searchsorted(self.keys, keys[many]), len(self.keys) - 1)
+        some = np.flatnonzero(got >= 0)
+        place = got[some]
+        got[some] = np.where(self.keys[place] == keys[some], self.order[place], -1)
+        return got

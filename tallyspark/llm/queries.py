@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .linededup import line_dedup
+from .lmscore import score_documents
 from .packing import pack_documents
 from .quality import quality_scores
 from .runtime import durable, read_table, shared_dir
@@ -23,6 +24,14 @@ from .warc import read_warc, remove_folder, write_warc
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+def _crc(spark_column: str):
+    return F.crc32(F.encode(F.coalesce(F.col(spark_column).cast("string"), F.lit("")), "UTF-8"))
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), _crc("doc_id") % 7 == 2).withColumnRenamed("id", "doc_id")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -81,13 +90,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+    held_out = _crc("doc_id") % 5 == 0
     scored = score_toxicity(docs, fit_toxicity(docs, labels.where(~held_out))).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_warc": op2_warc,
         "op3_packing": op3_packing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
