@@ -110,7 +110,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     if redirects is not None:
         known = with_node(with_node(redirects.select(F.col("src").alias("s"), F.col("dst").alias("d")), "s", "src"), "d", "dst")
         edges = edges.union(_proper(known))
-    parts = connected_components(edges, "src", "dst")
+    parts = connected_components(edges, "src", "dst", finish_edges=0)
     decided = parts.select("root", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path"))
     decided = decided.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     verdicts = decided.groupBy("root").agg(F.max(F.col("best.allow")).alias("allowed"))  # null: no rule; false: only blocks
