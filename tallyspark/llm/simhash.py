@@ -216,3 +216,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(smallest, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of ``near_duplicates``, the one with the smallest id, with its columns; of rows that repeat that id any one."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    kept = durable(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")))
+    ids = kept.groupBy("_kept").count()
+    rest = docs.join(ids.select("_kept"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return rest if ids.where("count > 1").isEmpty() else rest.dropDuplicates([id_col])
