@@ -155,6 +155,7 @@ def initial_parameters(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.n
     own[:m] = vocabulary.counts[:m]
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     bias = np.log(own.reshape(CLASSES, CLASS_SIZE) + 0.5)
+    bias -= bias.max(axis=1, keepdims=True)
     bias.reshape(-1)[m:] = -1e9  # places without a word
     if m < VOCAB:
         empty = np.flatnonzero(np.arange(CLASSES) * CLASS_SIZE >= m)
@@ -167,7 +168,7 @@ def initial_parameters(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
 def forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray):
@@ -191,20 +192,23 @@ def forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray):
 
 
 def _softmax_parts(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (top + np.log(s))[:, 0]
+    """Exponentials, in place of the logits, and their sums by row."""
+    # logits stay far below the limit of float32's exponential, so no row maximum is taken off
+    e = np.exp(np.minimum(logits, np.float32(60)), out=logits)
+    s = e @ np.ones(e.shape[1], np.float32)
+    return e, s
 
 
 def outputs(p: dict, states: np.ndarray, classes: np.ndarray, slots: np.ndarray, grads: dict | None = None):
     """Natural log probability of each token's class and of its slot there (-1: no slot); with ``grads`` also the gradient by the states."""
     logits = states @ p["class_w"] + p["class_b"]
-    prob, norm = _softmax_parts(logits)
     rows = np.arange(len(states))
-    logp = logits[rows, classes] - norm
+    logp = logits[rows, classes]
+    prob, total = _softmax_parts(logits)
+    logp -= np.log(total)
     back = None
     if grads is not None:
+        prob *= (1 / total)[:, None]
         prob[rows, classes] -= 1
         grads["class_w"], grads["class_b"] = states.T @ prob, prob.sum(axis=0)
         back = prob @ p["class_w"].T
@@ -218,11 +222,13 @@ def outputs(p: dict, states: np.ndarray, classes: np.ndarray, slots: np.ndarray,
             continue
         s, w = states[at], p["word_w"][c]
         logits = s @ w + p["word_b"][c]
-        prob, norm = _softmax_parts(logits)
-        k = np.arange(len(at))
-        logp[at] += logits[k, slots[at]] - norm
+        k, slot = np.arange(len(at)), slots[at]
+        picked = logits[k, slot]
+        prob, total = _softmax_parts(logits)
+        logp[at] += picked - np.log(total)
         if grads is not None:
-            prob[k, slots[at]] -= 1
+            prob *= (1 / total)[:, None]
+            prob[k, slot] -= 1
             grads["word_w"][c], grads["word_b"][c] = s.T @ prob, prob.sum(axis=0)
             back[at] += prob @ w.T
     return logp, back
@@ -234,21 +240,24 @@ def backward(p: dict, inputs, fresh, states, prior, gates, back, grads: dict) ->
     u_zr, u_n = p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN :]
     dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
     carry = np.zeros((lanes, HIDDEN), np.float32)
-    d_state = np.zeros_like(p["state"])
+    back_zr, back_n = np.ascontiguousarray(u_zr.T), np.ascontiguousarray(u_n.T)
+    any_fresh = fresh.any(axis=1)
     for t in range(steps - 1, -1, -1):
         z, r, n, h = gates[t, :, :HIDDEN], gates[t, :, HIDDEN : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :], prior[t]
         dh = back[t] + carry
         dn = dh * z * (1 - n * n)
-        drh = dn @ u_n.T
-        dzr = np.concatenate([dh * (n - h) * z * (1 - z), drh * h * r * (1 - r)], axis=1)
-        dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dzr, dn
-        d_state[:, : 2 * HIDDEN] += h.T @ dzr
-        d_state[:, 2 * HIDDEN :] += (r * h).T @ dn
-        carry = dh * (1 - z) + drh * r + dzr @ u_zr.T
-        carry = np.where(fresh[t][:, None], np.float32(0), carry)
-    grads["state"] = d_state
+        drh = dn @ back_n
+        dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dh * (n - h) * z * (1 - z), drh * h * r * (1 - r), dn
+        carry = dh * (1 - z) + drh * r + dx[t, :, : 2 * HIDDEN] @ back_zr
+        if any_fresh[t]:
+            carry = np.where(fresh[t][:, None], np.float32(0), carry)
+    flat, before, reset = dx.reshape(-1, 3 * HIDDEN), prior.reshape(-1, HIDDEN), gates.reshape(-1, 3 * HIDDEN)[:, HIDDEN : 2 * HIDDEN]
+    grads["state"] = np.concatenate([before.T @ flat[:, : 2 * HIDDEN], (reset * before).T @ flat[:, 2 * HIDDEN :]], axis=1)
     grads["input"] = np.zeros_like(p["input"])
-    np.add.at(grads["input"], inputs.ravel(), dx.reshape(-1, 3 * HIDDEN))
+    symbols = inputs.ravel()
+    order = np.argsort(symbols, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(symbols[order]) != 0])
+    grads["input"][symbols[order[edge]]] = np.add.reduceat(flat[order], edge, axis=0)
 
 
 class Adam:
