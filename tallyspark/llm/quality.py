@@ -22,6 +22,7 @@ from .linededup import line_spans
 from .runtime import durable
 
 WINDOW = 5
+BAD_AT_LEAST, BAD_AT_MOST = 0.25, 0.03
 _SYMBOL = np.isin(A._ALL, np.frombuffer(b"#*$%&|<>", np.uint8))
 _LEAD = (A._ALL & 0xC0) != 0x80
 _UPPER = (A._ALL >= 65) & (A._ALL <= 90)
@@ -87,11 +88,14 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, prior_good: float = 0.85
 
     Returns the share of good documents and ``rates[class, rule, vote]`` with
     class 0 bad and 1 good, vote 0 bad, 1 abstain, 2 good.  ``strength`` is the
-    weight, as a share of all documents, of the prior belief that a rule that
-    votes is right four times in five; it keeps the classes from changing places.
+    weight, as a share of all documents, of the prior belief: good documents
+    seldom get a bad vote, bad ones get many good votes from the rules that are
+    about something else.  Rules stay better than chance: a bad vote is held to
+    ``BAD_AT_LEAST`` of bad and ``BAD_AT_MOST`` of good documents, else several kinds
+    of junk that no rule shares would pass for good.
     """
     total = max(float(counts.sum()), 1.0)
-    prior = np.array([[0.4, 0.5, 0.1], [0.1, 0.5, 0.4]])
+    prior = np.array([[0.3, 0.2, 0.5], [0.02, 0.18, 0.8]])
     n_rules = patterns.shape[1]
     rates = np.repeat(prior[:, None, :], n_rules, axis=1)
     share = prior_good
@@ -103,6 +107,9 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, prior_good: float = 0.85
             seen = np.einsum("p,prv->rv", weight, hot)
             base = prior[c] * (1 + strength * total)
             rates[c] = (seen + base) / (seen.sum(axis=1, keepdims=True) + base.sum())
+        for c, bad in ((0, np.maximum(rates[0, :, 0], BAD_AT_LEAST)), (1, np.minimum(rates[1, :, 0], BAD_AT_MOST))):
+            rates[c, :, 1:] *= ((1 - bad) / rates[c, :, 1:].sum(axis=1))[:, None]
+            rates[c, :, 0] = bad
     return share, rates
 
 
@@ -121,7 +128,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of non-white-space.  Null, empty and blank texts have no
     words and fail the base check.  Repeated rows are judged alike; an empty
-    table gives no rows.  The vote statistics cover every row.
+    table gives no rows.  The vote statistics cover every row that passes the base
+    check; the others are decided.
     """
     others = docs.columns if keep_columns else []
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("rest")
@@ -134,14 +142,14 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not keep_columns:
         measured = durable(measured)
     names = [f"v{k}" for k in range(len(RULES))]
-    found = measured.groupBy(*names).count().collect()
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > max_repeat_percent * F.col("n_words"))
+    found = measured.where(~failed).groupBy(*names).count().collect()
     patterns = np.array([[r[c] for c in names] for r in found], dtype=np.int64).reshape(-1, len(RULES))
     share, rates = fit_votes(patterns, np.array([r["count"] for r in found], dtype=float))
     logs = np.log(rates)
     odds = F.lit(float(np.log(share) - np.log1p(-share)))
     for k, c in enumerate(names):
         odds = odds + F.when(F.col(c) == 1, float(logs[1, k, 2] - logs[0, k, 2])).when(F.col(c) == -1, float(logs[1, k, 0] - logs[0, k, 0])).otherwise(0.0)
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > max_repeat_percent * F.col("n_words"))
     scored = measured.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*names)
 
