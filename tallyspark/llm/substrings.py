@@ -45,10 +45,6 @@ _ROWS = [("name", pa.int64()), ("content", pa.int64()), ("kind", pa.int32()), ("
 _ROWS_SQL = "name long, content long, kind int, weight int, id long, print long, first int, last int"
 
 
-def _reduce(values: np.ndarray, first: np.ndarray, how) -> np.ndarray:
-    return how.reduceat(values, first) if len(first) else values[:0]
-
-
 def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int):
     """Symbols after ``rounds`` rounds: names, documents, and the range of words each depends on.
 
@@ -56,25 +52,29 @@ def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int):
     belongs to a symbol whose shape depends on the text's edge.
     """
     doc = A.doc_of(bounds)
-    sym, lo, hi = words, np.arange(len(words)), np.arange(len(words)) + 1
+    n = len(words)
+    sym, at = words, np.arange(n)  # names, and the first word of each symbol
+    lo, hi = at, at + 1
+    beyond = 1 << 60
     for r in range(rounds):
         if not len(sym):
             break
-        # runs of one symbol get one name; where a run stops depends on its neighbours
+        # A symbol is no part of a run if its neighbours differ. The word beside it tells, unless it is the one that an
+        # equal neighbour would show there: then all that the neighbour depends on counts.
+        end = np.r_[at[1:], n]
+        opens, closes = at == bounds[doc], end == bounds[doc + 1]
+        left_word, right_word = words[np.maximum(at - 1, 0)], words[np.minimum(end, n - 1)]
+        lo_before, hi_after = np.r_[-1, lo[:-1]], np.r_[hi[1:], beyond]
+        lo = np.minimum(lo, np.where(opens, -1, np.where(left_word != words[end - 1], at - 1, lo_before)))
+        hi = np.maximum(hi, np.where(closes, beyond, np.where(right_word != words[at], end + 1, hi_after)))
+        # runs of one symbol get one name
         starts = np.r_[True, (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])]
         first = np.flatnonzero(starts)
         if len(first) < len(sym):
             size = np.diff(np.r_[first, len(sym)])
-            s, d = sym[first], doc[first]
-            l, h = _reduce(lo, first, np.minimum), _reduce(hi, first, np.maximum)
-            many = size > 1
-            last = first + size - 1
-            before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(sym) - 1)
-            has_before, has_after = (first > 0) & (doc[before] == d), (last < len(sym) - 1) & (doc[after] == d)
-            l = np.where(many, np.where(has_before, np.minimum(l, lo[before]), -1), l)
-            h = np.where(many, np.where(has_after, np.maximum(h, hi[after]), 1 << 60), h)
-            s = np.where(many, A.mix(s * np.uint64(7) + size.astype(np.uint64) + np.uint64(r)), s)
-            sym, doc, lo, hi = s, d, l, h
+            s = sym[first]
+            s = np.where(size > 1, A.mix(s * np.uint64(7) + size.astype(np.uint64) + np.uint64(r)), s)
+            sym, doc, at, lo, hi = s, doc[first], at[first], np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
         # pairs from the left half of the symbols to the right half
         left = (A.mix(sym + np.uint64((2 * r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(63)) == 0
         same = np.r_[doc[1:] == doc[:-1], False]
@@ -82,7 +82,7 @@ def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int):
         joins[:-1] = left[:-1] & ~left[1:] & same[:-1]
         # every symbol looks at one neighbour: a left one at the next, a right one at the one before
         edge_next, edge_before = ~same, np.r_[True, ~same[:-1]]
-        see_hi = np.where(left, np.where(edge_next, 1 << 60, np.r_[hi[1:], 0]), hi)
+        see_hi = np.where(left, np.where(edge_next, beyond, np.r_[hi[1:], 0]), hi)
         see_lo = np.where(~left, np.where(edge_before, -1, np.r_[0, lo[:-1]]), lo)
         hi, lo = np.maximum(hi, see_hi), np.minimum(lo, see_lo)
         head = np.flatnonzero(joins)
@@ -91,7 +91,7 @@ def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int):
         sym = sym.copy()
         sym[head] = A.combine([sym[head], sym[head + 1]], 100 + r)
         lo[head], hi[head] = np.minimum(lo[head], lo[head + 1]), np.maximum(hi[head], hi[head + 1])
-        sym, doc, lo, hi = sym[keep], doc[keep], lo[keep], hi[keep]
+        sym, doc, at, lo, hi = sym[keep], doc[keep], at[keep], lo[keep], hi[keep]
     return sym, doc, lo, hi
 
 
