@@ -133,6 +133,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     end = data.find(b"\r\n\r\n", version.end() - 2, at + _HEAD)
     if end < 0:
         raise _Bad("no end of headers")
+    if _VERSION.search(data, version.end(), end):
+        raise _Bad("another record begins inside the headers")
     head = {}
     for line in data[version.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
