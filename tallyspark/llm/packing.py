@@ -27,8 +27,8 @@ from . import arrowtext as A
 
 #: Penalties in padded tokens: a cut at a document's end is free.
 SENTENCE_CUT, HARD_CUT = 0.5, 3
-#: Sentence ends closer than this count as one; long stretches get a place every LATTICE tokens.
-SPACING, LATTICE = 24, 512
+#: Sentence ends closer than this count as one; long stretches get a place every half window.
+SPACING = 24
 #: Windows in a row that a transition may cut hard.
 _CHAIN = 3
 #: The pattern that byte-level BPE splits by (a fixed value of that format).
@@ -92,11 +92,12 @@ def choose_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int, se
     soft = sentence_ends[np.r_[True, np.diff(sentence_ends // SPACING) > 0]] if len(sentence_ends) else sentence_ends
     places = np.union1d(np.r_[0, doc_ends], soft)
     gap = np.diff(places)
-    long = np.flatnonzero(gap > LATTICE)
+    lattice = max(1, length // 2)
+    long = np.flatnonzero(gap > lattice)
     if len(long):
-        n = (gap[long] - 1) // LATTICE
+        n = (gap[long] - 1) // lattice
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-        places = np.union1d(places, np.repeat(places[long], n) + k * LATTICE)
+        places = np.union1d(places, np.repeat(places[long], n) + k * lattice)
     cost = np.full(len(places), float(hard_cut))
     cost[np.searchsorted(places, soft)] = sentence_cut
     cost[np.searchsorted(places, doc_ends)] = 0
