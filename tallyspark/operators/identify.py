@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import collapse_spaces, fold
 
 # Names by which issuers print themselves, in order of preference among equals.
 BANK_MARKERS = {
@@ -40,7 +40,7 @@ def account_scores(docs: DataFrame, hints: DataFrame, text: str = "text", key: s
     ``hints`` is ``(account_id, hint)``; accents and case do not count, repeated
     hints count once, and hints of one letter are ignored.
     """
-    folded = hints.select("account_id", F.trim(fold(F.col("hint"))).alias("hint")).where("length(hint) >= 2").distinct()
+    folded = hints.select("account_id", collapse_spaces(fold(F.col("hint"))).alias("hint")).where("length(hint) >= 2").distinct()
     words = docs.select(key, F.concat(F.lit(" "), F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"(?U)\W+", "  "), F.lit(" ")).alias("_t"))
     probe = F.concat(F.lit(" "), F.regexp_replace("hint", r"(?U)\W+", "  "), F.lit(" "))
     # hints are a short list of the configuration, checked here by Spark's own size limit for broadcasts
