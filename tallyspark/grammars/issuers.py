@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import make_date, month_number, normalize_date, resolve_year
 from ..operators.balances import signs_from_balance, solve_segments, with_segments
+from ..session import computed
 from . import patterns as P
 
 COLUMNS = ("doc_id", "line_no", "date_raw", "date_op", "date_post", "description", "detail", "amount_minor", "balance_minor", "doubtful")
@@ -197,6 +198,7 @@ def parse_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     The older card layout is tried for documents of its issuer, or of none, in
     which the signed grammar finds nothing.
     """
+    docs = computed(docs)
     tagged = docs.withColumn("_card", F.coalesce(F.col("text").rlike(P.CARD_LAYOUT), F.lit(False)))
     of = lambda condition: lines.join(tagged.where(condition).select("doc_id"), "doc_id", "left_semi")
     explicit = signed(of("bank IN ('nu', 'uala')"))
@@ -216,7 +218,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     part = lambda rx, k: F.when(bbva, F.nullif(F.regexp_extract("text", rx, k), F.lit("")))
     out = docs.withColumn("summary_opening", cents(F.regexp_replace(pick("opening"), r"\s", ""))).withColumn("summary_closing", cents(F.regexp_replace(pick("closing"), r"\s", "")))
     out = out.withColumn("declared_credits", cents(part(P.TOTAL_CREDITS, 2))).withColumn("declared_debits", -F.abs(cents(part(P.TOTAL_DEBITS, 2))))
-    return out.withColumn("declared_count", part(P.TOTAL_CREDITS, 1).cast("long") + part(P.TOTAL_DEBITS, 1).cast("long"))
+    return computed(out.withColumn("declared_count", part(P.TOTAL_CREDITS, 1).cast("long") + part(P.TOTAL_DEBITS, 1).cast("long")))
 
 
 def summary_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:

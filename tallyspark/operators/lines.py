@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import make_date, month_number, normalize_date
+from ..session import computed
 
 # What a dated line begins with, and signed amounts.
 LINE_DATE = r"^([0-9]{1,2}[\s/][A-Za-zÁÉÍÓÚáéíóú]{3,}\.?[\s/][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
@@ -52,13 +53,13 @@ def with_period(rows: DataFrame, text: str) -> DataFrame:
     c = lambda name, k: F.col(f"_{name}{k}")
     out = rows.withColumns({f"_{n}{k}": F.nullif(F.regexp_extract(text, PERIODS[n], k), F.lit("")) for n, count in groups.items() for k in range(1, count + 1)})
     date = lambda n, d, m, y: make_date(c(n, y).cast("int"), month_number(c(n, m)), c(n, d).cast("int"))
-    out = out.withColumns({
+    out = computed(out).withColumns({
         "_a0": normalize_date(c("numeric", 1)), "_b0": normalize_date(c("numeric", 2)), "_a1": date("full", 1, 2, 3), "_b1": date("full", 4, 5, 6), "_a2": date("short", 1, 3, 4), "_b2": date("short", 2, 3, 4),
         "_b3": date("cut", 1, 2, 3), "_a4": make_date(c("month", 2).cast("int"), month_number(c("month", 1)), F.lit(1)),
     })
     days = c("cut", 4).cast("int")
-    out = out.withColumn("_a3", F.when(days.between(20, 40), F.date_sub("_b3", days - 1))).withColumn("_b4", F.last_day("_a4"))
+    out = computed(out).withColumn("_a3", F.when(days.between(20, 40), F.date_sub("_b3", days - 1))).withColumn("_b4", F.last_day("_a4"))
     whole_month = c("month", 3).cast("int") == F.dayofmonth("_b4")
     tried = [F.when((F.col(f"_a{k}") <= F.col(f"_b{k}")) & (whole_month if k == 4 else F.lit(True)), F.struct(F.col(f"_a{k}").alias("s"), F.col(f"_b{k}").alias("e"))) for k in range(5)]
     out = out.withColumn("_p", F.coalesce(*tried)).withColumn("period_start", F.col("_p.s")).withColumn("period_end", F.col("_p.e"))
-    return out.select(*rows.columns, "period_start", "period_end")
+    return computed(out.select(*rows.columns, "period_start", "period_end"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, money, text
 from ..operators import categorize, duplicates, reconcile, transfers, validate
-from ..session import durable
+from ..session import computed, durable
 
 
 @dataclass
@@ -39,12 +39,6 @@ class Staged:
     links: DataFrame
 
 
-def computed(df: DataFrame) -> DataFrame:
-    """``df`` behind a generator: filters on its columns stay above it, where a plain projection would have each of them
-    repeat all the expressions below, term by term."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def canonical_rows(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """Statements and canonical rows of raw statements ``(path, file_sha256, method, meta, rows, warnings)``."""
     m = lambda key: F.col("meta")[key]

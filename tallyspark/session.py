@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -13,3 +14,9 @@ def durable(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator: what reads its columns stays above it, where over a plain projection the optimiser may
+    repeat the expressions below in every place that uses them, term by term."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
