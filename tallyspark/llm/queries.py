@@ -116,8 +116,52 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _ALNUM = "regexp_extract_all(" + _LOWER.format("coalesce({}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _url_sql() -> str:
+    """The URL query for DuckDB: the same edges, reached recursively."""
+    rest = "CASE WHEN instr(coalesce({0}, ''), '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+    host = _LOWER.format(f"regexp_extract({rest}, '^[^/?#]*', 0)")
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    tail = f"regexp_extract({rest}, '^[^/?#]*([^#]*)', 1)"
+    node = "CASE WHEN " + host + " <> '' THEN " + _LOWER.format("split_part({0}, '://', 1)") + " || '://' || " + host + " || CASE WHEN starts_with(" + tail + ", '/') THEN " + tail + " ELSE '/' || " + tail + " END END"
+    attribute = lambda name: rf"""regexp_replace(regexp_extract(tag, '(?is)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), '^["'']|["'']$', '', 'g')"""
+    ranked = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[0]))
+    fits = [(f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{start}')", at + start, verdict) for verdict, at, start in ranked]
+    rule = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for test, name, _ in fits) + " END"
+    said = "CASE " + " ".join(f"WHEN {test} THEN '{verdict}'" for test, _, verdict in fits) + " END"
+    return rf"""
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+named AS (SELECT url, lower({attribute('rel')}) AS rel, {attribute('href')} AS href, lower({attribute('http-equiv')}) AS equiv, {attribute('content')} AS content FROM tags),
+links AS (
+  SELECT url, replace(trim(CASE WHEN regexp_matches(rel, '(^|\s)canonical(\s|$)') THEN href
+    WHEN equiv = 'refresh' THEN regexp_extract(content, '(?i)^\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*[''"]?([^''"]+)', 1) END), '&amp;', '&') AS link FROM named
+),
+based AS (SELECT url, link, split_part(url, '://', 1) AS scheme, split_part(url, '://', 1) || '://' || regexp_extract({rest.format('url')}, '^[^/?#]*', 0) AS site,
+  regexp_extract({rest.format('url')}, '^[^/?#]*(/[^?#]*)', 1) AS path FROM links WHERE link <> ''),
+targets AS (
+  SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN site || link
+    WHEN regexp_matches(link, '^(#|$|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL WHEN starts_with(link, '?') THEN site || CASE path WHEN '' THEN '/' ELSE path END || link
+    ELSE site || CASE regexp_extract(path, '^.*/', 0) WHEN '' THEN '/' ELSE regexp_extract(path, '^.*/', 0) END || link END AS target FROM based
+),
+edges AS (SELECT src, dst FROM (SELECT {node.format('url')} AS src, {node.format('target')} AS dst FROM targets) WHERE src <> dst),
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reach AS (SELECT src AS node, src AS seen FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.seen = b.src),
+told AS (SELECT node, {host.format('seen')} AS host, {path.format('seen')} AS path FROM reach),
+alias AS (SELECT node, bool_or(said = 'allow') AS allowed FROM (SELECT node, {said} AS said FROM told) WHERE said IS NOT NULL GROUP BY node),
+judged AS (SELECT page_id, node, host, path, {rule} AS rule, {said} AS said FROM (SELECT page_id, {node.format('url')} AS node, {host.format('url')} AS host, {path.format('url')} AS path FROM pages))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN NOT allowed THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN alias USING (node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
+h AS (SELECT *, array_to_string(list_transform(string_split(sha1(body), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM p)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {" + ".join(f"{1 << (4 - k)} * CAST(substr(bits, CAST(5 * i + {k + 1} AS BIGINT), 1) AS INT)" for k in range(5))}, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h
+""",
         "op6_benchmark_decontamination": f"""
 WITH docs AS (SELECT doc_id, {_ALNUM.format("text")} AS w FROM documents),
 bench AS (SELECT item_id, {_ALNUM.format("text")} AS w FROM benchmark),
@@ -143,6 +187,7 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
+        "op7_url_filters": _url_sql(),
         "op8_substring_dedup": f"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 wins AS (

@@ -41,3 +41,18 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.net/", "<link rel=canonical href=/x>")], "page_id long, url string, html string")
     plan = judge_urls(df, RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_the_sql_says_the_same():
+    import duckdb
+    import pandas as pd
+
+    from tallyspark.llm.queries import URL_RULES, oracle_sql
+
+    assert set(URL_RULES) == set(RULES)
+    pages = pd.DataFrame([(i, u, h) for i, u, h, *_ in PAGES], columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("frame", pages)
+    con.sql("CREATE TABLE pages AS SELECT CAST(page_id AS BIGINT) AS page_id, url, html FROM frame")
+    got = con.sql(oracle_sql()["op7_url_filters"]).select("page_id, host, path, rule, verdict").fetchall()
+    assert sorted(got, key=str) == sorted([(i, *x) for i, _, _, *x in PAGES], key=str)
