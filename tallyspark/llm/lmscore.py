@@ -385,8 +385,8 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"weight": pa.array([n], pa.int64()), "blob": pa.array([pickle.dumps({k: (x / n).astype(np.float32) for k, x in total.items()})], pa.binary())})
 
 
-def fit_model(training: DataFrame, vocabulary: Vocabulary, share: float = 0.25, rounds: int = 2, rate: float = 0.02, fan_in: int = 32) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` of local training on a hashed ``share`` of the training texts, the same at every size, and averaging."""
+def fit_model(training: DataFrame, vocabulary: Vocabulary, share: float = 1.0, rounds: int = 2, rate: float = 0.02, fan_in: int = 32) -> dict[str, np.ndarray]:
+    """Parameters after ``rounds`` of local training and averaging on all training texts; ``share`` below 1 takes a hashed part of them."""
     spark = training.sparkSession
     p = initial_parameters(vocabulary)
     rows = training.where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
@@ -445,7 +445,7 @@ def _rare_batches(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Re
     return A.map_chunks(batches, "text", kernel, schema)
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, share: float = 0.25, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, share: float = 1.0, rounds: int = 2) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row, log10.
 
     Tokens are runs of non-white-space with A-Z lower-cased, then one end; a null

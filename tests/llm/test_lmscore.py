@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import lmscore as L
+from tallyspark.llm.queries import op1_lm_scoring
 
 from .corpus import LOWER, awkward, empty, frame, words
 
@@ -106,3 +107,25 @@ def test_training_improves_held_out_likelihood(spark):
     docs = [(k, speak("x" if k % 2 else "y")) for k in range(300)]
     got = L.score_documents(frame(spark, docs), F.col("doc_id") % 7 == 2, share=1.0, rounds=2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert (got["s"] - got["b"]) / got["n"] > 0.15  # two languages, told apart: log10(2) = 0.3 at best
+
+
+def test_registered_query_trains_on_every_training_row(spark, tmp_path, monkeypatch):
+    docs = [(k, f"text number {k}") for k in range(300)]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, original = tmp_path / "seen", L._train_batches
+    seen.mkdir()
+
+    def spy(batches, model, rate):
+        import uuid
+
+        got = list(batches)
+        (seen / uuid.uuid4().hex).write_text(f"{rate} {sum(len(b) for b in got)}")
+        yield from original(iter(got), model, rate)
+
+    monkeypatch.setattr(L, "_train_batches", spy)
+    training = op1_lm_scoring(spark, str(tmp_path)).where("not held_out").count()
+    by_round = Counter()
+    for file in seen.iterdir():
+        rate, n = file.read_text().split()
+        by_round[rate] += int(n)
+    assert 0 < training < len(docs) and list(by_round.values()) == [training] * 2
