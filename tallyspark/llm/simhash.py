@@ -80,11 +80,11 @@ def _fingerprint_kernel(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarr
     hashes = A.xxh64_spans(packed, np.r_[begin, starts[bounds[short]]], np.r_[finish, ends[bounds[short + 1] - 1]], seed)
     fp = majority_bits(hashes[: len(at)], doc, n_docs)
     fp[short] = hashes[len(at) :]
-    return {"id": rows.column(0), "fp": fp.view(np.int64)}
+    return {"id": rows.column(0), "fp": fp.view(np.int64)} | ({"print": rows.column("print")} if "print" in rows.schema.names else {})
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seed: int, printed: bool = False) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), *([("print", pa.string())] if printed else [])])
     return A.map_chunks(batches, "text", partial(_fingerprint_kernel, shingle=shingle, seed=seed), schema)
 
 
@@ -210,18 +210,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other.  Links of a third of all rows cost one row per distinct fingerprint.
     """
     marked = durable(simhash_fingerprints(docs, id_col, text_col, shingle, seed))
+    return marked.join(_components(marked, max_bits, shard_cap), "fp").select("id", "fp", "component_id")
+
+
+def _components(marked: DataFrame, max_bits: int, shard_cap: int) -> DataFrame:
+    """``(fp, root, component_id)`` of each fingerprint; ``root`` tells components apart whose smallest ids are equal or null."""
     distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(hamming_edges(distinct, max_bits, shard_cap), "a", "b").select(F.col("node").alias("fp"), "root")
     labelled = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+    return labelled.join(smallest, "root").select("fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of ``near_duplicates``, the one with the smallest id, with its columns; of rows that repeat that id any one."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = durable(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")))
-    ids = kept.groupBy("_kept").count()
-    rest = docs.join(ids.select("_kept"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rest if ids.where("count > 1").isEmpty() else rest.dropDuplicates([id_col])
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3, shard_cap: int = 200_000) -> DataFrame:
+    """One row of each group of ``near_duplicates``, the one with the smallest id, with its columns.
+
+    Of rows that repeat that id inside the group, the text with the smallest MD5
+    stays; of rows that repeat both, any one.  Rows of other groups stay whatever
+    their ids are.
+    """
+    told = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_print": F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    rows = told.select(F.col("_id").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col("_print").alias("print"))
+    marked = durable(rows.mapInArrow(partial(_fingerprint_batches, shingle=shingle, seed=seed, printed=True), "id long, fp long, print string"))
+    found = marked.join(_components(marked, max_bits, shard_cap), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    copies = found.groupBy("root", "id", "print").agg(F.count(F.lit(1)).alias("n"))
+    kept = durable(copies.groupBy("root").agg(F.min(F.struct("print", "id", "n")).alias("k")).select(F.col("k.id").alias("_kept"), F.col("k.print").alias("_kept_print"), "k.n"))
+    rest = told.join(kept.drop("n"), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_kept_print")), "left_semi")
+    return (rest if kept.where("n > 1").isEmpty() else rest.dropDuplicates(["_id", "_print"])).drop("_id", "_print")

@@ -5,7 +5,7 @@ import xxhash
 
 from tallyspark.llm.simhash import drop_near_duplicates, near_duplicates, trie_forest
 
-from .corpus import LOWER, awkward, empty, frame, words
+from .corpus import LOWER, awkward, empty, frame, prose, words
 
 
 def fingerprint(text):
@@ -62,6 +62,17 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    rng = random.Random(7)
+    a, b, c, d, e = (prose(rng, 60, 5000) for _ in range(5))
+    docs = [(None, a), (None, b), (None, b), (5, c), (5, d), (9, e), (1, e), (9, prose(rng, 60, 5000))]
+    got = sorted(((r["doc_id"], r["text"]) for r in drop_near_duplicates(frame(spark, docs)).collect()), key=str)
+    assert got == sorted([docs[0], docs[1], docs[3], docs[4], docs[6], docs[7]], key=str)
+    # an id is kept once, and its other row is a copy of a row with a smaller id
+    got = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(frame(spark, docs[5:])).collect()]
+    assert sorted(got) == sorted(docs[6:])
+
+
 def test_trie_join_in_dense_and_sparse_groups():
     rng = random.Random(2)
     for n, spread in ((300, 6), (500, 14), (2500, 12), (400, 64)):
