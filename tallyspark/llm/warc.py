@@ -27,8 +27,8 @@ _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Most bytes of a header block.
-_HEAD = 1 << 20
+#: Fields that a record has once; a second one behind a version line is the next record's.
+_ONCE = {"warc-record-id", "warc-type", "warc-date", "content-length"}
 
 
 def sha1_base32(data: bytes) -> str:
@@ -130,17 +130,20 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     version = _VERSION.match(data, at)
     if not version:
         raise _Bad("no version line")
-    end = data.find(b"\r\n\r\n", version.end() - 2, at + _HEAD)
+    end = data.find(b"\r\n\r\n", version.end() - 2)
     if end < 0:
         raise _Bad("no end of headers")
-    if _VERSION.search(data, version.end(), end):
-        raise _Bad("another record begins inside the headers")
+    # a field's value, such as a URL, may end like a version line
+    inside = _VERSION.search(data, version.end(), end + 2)
     head = {}
     for line in data[version.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if line and not colon:
             raise _Bad("bad header line")
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("latin-1")
+        if inside and name in head and name in _ONCE:
+            raise _Bad("another record begins inside the headers")
+        head[name] = value.strip().decode("utf-8", "replace")
     length = head.get("content-length", "")
     if not length.isdigit():
         raise _Bad("no content length")

@@ -2,7 +2,9 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyspark.llm import queries as Q
 from tallyspark.llm.warc import gzip_member, read_warc, record_bytes, salvage, sha1_base32, write_warc
 
 
@@ -76,3 +78,18 @@ def test_other_writers_members():
     both = gzip.compress(b"".join(archive(False)[:2])) + gzip.compress(archive(False)[2])
     kinds = [(k, o) for k, o, *_ in salvage(both)]
     assert [k for k, _ in kinds] == ["record"] * 3
+
+
+def test_query_keeps_pages_of_awkward_urls_and_fails_on_gaps(spark, tmp_path, monkeypatch):
+    urls = ["http://a/WARC/1.1", "WARC/1.0", "http://a/" + "é" * 200_000, "http://b/"]
+    spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r["page_id"] for r in Q.op2_warc(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+    monkeypatch.setattr(Q, "read_warc", lambda spark, folder, payloads: read_warc(spark, folder, payloads).withColumn("kind", F.lit("gap")))
+    with pytest.raises(Exception, match="gap in"):
+        Q.op2_warc(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("cut", [3, 12, 20, 40, 90])
+def test_cut_headers_are_not_joined_with_the_next_record(cut):
+    parts = archive(False)
+    assert survey(b"".join([*parts[:3], parts[3][:cut], *parts[4:]])) == [0, 1, 2, "gap", 4, 5, 6, 7]
