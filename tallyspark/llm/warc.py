@@ -5,8 +5,8 @@ of them share, one gzip member per record, under names that only depend on the
 partition, so a repeated task replaces its own files.  The reader takes whole
 archives (their size is bounded by the writer) and checks every record: gzip
 CRC, version line, lengths and block digest.  After a failed check it searches
-for the next gzip member, or version line in a plain archive, that holds, goes
-on from there and reports the bytes in between as a gap.
+for the next version line, inside a gzip member too, or the next gzip member that
+holds, goes on from there and reports the bytes in between as a gap.
 """
 
 from __future__ import annotations
@@ -169,48 +169,109 @@ def _members(content: bytes, at: int) -> tuple[bytes, int]:
     return data, len(content) - len(z.unused_data)
 
 
+def _partial(content: bytes, at: int) -> tuple[bytes, bool]:
+    """What can be unpacked of a member that fails, and whether it was only cut: then the data up to the cut is sound."""
+    z, out, step = zlib.decompressobj(31), [], 1 << 14
+    try:
+        while at < len(content) and not z.eof:
+            before = z.copy()
+            out.append(z.decompress(content[at : at + step]))
+            at += step
+    except zlib.error:
+        try:
+            for k in range(at, min(at + step, len(content))):
+                out.append(before.decompress(content[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), False
+    return b"".join(out), True
+
+
+def _plain(data: bytes) -> Iterator[tuple]:
+    """``salvage`` of plain data."""
+    at, lost, why = 0, None, ""
+    while at < len(data):
+        try:
+            head, block, end = _parse(data, at)
+            if lost is not None and data[at - 1] != 10 and "warc-record-id" not in head:
+                raise _Bad("version line inside a header")
+        except _Bad as e:
+            if lost is None:
+                lost, why = at, str(e)
+            m = _VERSION.search(data, at + 1)
+            if not m:
+                break
+            at = m.start()
+            continue
+        if lost is not None:
+            yield "gap", lost, at - lost, why, b""
+            lost = None
+        yield "record", at, end - at, head, block
+        at = end
+    if lost is not None:
+        yield "gap", lost, len(data) - lost, why, b""
+
+
+def _member_parts(content: bytes, at: int) -> tuple[list[tuple], int]:
+    """Records and inner gaps of the gzip member at ``at``, and where it ends, or ``_Bad`` if no record is found.
+
+    Of a damaged member only records whose block digest holds are taken, and none
+    if no record shows where the damage is; it ends at the next member's mark.
+    """
+    if content[at : at + 3] != _GZIP:
+        raise _Bad("no gzip member")
+    failed = ""
+    # a member is tried in a bounded slice first, so a long archive is not copied for every record
+    for width in (1 << 16, 1 << 20, len(content)):
+        try:
+            data, used = _members(content[at : at + width], 0)
+            end = at + used
+            break
+        except _Bad as e:
+            if at + width >= len(content):
+                failed = str(e)
+                break
+    if failed:
+        data, cut = _partial(content, at)
+        found = content.find(_GZIP, at + 1)
+        end = found if found >= 0 else len(content)
+    parts = list(_plain(data))
+    if failed:
+        sound = lambda p: p[0] == "gap" or p[3].get("warc-block-digest", "").lower().startswith("sha1:")
+        parts = [p if sound(p) else ("gap", p[1], p[2], "no digest in a damaged member", b"") for p in parts]
+        if not cut and all(p[0] == "record" for p in parts):
+            raise _Bad(failed)
+    if all(p[0] == "gap" for p in parts):
+        raise _Bad(failed or (parts[0][3] if parts else "empty member"))
+    told = [(kind, at, end - at, head if kind == "record" else f"{head}, bytes {lo} to {lo + size} of the member's data", block) for kind, lo, size, head, block in parts]
+    return told + ([("gap", end, 0, failed, b"")] if failed and parts[-1][0] == "record" and cut else []), end
+
+
 def salvage(content: bytes) -> Iterator[tuple]:
-    """Yields ``("record", offset, length, headers, block)`` and ``("gap", offset, length, reason, b"")`` in order; together they cover all bytes."""
-    packed = content[:3] == _GZIP or (_GZIP in content and not _VERSION.search(content))
+    """Yields ``("record", offset, length, headers, block)`` and ``("gap", offset, length, reason, b"")`` in order; together they cover all bytes.
+
+    Records of one gzip member all have its offset and length, and so have gaps
+    between them, whose reason tells the place in the member's data.  A member cut
+    after a whole record is followed by a gap of length 0.
+    """
+    if not (content[:3] == _GZIP or (_GZIP in content and not _VERSION.search(content))):
+        yield from _plain(content)
+        return
     at, lost, why = 0, None, ""
     while at < len(content):
         try:
-            if packed:
-                if content[at : at + 3] != _GZIP:
-                    raise _Bad("no gzip member")
-                # a member is tried in a bounded slice first, so a long archive is not copied for every record
-                for width in (1 << 16, 1 << 20, len(content)):
-                    try:
-                        data, used = _members(content[at : at + width], 0)
-                        break
-                    except _Bad:
-                        if at + width >= len(content):
-                            raise
-                end, inner, found = at + used, 0, []
-                while inner < len(data):
-                    head, block, inner = _parse(data, inner)
-                    found.append((head, block))
-                if not found:
-                    raise _Bad("empty member")
-            else:
-                head, block, end = _parse(content, at)
-                found = [(head, block)]
+            parts, end = _member_parts(content, at)
         except _Bad as e:
             if lost is None:
                 lost, why = at, str(e)
-            if packed:
-                at = content.find(_GZIP, at + 1)
-            else:
-                m = _VERSION.search(content, at + 1)
-                at = m.start() if m else -1
+            at = content.find(_GZIP, at + 1)
             if at < 0:
                 break
             continue
         if lost is not None:
             yield "gap", lost, at - lost, why, b""
             lost = None
-        for head, block in found:
-            yield "record", at, end - at, head, block
+        yield from parts
         at = end
     if lost is not None:
         yield "gap", lost, len(content) - lost, why, b""

@@ -1,5 +1,6 @@
 import gzip
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,24 @@ def test_query_keeps_pages_of_awkward_urls_and_fails_on_gaps(spark, tmp_path, mo
 def test_cut_headers_are_not_joined_with_the_next_record(cut):
     parts = archive(False)
     assert survey(b"".join([*parts[:3], parts[3][:cut], *parts[4:]])) == [0, 1, 2, "gap", 4, 5, 6, 7]
+
+
+def test_salvage_inside_members():
+    def inside(content):
+        return [k if k == "gap" else int(h["warc-record-id"].strip("<>").rsplit(":", 1)[1]) for k, _, _, h, _ in salvage(content)]
+
+    parts = archive(False)
+    bad = [*parts[:3], parts[3].replace(b"DDDD", b"DDDE"), *parts[4:]]
+    assert inside(gzip.compress(b"".join(bad))) == [0, 1, 2, "gap", 4, 5, 6, 7]
+    assert inside(gzip.compress(b"".join(bad[:5])) + gzip.compress(b"".join(parts[5:]))) == [0, 1, 2, "gap", 4, 5, 6, 7]
+    # a member that is cut keeps what comes before the cut, and the next member is found
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = z.compress(b"".join(parts)) + z.flush()
+    cut = stored[: stored.index(parts[6]) + 100]
+    assert inside(cut) == [0, 1, 2, 3, 4, 5, "gap"]
+    assert inside(cut + gzip_member(parts[7])) == [0, 1, 2, 3, 4, 5, "gap", 7]
+    assert inside(stored[:-4]) == [*range(8), "gap"]
+    # a member whose check sum differs: the digest tells which record is bad
+    assert inside(stored.replace(b"DDDD", b"DDDE")) == [0, 1, 2, "gap", 4, 5, 6, 7]
+    # here no digest tells, so none of its records is taken
+    assert inside(stored.replace(b"http://x", b"http://y", 1)) == ["gap"]
