@@ -182,11 +182,12 @@ def _forest_batches(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[
 
 def hamming_edges(fps: DataFrame, max_bits: int = 3, shard_cap: int = 200_000) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the distinct fingerprints ``fp`` that a chain of links of ``max_bits`` differing bits joins."""
-    blocks = max_bits + 1
-    width = -(-BITS // blocks)
+    if not 0 <= max_bits < BITS:
+        raise ValueError(f"max_bits must be from 0 to {BITS - 1}")
+    cuts = [k * BITS // (max_bits + 1) for k in range(max_bits + 2)]
     values = F.array(*[
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", min(k * width, 63)) if k else F.col("fp"), 64 - min(width, BITS - k * width)).alias("value"))
-        for k in range(blocks) if k * width < BITS
+        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", lo) if k else F.col("fp"), BITS - (hi - lo)).alias("value"))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
     ])
     rows = fps.select("fp", F.explode(values).alias("s")).select("fp", "s.block", "s.value")
     hot = rows.groupBy("block", "value").count().where(F.col("count") > shard_cap)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from tallyspark.llm.simhash import drop_near_duplicates, near_duplicates, trie_forest
+from tallyspark.llm.simhash import drop_near_duplicates, hamming_edges, near_duplicates, trie_forest
 
 from .corpus import LOWER, awkward, empty, frame, prose, words
 
@@ -84,3 +84,15 @@ def test_trie_join_in_dense_and_sparse_groups():
             assert got.tolist() == components(fps)
     two = trie_forest(np.array([0, 1]), np.array([5, 5], np.uint64), 3)
     assert two.tolist() == [0, 1]
+
+
+def test_more_bits_against_brute_force(spark):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(30)]
+    fps += [x ^ sum(1 << 8 * k + rng.randrange(8) for k in range(8)) for x in fps[:10]]  # a bit of each byte
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    root = list(range(len(fps)))
+    for r in hamming_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), 8).collect():
+        a, b = sorted((root[signed.index(r["a"])], root[signed.index(r["b"])]))
+        root = [a if x == b else x for x in root]
+    assert root == components(fps, 8)
