@@ -1,12 +1,12 @@
 """Packing documents into fixed-length training sequences, in order.
 
 Token ids of consecutive documents form a stream that is cut into windows.
-Dynamic programming over cut places (document ends, sentence ends, and a coarse
-lattice inside long sentences) minimises padding plus penalties for cutting
-sentences; each transition takes a minimum over a sliding range of earlier cuts,
-kept in a monotone queue.  A window may also be followed by full ones that are
-cut wherever they end, at the truncation penalty each.  Partitions pack their own
-documents in slices of bounded size, so nothing is shuffled or gathered.
+Dynamic programming over cut places, which are all document and sentence ends,
+minimises padding plus penalties for cutting documents; each transition takes a
+minimum over a sliding range of earlier cuts, kept in a monotone queue.  A full window may also end inside a sentence, at the
+truncation penalty, which is what that has to save in padding; longer sentences
+than a window have to be cut so.  Partitions pack their own documents in slices
+of bounded size, so nothing is shuffled or gathered.
 """
 
 from __future__ import annotations
@@ -25,12 +25,8 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as A
 
-#: Penalties in padded tokens: a cut at a document's end is free.
-SENTENCE_CUT, HARD_CUT = 0.5, 3
-#: Sentence ends closer than this count as one; long stretches get a place every half window.
-SPACING = 24
-#: Windows in a row that a transition may cut hard.
-_CHAIN = 3
+#: Penalties in padded tokens: a cut at a document's end is free, one inside a sentence is a truncation.
+SENTENCE_CUT, HARD_CUT = 0.5, 64
 #: The pattern that byte-level BPE splits by (a fixed value of that format).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -86,55 +82,66 @@ def load_encoder(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     return encode, ends
 
 
+def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) -> np.ndarray:
+    """Where windows may end: 0, all ends of documents and sentences, and inside of stretches longer than ``length``
+    the ends of full windows that follow any of the places up to a window before the stretch."""
+    places = np.union1d(np.r_[0, doc_ends], sentence_ends)
+    more = []
+    for g in np.flatnonzero(np.diff(places) > length).tolist():
+        low, high = int(places[g]), int(places[g + 1])
+        near = places[np.searchsorted(places, low - length, side="right") : g + 1]
+        full = near[:, None] + length * np.arange(1, (high - low) // length + 2)
+        more.append(full[(full > low) & (full < high)])
+    return np.union1d(places, np.concatenate(more)) if more else places
+
+
 def choose_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int, sentence_cut: float = SENTENCE_CUT, hard_cut: float = HARD_CUT) -> np.ndarray:
-    """Cut places, from 0 to the stream's end, of windows of ``length`` tokens at most with the least padding plus penalties."""
-    total = int(doc_ends[-1]) if len(doc_ends) else 0
-    soft = sentence_ends[np.r_[True, np.diff(sentence_ends // SPACING) > 0]] if len(sentence_ends) else sentence_ends
-    places = np.union1d(np.r_[0, doc_ends], soft)
-    gap = np.diff(places)
-    lattice = max(1, length // 2)
-    long = np.flatnonzero(gap > lattice)
-    if len(long):
-        n = (gap[long] - 1) // lattice
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-        places = np.union1d(places, np.repeat(places[long], n) + k * lattice)
+    """Cut places, from 0 to the stream's end, of windows of ``length`` tokens at most with the least padding plus penalties.
+
+    A transition is one window between two places, or a full window that is cut
+    wherever it ends, at ``hard_cut``, and another one behind it.
+    """
+    places = cut_places(doc_ends, sentence_ends, length)
     cost = np.full(len(places), float(hard_cut))
-    cost[np.searchsorted(places, soft)] = sentence_cut
-    cost[np.searchsorted(places, doc_ends)] = 0
-    pos, pen = places.tolist(), cost.tolist()
-    m = len(pos)
-    best, back, hard = [0.0] * m, [0] * m, [0] * m
-    queues = [deque() for _ in range(_CHAIN)]  # indices of cuts, the key best + pos grows along each
-    heads = [0] * _CHAIN  # next cut to enter the range of each
-    keys = [0.0] * m
+    cost[np.searchsorted(places, sentence_ends)] = sentence_cut
+    cost[np.searchsorted(places, np.r_[0, doc_ends])] = 0
+    pos, m = places.tolist(), len(places)
+    back, keys = [0] * m, [0.0] * m  # keys: the least cost up to a place, plus the place; costs of transitions then differ by the source's key alone
+    whole = np.zeros(m, bool)  # whether a full window comes first
+    one, two = deque([0]), deque()  # places the last window, or the full one before it, may begin at; keys growing
+    entering = 0
+    penalty = cost.tolist()
     for j in range(1, m):
         at = pos[j]
-        value, source, chain = float("inf"), 0, 0
-        for k in range(_CHAIN):
-            queue, head = queues[k], heads[k]
-            low, high = at - length * (k + 1), at - length * k
-            while head < j and pos[head] < high:
-                key = keys[head]
-                while queue and keys[queue[-1]] >= key:
-                    queue.pop()
-                queue.append(head)
-                head += 1
-            heads[k] = head
-            while queue and pos[queue[0]] < low:
-                queue.popleft()
-            if queue:
-                v = keys[queue[0]] + length * (k + 1) - at + hard_cut * k
-                if v < value:
-                    value, source, chain = v, queue[0], k
-        best[j], back[j], hard[j] = value + pen[j], source, chain
-        keys[j] = best[j] + at
-    cuts, j = [total], m - 1
+        low = at - length
+        while pos[one[0]] < low:
+            one.popleft()
+        source = one[0]
+        key = keys[source] + length
+        while pos[entering] < low:
+            k = keys[entering]
+            while two and keys[two[-1]] >= k:
+                two.pop()
+            two.append(entering)
+            entering += 1
+        low -= length
+        while two and pos[two[0]] < low:
+            two.popleft()
+        if two and (other := keys[two[0]] + 2 * length + hard_cut) < key:
+            source, key = two[0], other
+            whole[j] = True
+        back[j] = source
+        key = keys[j] = key + penalty[j]
+        while one and keys[one[-1]] >= key:
+            one.pop()
+        one.append(j)
+    cuts, j = [pos[m - 1]], m - 1
     while j > 0:
-        i = back[j]
-        cuts += [pos[i] + length * k for k in range(hard[j], -1, -1)]
-        j = i
-    out = np.array(cuts[::-1])
-    return np.unique(out)
+        if whole[j]:
+            cuts.append(pos[back[j]] + length)
+        j = back[j]
+        cuts.append(pos[j])
+    return np.array(cuts[::-1])
 
 
 def _split_last(cuts: np.ndarray, length: int, most: int) -> np.ndarray:

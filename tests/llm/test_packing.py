@@ -62,15 +62,17 @@ def test_empty_table(spark):
 
 
 def best_cost(ends, soft, length, sentence, hard):
-    """Least padding plus penalties over the same places, every transition tried."""
-    places = sorted({0, *ends, *soft})
-    step = length // 2
-    places = sorted({*places, *(a + k * step for a, b in zip(places, places[1:]) for k in range(1, (b - a - 1) // step + 1))})
+    """Least padding plus penalties over all cuts at places, every transition tried: one window, or a full one cut wherever it ends and another."""
+    places = {0, *ends, *soft}
+    base = sorted(places)
+    for a, b in zip(base, base[1:]):
+        if b - a > length:
+            places |= {p + k * length for p in base if a - length < p <= a for k in range(1, b // length + 2) if a < p + k * length < b}
     cost = {p: 0 if p in ends else sentence if p in soft else hard for p in places}
     best = {0: 0.0}
-    for j in places[1:]:
-        best[j] = cost[j] + min(best[i] + hard * k + length * (k + 1) - (j - i) for i in places if i < j for k in range(3) if length * k < j - i <= length * (k + 1))
-    return best[places[-1]]
+    for j in sorted(places)[1:]:
+        best[j] = cost[j] + min(best[i] + hard * k + length * (k + 1) - (j - i) for i in best for k in range(2) if length * k < j - i <= length * (k + 1))
+    return best[max(places)]
 
 
 def paid(cuts, ends, soft, length, sentence, hard):
@@ -79,16 +81,23 @@ def paid(cuts, ends, soft, length, sentence, hard):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 90), min_size=1, max_size=9), st.sets(st.integers(0, 300), max_size=12))
+@given(st.lists(st.integers(1, 90), min_size=1, max_size=9), st.sets(st.integers(0, 300), max_size=30))
 def test_cuts_are_the_best_of_all_transitions(sizes, marks):
     ends = np.cumsum(sizes)
     length = 32
-    # sentence ends at least SPACING apart are all places
     soft = [m for m in sorted(marks) if 0 < m < ends[-1]]
-    soft = [m for k, m in enumerate(soft) if k == 0 or m // 24 != soft[k - 1] // 24]
-    cuts = choose_cuts(ends, np.array(soft, np.int64), length, 0.5, 3).tolist()
-    assert cuts[0] == 0 and cuts[-1] == ends[-1] and max(np.diff(cuts)) <= length and min(np.diff(cuts)) > 0
-    assert paid(cuts, set(ends.tolist()), set(soft), length, 0.5, 3) <= best_cost(set(ends.tolist()), set(soft), length, 0.5, 3) + 1e-9
+    for hard in (1, 9, 40):
+        cuts = choose_cuts(ends, np.array(soft, np.int64), length, 0.5, hard).tolist()
+        assert cuts[0] == 0 and cuts[-1] == ends[-1] and max(np.diff(cuts)) <= length and min(np.diff(cuts)) > 0
+        assert abs(paid(cuts, set(ends.tolist()), set(soft), length, 0.5, hard) - best_cost(set(ends.tolist()), set(soft), length, 0.5, hard)) < 1e-9
+
+
+def test_every_sentence_end_is_offered_and_sentences_stay_whole_where_that_costs_little():
+    ends, soft = np.array([4000]), np.arange(10, 4000, 10)
+    cuts = choose_cuts(ends, soft, 1024).tolist()
+    assert cuts == [0, 1020, 2040, 3060, 4000]  # ends of sentences, at four padded tokens each
+    one = choose_cuts(np.array([5000]), np.array([300]), 1024).tolist()  # no boundary for several windows
+    assert one[-1] == 5000 and max(np.diff(one)) <= 1024 and len(one) == 6
 
 
 def test_last_window_in_powers_of_two():
