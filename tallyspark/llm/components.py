@@ -3,9 +3,10 @@
 Each round every node points to the node with the smallest hash, under that
 round's seed, among its neighbours and their neighbours, and the graph is
 contracted along the pointers.  All steps are map-side combined aggregations and
-equi-joins, so a node with a third of all edges needs no single task; a star
-vanishes in one round, and whatever the shape of the graph a fixed share of the
-nodes is expected to.  When at most ``finish_edges`` edges are left, a constant
+equi-joins, in which nodes with very many edges are broadcast (their number is
+bounded, see ``spread_join``), so a node with a third of all edges needs no single
+task; a star vanishes in one round, and whatever the shape of the graph a fixed
+share of the nodes is expected to.  When at most ``finish_edges`` edges are left, a constant
 however large the input, one task finishes them by union-find.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import durable
+from .runtime import HOT_ROWS, durable, spread_join
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,15 +43,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "to"])
 
 
-def _contract(live: DataFrame, seed: int) -> DataFrame:
-    """``(node, to)``: the node of smallest hash within two steps of each node."""
+def _contract(live: DataFrame, seed: int, hot_rows: int) -> DataFrame:
+    """``(node, to, degree)``: the node of smallest hash within two steps of each node."""
     ranked = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("n"))
     both = live.union(live.select("b", "a"))
-    near = both.select(F.col("a").alias("via"), F.least(ranked("a"), ranked("b")).alias("best")).groupBy("via").agg(F.min("best").alias("best"))
-    return both.join(near, both["b"] == near["via"]).groupBy("a").agg(F.min("best").alias("best")).select(F.col("a").alias("node"), F.col("best")["n"].alias("to"))
+    near = durable(both.groupBy("a").agg(F.min(F.least(ranked("a"), ranked("b"))).alias("best"), F.count(F.lit(1)).alias("degree")))
+    met = spread_join(both.toDF("a", "via"), near.toDF("via", "best", "degree"), "via", "degree", hot_rows=hot_rows)
+    found = met.groupBy("a").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("degree"))
+    return found.select(F.col("a").alias("node"), F.col("best")["n"].alias("to"), "degree")
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, finish_edges: int = 10_000, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, finish_edges: int = 10_000, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(node, root)`` for every node of ``edges``; two nodes share a root if and only if a path joins them.
 
     The root is some node of the component, not always the smallest. Edges with a
@@ -63,11 +66,16 @@ def connected_components(edges: DataFrame, src: str, dst: str, finish_edges: int
     for seed in range(max_rounds):
         if live.count() <= finish_edges:
             break
-        point = durable(_contract(live, seed))
-        step = point.withColumnRenamed("node", "root")
-        labels = point.withColumnRenamed("to", "root") if labels is None else durable(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        to_a, to_b = point.toDF("a", "ta"), point.toDF("b", "tb")
-        live = durable(live.join(to_a, "a").join(to_b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        point = durable(_contract(live, seed, hot_rows))
+        to = point.select("node", "to")
+        if labels is None:
+            labels = to.withColumnRenamed("to", "root")
+        else:
+            members = durable(labels.groupBy("root").agg(F.count(F.lit(1)).alias("members")).join(to.withColumnRenamed("node", "root"), "root", "left"))
+            labels = durable(spread_join(labels, members, "root", "members", hot_rows=hot_rows).select("node", F.coalesce("to", "root").alias("root")))
+        moved = spread_join(live, point.toDF("a", "ta", "degree"), "a", "degree", hot_rows=hot_rows)
+        moved = spread_join(moved, point.toDF("b", "tb", "degree"), "b", "degree", hot_rows=hot_rows)
+        live = durable(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     if not finish_edges:
@@ -76,4 +84,5 @@ def connected_components(edges: DataFrame, src: str, dst: str, finish_edges: int
     last = durable(live.coalesce(1).mapInArrow(_finish, T.StructType([T.StructField("node", kind), T.StructField("to", kind)])))
     if labels is None:
         return last.withColumnRenamed("to", "root")
-    return labels.join(last.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    members = durable(labels.groupBy("root").agg(F.count(F.lit(1)).alias("members")).join(last.toDF("root", "to"), "root", "left"))
+    return spread_join(labels, members, "root", "members", hot_rows=hot_rows).select("node", F.coalesce("to", "root").alias("root"))

@@ -5,10 +5,12 @@ the highest bit, differing bits are added up along the way, and a pair is
 dropped once it has more of them than the budget.  The tries are sharded by
 the pigeonhole principle: with ``d`` allowed bits, two linked fingerprints agree
 on one of ``d + 1`` blocks of bits, so each shard is the trie of the
-fingerprints that share the value of one block.  Shards above ``shard_cap``
-fingerprints are dealt out as pairs of hashed parts, so a task holds
-``2 * shard_cap`` at most.  A shard gives a spanning forest, not all its pairs:
-node pairs that lie in one component already are skipped.
+fingerprints that share the value of one block.  Edges of the trie below which
+only one fingerprint is left are compressed: a pair of such leaves adds up all
+its remaining bits in one step.  Shards above ``shard_cap`` fingerprints are dealt
+out as pairs of hashed parts; a task walks its shards a slice at a time and holds
+``SLICE + 2 * shard_cap`` fingerprints at most.  A shard gives a spanning forest,
+not all its pairs: node pairs that lie in one component already are skipped.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as A
 from .components import connected_components
-from .runtime import durable, parallelism
+from .runtime import durable, parallelism, spread_join
 
 BITS = 64
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 #: Node pairs that are expanded together.
 _FRONTIER = 1 << 15
-_BRUTE = 24
+#: Fingerprints whose shards are walked together.
+SLICE = 1 << 16
+#: Fingerprints of a shard, or of a part of one.
+SHARD_CAP = 100_000
+#: Shards above this are walked at one bit first.
+_LARGE = 2000
 
 
 def majority_bits(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -114,7 +121,7 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def trie_forest(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
-    """For fingerprints sorted by (group, fp), the index of the smallest member of each one's component inside its group."""
+    """For distinct fingerprints sorted by (group, fp), the index of the smallest member of each one's component inside its group."""
     n = len(fp)
     label = np.arange(n)
     if n < 2:
@@ -128,7 +135,7 @@ def trie_forest(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
     for bit in range(BITS):
         np.cumsum((fp >> np.uint64(BITS - 1 - bit)) & np.uint64(1), out=ones[bit, 1:], dtype=np.int32)
     # Large shards first join at one bit: what that links is skipped below.
-    for allowed in ([1, budget] if size.max() > 2000 and budget > 1 else [budget]):
+    for allowed in ([1, budget] if size.max() > _LARGE and budget > 1 else [budget]):
         stack = [(0, edge, edge + size, edge, edge + size, np.zeros(len(edge), np.int64))]
         while stack:
             depth, alo, ahi, blo, bhi, err = stack.pop()
@@ -140,16 +147,13 @@ def trie_forest(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
             joined = (run[alo] == run[ahi - 1]) & (run[blo] == run[bhi - 1]) & (label[alo] == label[blo])
             live = ~joined
             alo, ahi, blo, bhi, err = (x[live] for x in (alo, ahi, blo, bhi, err))
-            few = (ahi - alo) * (bhi - blo) <= _BRUTE if depth < BITS else np.ones(len(alo), bool)
-            if few.any():
-                na, nb = (ahi - alo)[few], (bhi - blo)[few]
-                pairs = na * nb
-                at = np.repeat(np.arange(len(pairs)), pairs)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-                i, j = alo[few][at] + k // nb[at], blo[few][at] + k % nb[at]
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= allowed
+            leaves = (ahi - alo == 1) & (bhi - blo == 1)
+            if leaves.any():
+                i, j = alo[leaves], blo[leaves]
+                below = ~np.uint64(0) >> np.uint64(depth) if depth < BITS else np.uint64(0)
+                near = err[leaves] + np.bitwise_count((fp[i] ^ fp[j]) & below) <= allowed
                 _merge(label, i[near], j[near])
-                alo, ahi, blo, bhi, err = (x[~few] for x in (alo, ahi, blo, bhi, err))
+                alo, ahi, blo, bhi, err = (x[~leaves] for x in (alo, ahi, blo, bhi, err))
             if not len(alo):
                 continue
             c = ones[depth]
@@ -165,22 +169,34 @@ def trie_forest(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _forest_batches(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    got = list(batches)
+    """Edges of the forests of all shards; rows come sorted by shard and, unsigned, by fingerprint."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    key, fp = table["shard"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    root = trie_forest(key, fp, budget)
-    child = np.flatnonzero(root != np.arange(len(root)))
-    a, b = fp[root[child]].view(np.int64), fp[child].view(np.int64)
-    for k in range(0, len(a), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], schema=schema)
-
-
-def hamming_edges(fps: DataFrame, max_bits: int = 3, shard_cap: int = 200_000) -> DataFrame:
+
+    def edges(key, fp):
+        first = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
+        key, fp = key[first], fp[first]
+        root = trie_forest(key, fp, budget)
+        child = np.flatnonzero(root != np.arange(len(root)))
+        a, b = fp[root[child]].view(np.int64), fp[child].view(np.int64)
+        for k in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], schema=schema)
+
+    keys, fps, held = [], [], 0
+    for batch in batches:
+        keys.append(batch.column(0).to_numpy())
+        fps.append(batch.column(1).to_numpy().view(np.uint64))
+        held += batch.num_rows
+        if held >= SLICE:
+            key, fp = np.concatenate(keys), np.concatenate(fps)
+            whole = int(np.searchsorted(key, key[-1]))  # the last shard may go on
+            if whole:
+                yield from edges(key[:whole], fp[:whole])
+            keys, fps, held = [key[whole:]], [fp[whole:]], len(key) - whole
+    if held:
+        yield from edges(np.concatenate(keys), np.concatenate(fps))
+
+
+def hamming_edges(fps: DataFrame, max_bits: int = 3, shard_cap: int = SHARD_CAP) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the distinct fingerprints ``fp`` that a chain of links of ``max_bits`` differing bits joins."""
     if not 0 <= max_bits < BITS:
         raise ValueError(f"max_bits must be from 0 to {BITS - 1}")
@@ -196,13 +212,13 @@ def hamming_edges(fps: DataFrame, max_bits: int = 3, shard_cap: int = 200_000) -
     dealt = (
         rows.join(parts, ["block", "value"], "left")
         .select("fp", "block", "value", own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-        .select("fp", F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+        .select(F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "fp")
     )
     n = parallelism(fps.sparkSession)
-    return dealt.repartition(n, "shard").mapInArrow(partial(_forest_batches, budget=max_bits), "a long, b long")
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard", F.col("fp") < 0, "fp").mapInArrow(partial(_forest_batches, budget=max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3, shard_cap: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3, shard_cap: int = SHARD_CAP) -> DataFrame:
     """``(id, fp, component_id)`` per row: ``component_id`` is the smallest id reachable over links of ``max_bits`` bits or fewer.
 
     Rows with equal fingerprints are linked, so repeated rows and all texts
@@ -211,19 +227,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other.  Links of a third of all rows cost one row per distinct fingerprint.
     """
     marked = durable(simhash_fingerprints(docs, id_col, text_col, shingle, seed))
-    return marked.join(_components(marked, max_bits, shard_cap), "fp").select("id", "fp", "component_id")
+    return spread_join(marked, _components(marked, max_bits, shard_cap), "fp", "n").select("id", "fp", "component_id")
 
 
 def _components(marked: DataFrame, max_bits: int, shard_cap: int) -> DataFrame:
-    """``(fp, root, component_id)`` of each fingerprint; ``root`` tells components apart whose smallest ids are equal or null."""
-    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    """``(fp, root, component_id, n)`` of each fingerprint; ``root`` tells components apart whose smallest ids are equal or null, ``n`` counts rows."""
+    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(hamming_edges(distinct, max_bits, shard_cap), "a", "b").select(F.col("node").alias("fp"), "root")
-    labelled = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return labelled.join(smallest, "root").select("fp", "root", "component_id")
+    labelled = durable(distinct.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = durable(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")))
+    return durable(spread_join(labelled, smallest, "root", "fps").select("fp", "root", "component_id", "n"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3, shard_cap: int = 200_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bits: int = 3, shard_cap: int = SHARD_CAP) -> DataFrame:
     """One row of each group of ``near_duplicates``, the one with the smallest id, with its columns.
 
     Of rows that repeat that id inside the group, the text with the smallest MD5
@@ -233,7 +249,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     told = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_print": F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
     rows = told.select(F.col("_id").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col("_print").alias("print"))
     marked = durable(rows.mapInArrow(partial(_fingerprint_batches, shingle=shingle, seed=seed, printed=True), "id long, fp long, print string"))
-    found = marked.join(_components(marked, max_bits, shard_cap), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    found = spread_join(marked, _components(marked, max_bits, shard_cap), "fp", "n").where(F.col("id").eqNullSafe(F.col("component_id")))
     copies = found.groupBy("root", "id", "print").agg(F.count(F.lit(1)).alias("n"))
     kept = durable(copies.groupBy("root").agg(F.min(F.struct("print", "id", "n")).alias("k")).select(F.col("k.id").alias("_kept"), F.col("k.print").alias("_kept_print"), "k.n"))
     rest = told.join(kept.drop("n"), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_kept_print")), "left_semi")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tallyspark.llm.simhash import drop_near_duplicates, hamming_edges, near_duplicates, trie_forest
@@ -73,19 +74,72 @@ def test_unlike_texts_stay_whatever_their_ids(spark):
     assert sorted(got) == sorted(docs[6:])
 
 
+def forest_by_pairs(fps, bits=3):
+    """``components`` for larger groups: all pairs by numpy rows, then union-find."""
+    f = np.array(fps, np.uint64)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(f)):
+        for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]) <= bits).tolist():
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def around(rng, n, spread, rate=0.4):
+    center = rng.getrandbits(64)
+    bits = rng.sample(range(64), spread)
+    return sorted({center ^ sum(1 << b for b in bits if rng.random() < rate) for _ in range(n)})
+
+
 def test_trie_join_in_dense_and_sparse_groups():
     rng = random.Random(2)
-    for n, spread in ((300, 6), (500, 14), (2500, 12), (400, 64)):
-        center = rng.getrandbits(64)
-        bits = rng.sample(range(64), spread)
-        fps = sorted({center ^ sum(1 << b for b in bits if rng.random() < 0.4) for _ in range(n)})
+    for n, spread, rate in ((300, 6, 0.4), (500, 14, 0.4), (400, 64, 0.4), (6000, 30, 0.12), (4500, 64, 0.05)):
+        fps = around(rng, n, spread, rate)
         got = trie_forest(np.zeros(len(fps), np.int64), np.array(fps, np.uint64), 3)
-        if len(fps) <= 600:
-            assert got.tolist() == components(fps)
+        assert got.tolist() == forest_by_pairs(fps)
+    assert len(fps) > 2000  # the last groups are walked at one bit first
     two = trie_forest(np.array([0, 1]), np.array([5, 5], np.uint64), 3)
     assert two.tolist() == [0, 1]
 
 
+def test_small_groups_are_walked_down_the_trie(monkeypatch):
+    """Pairs are only compared where both nodes hold one fingerprint, whatever the group's size."""
+    from tallyspark.llm import simhash
+
+    rng = random.Random(4)
+    fps = around(rng, 12, 64)
+    asked = []
+    plain = simhash._merge
+    monkeypatch.setattr(simhash, "_merge", lambda label, i, j: (asked.append((i, j)), plain(label, i, j)))
+    trie_forest(np.zeros(len(fps), np.int64), np.array(fps, np.uint64), 3)
+    assert sum(len(i) for i, _ in asked) == 0  # random fingerprints: every pair is pruned or fails at its leaves
+    assert trie_forest(np.zeros(2, np.int64), np.array([0, 7], np.uint64), 3).tolist() == [0, 0]
+
+
+def test_shards_across_batches_and_slices(monkeypatch):
+    from tallyspark.llm import simhash
+
+    rng = random.Random(6)
+    rows = sorted((shard, fp) for shard in range(9) for fp in around(rng, 70, 12))
+    rows = [r for r in rows for _ in range(2)]  # repeated rows of a shard count once
+    key, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64)
+    monkeypatch.setattr(simhash, "SLICE", 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 17]), pa.array(fp[k : k + 17].view(np.int64))], names=["shard", "fp"]) for k in range(0, len(rows), 17)]
+    edges = [(a, b) for out in simhash._forest_batches(iter(batches), 3) for a, b in zip(out.column(0).to_numpy().view(np.uint64).tolist(), out.column(1).to_numpy().view(np.uint64).tolist())]
+    want = 0
+    for shard in range(9):
+        own = sorted({f for s, f in rows if s == shard})
+        want += len(own) - len(set(components(own)))
+    assert len(edges) == want and all(bin(a ^ b).count("1") <= 64 for a, b in edges)
+
+
 def test_more_bits_against_brute_force(spark):
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(30)]
