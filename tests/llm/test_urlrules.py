@@ -29,6 +29,34 @@ def test_verdicts(spark):
     assert sorted(got, key=str) == sorted([(i, u, *x) for i, u, _, *x in PAGES + PAGES[:2]], key=str)
 
 
+def test_many_rules_as_a_table_against_plain_python(spark):
+    import random
+
+    rng = random.Random(8)
+    labels = ["a", "b", "net", "org", "x", ""]
+    hosts = [".".join(rng.choice(labels) for _ in range(rng.randrange(1, 5))) for _ in range(120)]
+    starts = ["", "/"] + ["/" + "".join(rng.choice("pq/") for _ in range(rng.randrange(0, 5))) for _ in range(60)]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts).upper(), rng.choice(starts)) for _ in range(6000)]  # more than a plan should hold
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(starts)}{rng.choice(['', '?q', '#f', 'z/y'])}" for _ in range(300)] + [None, "", "none", "http://"]
+
+    def naive(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:].split("#")[0].split("?")[0]
+        fits = [(len(at) + len(s), v == "allow", at + s) for v, at, s in ((v, at.lower(), s) for v, at, s in rules) if (host == at or host.endswith("." + at)) and path.startswith(s)]
+        best = max(fits, default=(0, True, None))
+        return host, path, best[2], "allow" if best[1] else "block"
+
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    table = spark.createDataFrame(rules + [(None, "net", "/"), ("block", None, "/"), ("block", "net", None)], "verdict string, host string, start string")
+    want = {k: naive(u) for k, u in enumerate(urls)}
+    for limit in (1 << 30, 0):  # broadcast, and not
+        got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, table, broadcast_bytes=limit).collect()}
+        assert {k: v[:2] + v[3:] for k, v in got.items()} == {k: v[:2] + v[3:] for k, v in want.items()}
+        assert all(len(got[k][2] or "") == len(want[k][2] or "") for k in want)
+    assert {r["verdict"] for r in judge_urls(pages, []).collect()} == {"allow"}
+
+
 def test_redirect_table_chains_and_empty(spark):
     df = spark.createDataFrame([(k, f"http://h{k}.com/", None) for k in range(30)], "page_id long, url string, html string")
     hops = spark.createDataFrame([(f"http://h{k}.com", f"http://h{k + 1}.com/") for k in range(20)] + [("http://h20.com/", "http://b.net/")], "src string, dst string")
