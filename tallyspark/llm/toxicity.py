@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
+from .runtime import durable
 
 #: English stems that count as toxic from the start.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "imbecile", "retard", "dumbass", "bastard", "bitch", "asshole", "fuck", "shit", "cunt", "whore", "slut")
@@ -93,15 +94,19 @@ def _features(lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest hash of the text's 3-word runs: copies and most near copies share it."""
+    """Adds the smallest hash of the text's 3-word runs (its words alone decide): copies and most near copies share it."""
     for batch in batches:
         least = np.zeros(batch.num_rows, np.uint64)
         for lo, _, buf, offsets in A.chunks(batch.column("text")):
             starts, ends, bounds = A.spans(buf, offsets, A.IS_WORD)
-            h = A.windows(A.hash_spans(buf, starts, ends), 3)
-            doc = A.doc_of(bounds)
+            words = A.hash_spans(buf, starts, ends)
             best = np.full(len(bounds) - 1, ~np.uint64(0))
-            np.minimum.at(best, doc, h)
+            n_words = np.diff(bounds)
+            for size in (3, 2, 1):  # a shorter text is one run
+                at = np.flatnonzero(A.window_mask(bounds, size))
+                doc = A.doc_of(bounds)[at]
+                fits = n_words[doc] >= 3 if size == 3 else n_words[doc] == size
+                np.minimum.at(best, doc[fits], A.windows(words, size)[at[fits]])
             least[lo : lo + len(best)] = best
         yield batch.append_column("signature", pa.array(least.view(np.int64)))
 
@@ -171,29 +176,46 @@ def _feature_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "x1", "x2"])
 
 
+def _strong(toxic: int, clean: int, min_share: float = 0.03, min_docs: int = 4, min_evidence: float = 2.3):
+    """The stems that ``choose_stems`` may take: those with support and evidence of their own."""
+    t, c = F.col("t"), F.col("c")
+    odds = F.log(t + 0.5) - F.log(F.lit(toxic + 1.0)) - F.log(c + 0.5) + F.log(F.lit(clean + 1.0))
+    return (t >= max(min_docs, min_share * toxic)) & (odds - F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= min_evidence - 1e-9)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """``(text, toxic)`` of a hashed sample of about ``max_rows`` labelled rows, near copies once, by the row with the smallest id and then text."""
+    given = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
+    marked = given.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
+    share = min(1.0, max_rows / max(1, marked.count()))
+    sample = marked.where(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # its size is bounded by max_rows, but for the luck of the hash
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+    signed = rows.mapInArrow(_signature_batches, f"{schema}, signature long")
+    return signed.groupBy("signature", "toxic").agg(F.min(F.struct("id", "text")).alias("first")).select(F.col("first.text").alias("text"), "toxic")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000) -> dict:
     """A model from labelled documents, of which a hashed sample of about ``max_rows`` is used (the documented bound).
 
-    Rows without a label or id are left out.  Near copies count once, by a
-    shared min-hash, so a document with many copies can't put its words into the lexicon.
+    Rows without a label or id, and ids with both labels, are left out; a null
+    text counts as empty.  Near copies count once, by a shared min-hash, so a
+    document with many copies can't put its words into the lexicon; which of them
+    stays does not depend on the order of rows.
     """
     spark = docs.sparkSession
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["id"])
-    share = min(1.0, max_rows / max(1, marked.count()))
-    sample = marked.where(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # its size is bounded by max_rows, but for the luck of the hash
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "toxic")
-    kept = rows.mapInArrow(_signature_batches, "text string, toxic int, signature long").dropDuplicates(["signature", "toxic"]).cache()
+    kept = durable(labelled_texts(docs, labels, id_col, text_col, label_col, max_rows))
     sizes = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    counts = kept.select("text", "toxic").mapInArrow(_count_batches, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    common = counts.where(F.col("t") >= max(4, 0.03 * toxic)).orderBy(F.desc("t"), "stem").limit(50_000).collect()
-    stems = choose_stems([(r["stem"], r["t"], r["c"]) for r in common], toxic, clean) if toxic and clean else {}
+    counts = kept.mapInArrow(_count_batches, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    # the sample bounds the stems that a thirtieth of its toxic texts share
+    found = counts.where(_strong(toxic, clean)).collect() if toxic and clean else []
+    stems = choose_stems([(r["stem"], r["t"], r["c"]) for r in found], toxic, clean)
     typical = float(np.median(list(stems.values()))) if stems else 4.0
     stems |= {s: typical for s in SEEDS if not any(s[:n] in stems for n in range(4, len(s) + 1))}
     model = spark.sparkContext.broadcast(pickle.dumps({"stems": stems}))
-    seen = kept.select("text", "toxic").mapInArrow(partial(_feature_batches, model=model), "toxic int, x1 double, x2 double").toPandas()
-    kept.unpersist()
+    seen = kept.mapInArrow(partial(_feature_batches, model=model), "toxic int, x1 double, x2 double").orderBy("toxic", "x1", "x2").toPandas()
     x, y = seen[["x1", "x2"]].to_numpy().reshape(-1, 2), seen["toxic"].to_numpy(dtype=float)
     # a little belief that a typical match is toxic and none is clean carries sizes without labels
     x, y = np.vstack([x, [[0, 0]] * 2, [[math.log1p(typical), math.log1p(typical)]] * 2]), np.r_[y, 0, 0, 1, 1]
