@@ -11,7 +11,8 @@ letters and share their class's probability by add-one counts; words never seen
 are one more type there.  Gradients are truncated at windows.
 
 Training.  Every task trains on its own documents from a common start, and the
-parameters are averaged, weighted by tokens, in a tree; this repeats a few times.
+parameters are averaged, weighted by tokens, in a tree; this repeats in a few
+rounds, and every training document is learned from in one of them.
 """
 
 from __future__ import annotations
@@ -385,13 +386,14 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"weight": pa.array([n], pa.int64()), "blob": pa.array([pickle.dumps({k: (x / n).astype(np.float32) for k, x in total.items()})], pa.binary())})
 
 
-def fit_model(training: DataFrame, vocabulary: Vocabulary, share: float = 1.0, rounds: int = 2, rate: float = 0.02, fan_in: int = 32) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` of local training and averaging on all training texts; ``share`` below 1 takes a hashed part of them."""
+def fit_model(training: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float = 0.02, fan_in: int = 32) -> dict[str, np.ndarray]:
+    """Parameters after one pass over all training texts, dealt by hash to ``rounds`` rounds of local training and averaging."""
     spark = training.sparkSession
     p = initial_parameters(vocabulary)
-    rows = training.where(F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    turn = F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(rounds))
     for k in range(rounds):
         model = spark.sparkContext.broadcast(pickle.dumps((vocabulary, p)))
+        rows = training.where(turn == k).select("text")
         found = durable(rows.mapInArrow(partial(_train_batches, model=model, rate=rate / (k + 1)), "weight long, blob binary"))
         n = found.count()
         while n > fan_in:
@@ -445,7 +447,7 @@ def _rare_batches(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Re
     return A.map_chunks(batches, "text", kernel, schema)
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, share: float = 1.0, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, rounds: int = 2) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row, log10.
 
     Tokens are runs of non-white-space with A-Z lower-cased, then one end; a null
@@ -460,7 +462,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     training = rows.where(~F.col("held_out"))
     counts = durable(token_counts(training))
     vocabulary = build_vocabulary(counts, frequent)
-    p = fit_model(training, vocabulary, share, rounds)
+    p = fit_model(training, vocabulary, rounds)
     model = spark.sparkContext.broadcast(pickle.dumps((vocabulary, p)))
     scored = keyed.select("id", "print", "held_out", "text").mapInArrow(partial(_score_batches, model=model), "id long, print long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     firsts = [F.first(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base_score", "score")]

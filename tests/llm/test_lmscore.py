@@ -21,7 +21,7 @@ def expected(docs, held):
 @pytest.mark.parametrize("frequent", [L.FREQUENT, 40])
 def test_base_scores_against_brute_force(spark, frequent):
     docs = awkward()
-    got = L.score_documents(frame(spark, docs), F.col("doc_id") % 7 == 2, frequent=frequent, share=1.0).collect()
+    got = L.score_documents(frame(spark, docs), F.col("doc_id") % 7 == 2, frequent=frequent).collect()
     n, want = expected(docs, lambda i: i is not None and i % 7 == 2)
     assert {r["train_tokens"] for r in got} == {n}
     assert sorted(((r["id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got), key=str) == want
@@ -30,7 +30,7 @@ def test_base_scores_against_brute_force(spark, frequent):
 
 def test_frequent_table_does_not_change_the_scores(spark):
     docs = frame(spark, awkward())
-    a, b = ({(r["id"], r["n_tokens"], round(r["score"], 3)) for r in L.score_documents(docs, F.lit(False), frequent=f, share=1.0).collect()} for f in (L.FREQUENT, L.VOCAB + 100))
+    a, b = ({(r["id"], r["n_tokens"], round(r["score"], 3)) for r in L.score_documents(docs, F.lit(False), frequent=f).collect()} for f in (L.FREQUENT, L.VOCAB + 100))
     assert a == b
 
 
@@ -105,11 +105,11 @@ def test_training_improves_held_out_likelihood(spark):
     rng = np.random.default_rng(5)
     speak = lambda a: " ".join(f"{a}{k}" for k in rng.integers(0, 40, 120))
     docs = [(k, speak("x" if k % 2 else "y")) for k in range(300)]
-    got = L.score_documents(frame(spark, docs), F.col("doc_id") % 7 == 2, share=1.0, rounds=2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    got = L.score_documents(frame(spark, docs), F.col("doc_id") % 7 == 2, rounds=2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert (got["s"] - got["b"]) / got["n"] > 0.15  # two languages, told apart: log10(2) = 0.3 at best
 
 
-def test_registered_query_trains_on_every_training_row(spark, tmp_path, monkeypatch):
+def test_registered_query_learns_from_every_training_row_once(spark, tmp_path, monkeypatch):
     docs = [(k, f"text number {k}") for k in range(300)]
     frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
     seen, original = tmp_path / "seen", L._train_batches
@@ -128,4 +128,4 @@ def test_registered_query_trains_on_every_training_row(spark, tmp_path, monkeypa
     for file in seen.iterdir():
         rate, n = file.read_text().split()
         by_round[rate] += int(n)
-    assert 0 < training < len(docs) and list(by_round.values()) == [training] * 2
+    assert 0 < training < len(docs) and len(by_round) == 2 and sum(by_round.values()) == training and min(by_round.values()) > training // 4
