@@ -1,7 +1,7 @@
 """Command line: ``python -m tallyspark.cli --root DIR --config FILE COMMAND ...``.
 
 The configuration is JSON: ``accounts`` (objects with account_id, name,
-institution, currency, type, active, inverted), ``rules``, ``key`` and optionally
+institution, currency, type, active, inverted), ``rules``, ``key`` (of the seals) and optionally
 ``holder``, ``tolerance_by_account``, ``row_cap``, ``bucket_cap``, ``window_days``.
 Every command prints JSON.
 """
@@ -29,8 +29,17 @@ def load_config(spark, path: str) -> tuple[ingest.Config, bytes]:
     fields = ("account_id", "name", "institution", "currency", "type", "active", "inverted")
     rows = [tuple({"active": True, "inverted": False, **a}[k] for k in fields) for a in raw["accounts"]]
     accounts = spark.createDataFrame(rows, "account_id string, name string, institution string, currency string, type string, active boolean, inverted boolean")
-    extra = {k: raw[k] for k in ("holder", "tolerance_by_account", "tolerance_by_currency", "default_tolerance", "row_cap", "bucket_cap", "window_days") if k in raw}
-    return ingest.Config(accounts, raw.get("rules", []), **extra), raw.get("key", "unsealed").encode()
+    extra = {k: raw[k] for k in ("holder", "tolerance_by_account", "tolerance_by_currency", "default_tolerance", "row_cap", "bucket_cap", "window_days", "categories") if k in raw}
+    if not raw.get("key"):
+        raise SystemExit("the configuration has no key to seal staged runs with")
+    hints = [(a["account_id"], h) for a in raw["accounts"] for h in a.get("match_hints", [])]
+    if hints:
+        extra["hints"] = spark.createDataFrame(hints, "account_id string, hint string")
+    return ingest.Config(accounts, raw.get("rules", []), **extra), raw["key"].encode()
+
+
+def files_of(spark, folder: str):
+    return statements.discover(spark, folder)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -71,12 +80,12 @@ def run(args: argparse.Namespace, spark=None) -> object:
         raise SystemExit(f"{args.command} changes the ledger: give --confirm")
     match args.command:
         case "ingest":
-            files = statements.read_statements(statements.discover(spark, args.folder))
+            files = statements.read_statements(files_of(spark, args.folder))
             run_id = args.run or fresh("run")
             staged = ingest.build(files, config, store.transactions())
             manifest = staging.save(store, run_id, staged, key)
             if args.commit and set(manifest["states"].values()) == {"READY_TO_COMMIT"}:
-                manifest["committed"] = store.commit(run_id, staging.load(store, run_id, key))
+                manifest["committed"] = store.commit(run_id, staging.load(store, run_id, key), config, files_of(spark, args.folder))
             return manifest
         case "review":
             return [r.asDict() for r in staging.preview(staging.load(store, args.run, key)).collect()]
@@ -89,7 +98,7 @@ def run(args: argparse.Namespace, spark=None) -> object:
             new = fresh("run")
             return staging.save(store, new, approve(staging.load(store, args.run, key), args.statement, args.reason), key)
         case "commit":
-            return store.commit(args.run, staging.load(store, args.run, key))
+            return store.commit(args.run, staging.load(store, args.run, key), config)
         case "rollback":
             store.rollback(args.run)
             return {"rolled_back": args.run}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import computed
+
 # Currencies without decimals, texts that are no amount, largest amount.
 NO_DECIMALS = ("CLP", "JPY")
 NOT_AMOUNTS = ("", "-", "—", "N/A", "n/a")
@@ -59,7 +61,7 @@ def with_parsed_amount(rows: DataFrame, text: str, currency: str | Column, name:
         .when(c("_s").rlike(r"^[^.]{1,3}\.[^.]{3}$"), F.lit(None))
         .otherwise(c("_s"))
     )
-    out = out.withColumn("_n", number)
+    out = computed(out.withColumn("_n", number))
     good = ~c("_t").isin(*NOT_AMOUNTS) & (c("_hyphens") <= 1) & c("_n").rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
     value = F.when(good, F.expr("try_cast(_n AS decimal(38,18))"))
     signed = F.when(c("_wrapped") != c("_minus"), -value).otherwise(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,7 +16,8 @@ CONFUSABLES = {
 }
 # Words that say nothing about a merchant, and labels whose value goes with them.
 GENERIC_WORDS = ("mexico", "mx", "cdmx", "gdl", "mty", "compra", "pago", "tarjeta", "debito", "credito")
-REFERENCE = r"(?U)\b(ref|folio|aut|autoriz\w*|no\.?|num\.?|clave|rfc)\b[:\s#]*[a-z0-9\-]+"
+REFERENCE_LABELS = ("ref", "folio", "aut", r"autoriz\w*", r"no\.?", r"num\.?", "clave", "rfc")
+REFERENCE = rf"(?U)\b(?:{'|'.join(REFERENCE_LABELS)})\b[#:\s]*[\-0-9a-z]+"
 FORMULA_STARTS = ("=", "+", "-", "@", "\t", "\r")
 
 
@@ -38,6 +39,11 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
+def composed(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name``, ``text`` under compatibility composition; only texts beyond ASCII are handed to Python, nulls for the others."""
+    return rows.withColumn(name, F.coalesce(_nfkc(F.when(~F.col(text).rlike(r"^[\x00-\x7F]*$"), F.col(text))), F.col(text)))
+
+
 def normalize_merchant(text: Column, compose: bool = False) -> Column:
     """The merchant in lower case without references, long numbers and generic words; ``compose`` also folds compatibility forms."""
     s = nfkc(text) if compose else text
@@ -98,12 +104,30 @@ def mentions_holder(description: Column, holder: str) -> Column:
     return F.coalesce(fold(description).rlike(r"(?U)(?<!\w)" + r"\W+".join(words) + r"(?!\w)"), F.lit(False))
 
 
+def harmless(value: object, keep_lines: bool = True) -> object:
+    """Results for other programs, however nested: texts without control characters and backticks."""
+    if isinstance(value, str):
+        allowed = "\t\n\r" if keep_lines else ""
+        return "".join("'" if c == "`" else c for c in value if c in allowed or (ord(c) >= 32 and ord(c) != 127))
+    if isinstance(value, dict):
+        return {harmless(k, keep_lines): harmless(v, keep_lines) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [harmless(v, keep_lines) for v in value]
+    return value
+
+
 def detail_fields(detail: Column) -> Column:
-    """Concept, counterparty, reference and card of a ``|``-separated detail text."""
-    parts = F.filter(F.transform(F.split(detail, r"\|"), F.trim), lambda x: x != "")
-    named = F.filter(parts, lambda x: x.rlike(r"(?U)^[\p{L}][\p{L} .']+$") & x.contains(" "))
+    """Concept, counterparty, reference and card of the lines, joined by ``|``, that an issuer prints below a movement; null where not printed.
+
+    The concept stands between a seven-digit prefix, or ``BNET`` and an account,
+    and ``Referencia``; the counterparty is the last line that is a name of two
+    words or more; a reference has six digits or more; a card its last four.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(detail, F.lit("")), r" \| "), lambda x: F.trim(x)), lambda x: x != "")
+    first = lambda rx: F.get(F.filter(F.transform(parts, lambda x: F.regexp_extract(x, rx, 1)), lambda x: x != ""), F.lit(0))
+    name = r"^\p{L}+(?:\s+\p{L}+)+$"
+    named = F.filter(parts, lambda x: x.rlike(name) & ~F.upper(x).startswith("RFC"))
     return F.struct(
-        F.element_at(parts, F.when(F.size(parts) > 0, 1)).alias("concept"), F.when(F.size(named) > 0, F.element_at(named, -1)).alias("counterparty"),
-        F.nullif(F.regexp_extract(detail, r"(?i)(?:ref(?:erencia)?|folio)[.:\s]*([0-9A-Za-z]+)", 1), F.lit("")).alias("reference"),
-        F.nullif(F.regexp_extract(detail, r"\*{3,}([0-9]{4})", 1), F.lit("")).alias("card"),
+        F.trim(first(r"^(?:[0-9]{7}|BNET\s+[0-9]+\s+)(.+?)\s+Referencia\b")).alias("concept"), F.get(named, F.size(named) - 1).alias("counterparty"),
+        first(r"\bReferencia\s+([0-9]{6,})").alias("reference"), first(r"\*{4,}([0-9]{4})").alias("card"),
     )

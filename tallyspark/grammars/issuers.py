@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import make_date, month_number, normalize_date, resolve_year
+from ..functions.money import with_parsed_amount
 from ..operators.balances import signs_from_balance, solve_segments, with_segments
 from ..session import computed
 from . import patterns as P
@@ -60,8 +61,7 @@ def rejoin_split_dates(lines: DataFrame) -> DataFrame:
     """Movements whose date is printed over three lines, as one line in the first one's place.
 
     Either day and month alone, the movement, the year alone; or day, month and
-    text, an amount alone, year and more text.  A line belongs to one such triple
-    only, the first; the month has to be a month.
+    text, an amount alone, year and more text.  The month has to be a month.
     """
     s = F.trim(F.col("line"))
     near = lines.withColumn("s", s).withColumn("s1", F.lead(s, 1).over(_by_line())).withColumn("s2", F.lead(s, 2).over(_by_line()))
@@ -71,11 +71,7 @@ def rejoin_split_dates(lines: DataFrame) -> DataFrame:
     joined = F.when(plain, F.concat_ws(" ", "s", F.col("s2"), F.col("s1"))).when(
         texted, F.concat_ws(" ", F.regexp_extract("s", P.DAY_MONTH_TEXT, 1), F.regexp_extract("s2", P.YEAR_TEXT, 1), rest, F.nullif(F.regexp_extract("s2", P.YEAR_TEXT, 2), F.lit("")), F.col("s1")))
     near = near.withColumn("joined", F.coalesce(joined, F.lit(None).cast("string")))
-    # of starts that overlap, every one whose distance to the last kept start is three or more is kept: runs of starts are numbered
-    start = F.when(F.col("joined").isNotNull(), F.col("line_no"))
-    near = near.withColumn("_p", F.last(start, ignorenulls=True).over(_by_line().rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.col("joined").isNotNull() & (F.col("_p").isNull() | (F.col("line_no") - F.col("_p") >= 3))
-    near = near.withColumn("_kept", fresh)
+    near = near.withColumn("_kept", F.col("joined").isNotNull())  # neither an amount nor a year begins another triple, so none overlap
     eaten = F.coalesce(F.lag("_kept", 1).over(_by_line()), F.lit(False)) | F.coalesce(F.lag("_kept", 2).over(_by_line()), F.lit(False))
     near = near.withColumn("_eaten", eaten & ~F.col("_kept"))
     return near.where("NOT _eaten").select("doc_id", "line_no", F.when(F.col("_kept"), F.col("joined")).otherwise(F.col("line")).alias("line"))
@@ -91,8 +87,8 @@ def signed(lines: DataFrame) -> DataFrame:
     alone = F.when(F.col("_above").rlike(P.SIGNED_ALONE), F.trim("_above"))
     rows = rows.withColumn("_token", F.when(F.size("_all") > 0, F.element_at("_all", -1)).otherwise(alone)).where("_token IS NOT NULL")
     rows = rows.withColumn("_first", F.when(F.size("_all") > 0, F.col("_all")[0]).otherwise(F.lit("\x00")))
-    said = F.regexp_replace(_between("s", "date_raw", "_first"), rf"^\s*[0-9]{{1,2}}[\s/]{P.WORDS}{{3,}}\.?[\s/][0-9]{{4}}\s+", "")
-    said = _clean(F.regexp_replace(said, r"\s*\|\s*RFC:.*$", ""))
+    said = F.regexp_replace(_between("s", "date_raw", "_first"), P.SECOND_DATE, "")
+    said = _clean(F.regexp_replace(said, P.TAX_SUFFIX, ""))
     loose = F.when(~F.col("_before").rlike(P.FULL_DATE) & ~F.col("_before").rlike(P.SIGNED) & ~F.col("_before").rlike(P.TABLE_HEADER), F.col("_before"))
     rows = rows.withColumn("description", F.coalesce(F.nullif(said, F.lit("")), loose, F.lit("")))
     rows = rows.where(~F.col("description").rlike(P.NOT_A_MOVEMENT))
@@ -111,8 +107,8 @@ def legacy_card(lines: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.join(declared, "doc_id").withColumn("amount_minor", F.when(minus, -size).otherwise(size)).withColumn("_paid", F.when(paid, size).otherwise(0))
     off = F.coalesce(F.sum("_paid").over(Window.partitionBy("doc_id")) != F.col("_declared"), F.lit(False))
     doubtful = (~minus & F.col("description").rlike(P.LEGACY_AMBIGUOUS)) | off
-    guess = normalize_date(F.col("date_raw"), F.year("period_end"))
-    return _out(rows, date_op=resolve_year(guess, F.col("date_raw"), F.col("period_start"), F.col("period_end")), doubtful=doubtful)
+    rows = computed(rows.withColumn("doubtful", doubtful).withColumn("_day", normalize_date(F.col("date_raw"), F.year("period_end"))))
+    return _out(rows, date_op=resolve_year(F.col("_day"), F.col("date_raw"), F.col("period_start"), F.col("period_end")))
 
 
 def balance_column(lines: DataFrame, docs: DataFrame, dates: Column | None = None) -> DataFrame:
@@ -122,8 +118,8 @@ def balance_column(lines: DataFrame, docs: DataFrame, dates: Column | None = Non
     rows = rows.withColumn("description", _clean(_between("s", "date_raw", "_first")))
     rows = rows.join(docs.select("doc_id", "opening_minor", "period_start", "period_end"), "doc_id")
     done = signs_from_balance(rows, "doc_id", ["line_no"])
-    day = normalize_date(F.regexp_replace("date_raw", r"\.", ""), F.year("period_end"))
-    return _out(done, date_op=resolve_year(day, F.col("date_raw"), F.col("period_start"), F.col("period_end")))
+    done = computed(done.withColumn("_day", normalize_date(F.regexp_replace("date_raw", r"\.", ""), F.year("period_end"))))
+    return _out(done, date_op=resolve_year(F.col("_day"), F.col("date_raw"), F.col("period_start"), F.col("period_end")))
 
 
 def day_column(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -150,7 +146,7 @@ def segments(lines: DataFrame, docs: DataFrame) -> DataFrame:
     below = rows.where("NOT _move AND NOT _stop AND _open = 1 AND s <> ''").where(~F.col("s").rlike(P.PAGE_FURNITURE))
     detail = below.groupBy("doc_id", "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]), " | ").alias("detail"))
     m = rows.where("_move").withColumn("magnitude_minor", F.abs(cents(F.col("_all")[0]))).withColumn("balance_minor", F.when(F.size("_all") >= 3, cents(F.element_at("_all", -2)))).withColumn("_first", F.col("_all")[0])
-    second = rf"^\s*([0-9]{{1,2}}/{P.WORDS}{{3,4}}(?:/[0-9]{{2,4}})?)\s+"
+    second = P.SECOND_DAY_MONTH
     said = _between("s", "date_raw", "_first")
     m = m.withColumn("_liq", F.regexp_extract(F.expr("substring(s, length(date_raw) + 1)"), second, 1)).withColumn("description", _clean(F.regexp_replace(said, second, "")))
     m = m.join(docs.select("doc_id", "period_start", "period_end", "opening_minor", "closing_minor"), "doc_id").withColumn("_guess", F.when(F.col("description").rlike(P.CREDIT_WORDS), 1).otherwise(-1))
@@ -164,7 +160,7 @@ def segments(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _day_in_period(raw: Column, start: Column, end: Column) -> Column:
     """``DD/MMM`` in the year, of the period's start or end, that is inside or nearest, within the lag; with a year as printed."""
-    part = lambda k: F.nullif(F.regexp_extract(raw, rf"^([0-9]{{1,2}})/({P.WORDS}{{3,4}})(?:/([0-9]{{2,4}}))?$", k), F.lit(""))
+    part = lambda k: F.nullif(F.regexp_extract(raw, P.DAY_MONTH_PARTS, k), F.lit(""))
     day, month, year = part(1).cast("int"), month_number(part(2)), part(3).cast("int")
     away = lambda d: F.greatest(F.datediff(start, d), F.datediff(d, end), F.lit(0))
     options = F.transform(F.array(F.year(start), F.year(end)), lambda y: make_date(y, month, day))
@@ -181,7 +177,7 @@ def two_dates(lines: DataFrame) -> DataFrame:
     g = lambda k: F.regexp_extract("s", P.CARD_LINE, k)
     m = m.withColumn("date_raw", g(1)).withColumn("_said", F.trim(g(3))).withColumn("_card", F.nullif(F.regexp_extract("_said", P.CARD_NUMBER, 1), F.lit("")))
     size = cents(g(5))
-    return _out(m, date_op=normalize_date(g(1)), date_post=normalize_date(g(2)), description=F.trim(F.regexp_replace("_said", P.CARD_NUMBER, "")), detail=F.concat_ws(" | ", "_card", "_dollars"), amount_minor=F.when(g(4) == "+", size).otherwise(-size))
+    return _out(m, date_op=normalize_date(g(1)), date_post=normalize_date(g(2)), description=F.regexp_replace(F.regexp_replace("_said", P.CARD_NUMBER, ""), "^[ ;]+|[ ;]+$", ""), detail=F.concat_ws(" | ", "_card", "_dollars"), amount_minor=F.when(g(4) == "+", size).otherwise(-size))
 
 
 def charges(lines: DataFrame) -> DataFrame:
@@ -192,19 +188,66 @@ def charges(lines: DataFrame) -> DataFrame:
     return _out(rows, date_op=normalize_date(F.regexp_replace("date_raw", r"\.", "")), description=_clean(_between("s", "date_raw", "_first")), amount_minor=F.when(minus, -size).otherwise(size))
 
 
+def generic(lines: DataFrame) -> DataFrame:
+    """Date, text and amount of a line, whoever printed it; an ambiguous amount stays null."""
+    rows = lines.where(F.col("line").rlike(P.GENERIC_LINE)).select("doc_id", "line_no", *[F.regexp_extract("line", P.GENERIC_LINE, k).alias(n) for k, n in ((1, "_date"), (2, "_text"), (3, "_amount"))])
+    rows = computed(with_parsed_amount(rows, "_amount", F.lit("MXN"), "amount_minor"))
+    raw = F.trim("_date")
+    return _out(rows, date_raw=raw, date_op=normalize_date(F.regexp_replace(raw, r"\.$", "")), description=F.trim("_text"))
+
+
+def generic_balances(docs: DataFrame) -> DataFrame:
+    """Adds ``opening_raw`` and ``closing_raw`` as documents of unknown issuers print them."""
+    found = lambda rx: F.nullif(F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), rx, 1)), F.lit(""))
+    return docs.withColumn("opening_raw", found(P.GENERIC_OPENING)).withColumn("closing_raw", found(P.GENERIC_CLOSING))
+
+
+def warnings(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, warning)``: lines that look like movements but give none, or that were read with help.
+
+    Nothing is left out in silence: excluded labels, amounts taken from the line
+    before, dated lines without an amount and a balance, days that do not tell
+    their date, dated lines of unknown issuers, and payments that differ from the
+    declared total (without a line number).
+    """
+    docs = computed(docs)
+    rows = lines.join(docs.select("doc_id", "bank", "period_start", "period_end"), "doc_id").withColumn("s", F.trim("line"))
+    n_amounts = F.size(F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0)))
+    above = F.lag("line").over(_by_line())
+    is_signed, c = F.col("bank").isin("nu", "uala"), F.col
+    lone = F.nullif(F.regexp_extract("line", P.LONE_DAY, 1), F.lit("")).cast("int")
+    days = F.size(F.filter(F.sequence("period_start", "period_end"), lambda d: F.dayofmonth(d) == c("_lone")))
+    rows = rows.withColumn("_above", above).withColumn("_lone", F.when(c("bank") == "hsbc", lone)).withColumn("_n", n_amounts)
+    kind = (
+        F.when((c("bank") == "nu") & c("s").rlike(P.LEGACY_LINE) & c("s").rlike(P.LEGACY_EXCLUDED), "excluded by its label")
+        .when(is_signed & (c("s").rlike(P.SIGNED)) & c("s").rlike(P.NOT_A_MOVEMENT), "excluded by its label")
+        .when(is_signed & c("s").rlike(P.FULL_DATE) & ~c("s").rlike(P.SIGNED) & c("_above").rlike(P.SIGNED_ALONE), "amount taken from the line before")
+        .when((c("bank") == "gbm") & c("s").rlike(P.ANY_DATE) & (c("_n") == 1), "dated line without amount and balance")
+        .when(c("_lone").isNotNull() & (c("_n") == 1), "dated line without amount and balance")
+        .when(c("_lone").isNotNull() & (c("_n") >= 2) & (c("period_start") <= c("period_end")) & (days != 1), "day does not tell its date")
+        .when(c("bank").isNull() & ~c("line").rlike(P.GENERIC_LINE) & c("line").rlike(P.GENERIC_DATED), "dated line not understood")
+    )
+    by_line = rows.select("doc_id", "line_no", kind.alias("warning")).where("warning IS NOT NULL")
+    paid = rows.where((c("bank") == "nu") & c("s").rlike(P.LEGACY_LINE) & c("s").rlike(P.LEGACY_PAYMENT) & ~c("s").rlike(P.LEGACY_EXCLUDED)).groupBy("doc_id").agg(F.sum(cents(F.regexp_extract("s", P.LEGACY_LINE, 4))).alias("_paid"))
+    declared = docs.where("bank = 'nu'").select("doc_id", cents(F.regexp_extract("text", P.LEGACY_TOTAL, 1)).alias("_declared"))
+    off = declared.join(paid, "doc_id").where("_declared <> _paid").select("doc_id", F.lit(None).cast("int").alias("line_no"), F.lit("payments differ from the declared total").alias("warning"))
+    return by_line.unionByName(off)
+
+
 def parse_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Movements of all documents, each by its bank's grammar; those of unknown banks have none.
+    """Movements of all documents, each by its bank's grammar; those of unknown banks by the generic one.
 
     The older card layout is tried for documents of its issuer, or of none, in
-    which the signed grammar finds nothing.
+    which the signed or the generic grammar finds nothing.
     """
     docs = computed(docs)
     tagged = docs.withColumn("_card", F.coalesce(F.col("text").rlike(P.CARD_LAYOUT), F.lit(False)))
     of = lambda condition: lines.join(tagged.where(condition).select("doc_id"), "doc_id", "left_semi")
-    explicit = signed(of("bank IN ('nu', 'uala')"))
-    silent = tagged.where("bank = 'nu'").join(explicit.select("doc_id").distinct(), "doc_id", "left_anti")
+    explicit, loose = signed(of("bank IN ('nu', 'uala')")), generic(of("bank IS NULL"))
+    found = explicit.select("doc_id").union(loose.select("doc_id")).distinct()
+    silent = tagged.where("bank = 'nu' OR bank IS NULL").join(found, "doc_id", "left_anti")
     older = legacy_card(lines.join(silent.select("doc_id"), "doc_id", "left_semi"), silent)
-    parts = [explicit, older, balance_column(of("bank = 'gbm'"), docs), day_column(of("bank = 'hsbc'"), docs), charges(of("bank = 'vexi'")), segments(of("bank = 'bbva' AND NOT _card"), docs), two_dates(of("bank = 'bbva' AND _card"))]
+    parts = [explicit, loose, older, balance_column(of("bank = 'gbm'"), docs), day_column(of("bank = 'hsbc'"), docs), charges(of("bank = 'vexi'")), segments(of("bank = 'bbva' AND NOT _card"), docs), two_dates(of("bank = 'bbva' AND _card"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -223,7 +266,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 def summary_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Yields that one issuer credits without listing them, dated at the period's end; not for card statements, known concepts or without a period."""
-    found = docs.where((F.col("bank") == "nu") & F.col("period_end").isNotNull() & ~F.coalesce(F.col("text").rlike(r"(?i)adeudo\s+del\s+periodo"), F.lit(False)))
+    found = docs.where((F.col("bank") == "nu") & F.col("period_end").isNotNull() & ~F.coalesce(F.col("text").rlike(P.CARD_STATEMENT), F.lit(False)))
     found = found.withColumn("description", F.lit("Dinero generado este mes")).withColumn("amount_minor", F.abs(cents(F.nullif(F.regexp_extract("text", P.YIELD, 2), F.lit(""))))).where("amount_minor > 0")
     listed = rows.where(F.lower("description").contains("dinero generado")).select("doc_id").distinct()
     found = found.join(listed, "doc_id", "left_anti")

@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 FALLBACK = "Por revisar"
 
 
+def java_regex(pattern: str) -> bool:
+    """Whether the engine that runs the pattern accepts it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(f"(?iU){pattern}")
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def rule_matches(rule: dict, rows_field: Column | None = None) -> Column:
     """``equals``, ``contains`` or ``regex`` on a field, ignoring case; an unknown operation never matches."""
     value = F.lower(F.coalesce(rows_field if rows_field is not None else F.col(rule.get("field", "merchant_norm")), F.lit("")))
@@ -19,13 +32,7 @@ def rule_matches(rule: dict, rows_field: Column | None = None) -> Column:
     if op == "contains":
         return value.contains(target.lower())
     if op == "regex":
-        import re
-
-        try:
-            re.compile(target)
-        except re.error:
-            return F.lit(False)
-        return value.rlike(f"(?iU){target}")
+        return value.rlike(f"(?iU){target}") if java_regex(target) else F.lit(False)
     return F.lit(False)
 
 
@@ -49,7 +56,7 @@ def categorize(rows: DataFrame, rules: Sequence[dict], history: DataFrame | None
 
 def history_map(committed: DataFrame) -> DataFrame:
     """``(merchant_norm, category)``: the earliest verified category of each merchant."""
-    known = committed.where("category_source IN ('manual', 'history', 'rule') AND category IS NOT NULL AND merchant_norm <> ''")
+    known = committed.where("category_source IN ('manual', 'history', 'rule') AND category IS NOT NULL AND merchant_norm <> ''").where(F.col("category") != FALLBACK)
     return known.groupBy("merchant_norm").agg(F.min_by("category", F.struct("created_at", "transaction_id")).alias("category"))
 
 

@@ -35,19 +35,38 @@ def detect_bank(text: Column, markers: Mapping[str, Sequence[str]] = BANK_MARKER
 
 
 def account_scores(docs: DataFrame, hints: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, account_id, score)``: whole-word hits of an account's hints times the words of each hint.
+    """``(key, account_id, score)``: whole-word hits of an account's hints, without overlap, times the words of each hint.
 
     ``hints`` is ``(account_id, hint)``; accents and case do not count, repeated
-    hints count once, and hints of one letter are ignored.
+    hints count once, and hints of one letter are ignored.  Texts become runs of as
+    many words as hints have, which are joined with the hints by equality.
     """
+    words_of = lambda c: F.filter(F.split(fold(c), r"(?U)\W+"), lambda w: w != "")
     folded = hints.select("account_id", collapse_spaces(fold(F.col("hint"))).alias("hint")).where("length(hint) >= 2").distinct()
-    words = docs.select(key, F.concat(F.lit(" "), F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"(?U)\W+", "  "), F.lit(" ")).alias("_t"))
-    probe = F.concat(F.lit(" "), F.regexp_replace("hint", r"(?U)\W+", "  "), F.lit(" "))
-    # hints are a short list of the configuration, checked here by Spark's own size limit for broadcasts
-    pairs = words.join(folded, F.col("_t").contains(probe))
-    hits = ((F.length("_t") - F.length(F.replace("_t", probe, F.lit("")))) / F.length(probe)).cast("int")
-    weight = F.size(F.split("hint", r"(?U)\s+"))
-    return pairs.select(key, "account_id", (hits * weight).alias("score")).groupBy(key, "account_id").agg(F.sum("score").cast("long").alias("score"))
+    probes = folded.select("account_id", words_of(F.col("hint")).alias("_w"), F.size(F.split("hint", r"(?U)\s+")).alias("_weight")).where("size(_w) > 0")
+    probes = probes.select("account_id", F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"), "_weight")
+    sizes = sorted(r["_n"] for r in probes.select("_n").distinct().collect())  # a few, from the configuration
+    texts = docs.select(key, words_of(F.coalesce(text, F.lit(""))).alias("_words"))
+    run = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda k: F.struct(k.alias("at"), F.array_join(F.slice("_words", k, n), " ").alias("run"))))
+    empty = F.array().cast("array<struct<at:int,run:string>>")
+    runs = F.concat(*[F.coalesce(run(n), empty) for n in sizes]) if sizes else empty
+    hits = texts.select(key, F.explode(runs).alias("_r")).select(key, F.col("_r.at").alias("_at"), F.col("_r.run").alias("_run")).join(probes, "_run")
+    # occurrences that begin inside the one counted before do not count: only hints that repeat themselves have any
+    counted = hits.groupBy(key, "account_id", "_run", "_n", "_weight").agg(F.collect_list("_at").alias("_places")) if any(n > 1 for n in sizes) else None
+    if counted is None:
+        return hits.groupBy(key, "account_id").agg(F.sum("_weight").cast("long").alias("score"))
+    n = F.aggregate(F.array_sort("_places"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda got, at: F.when(at >= got["end"], F.struct((at + F.col("_n")).alias("end"), (got["n"] + 1).alias("n"))).otherwise(got))["n"]
+    return counted.select(key, "account_id", (n * F.col("_weight")).alias("_s")).groupBy(key, "account_id").agg(F.sum("_s").cast("long").alias("score"))
+
+
+def identified(docs: DataFrame, hints: DataFrame, header: str = "header", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(key, account_id, method)`` of every document: the one its header names most often, else the one header and text do; null on a tie."""
+    by_header = identify_accounts(account_scores(docs, hints, header, key), key).select(key, F.col("account_id").alias("_h"))
+    whole = docs.select(key, F.concat_ws("\n", F.coalesce(header, F.lit("")), F.coalesce(text, F.lit(""))).alias("_all"))
+    by_text = identify_accounts(account_scores(whole, hints, "_all", key), key).select(key, F.col("account_id").alias("_f"))
+    out = docs.select(key).join(by_header, key, "left").join(by_text, key, "left")
+    method = F.when(F.col("_h").isNotNull(), "match_hints:header").when(F.col("_f").isNotNull(), "match_hints:full").otherwise("ambiguous_or_none")
+    return out.select(key, F.coalesce("_h", "_f").alias("account_id"), method.alias("method"))
 
 
 def identify_accounts(scores: DataFrame, key: str = "doc_id") -> DataFrame:

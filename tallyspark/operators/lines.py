@@ -1,16 +1,15 @@
-"""Text lines of documents: numbering, signed movements, periods."""
+"""Text lines of documents, and the period a document covers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import make_date, month_number, normalize_date
+from ..functions.dates import normalize_date
+from ..grammars import patterns as P
 from ..session import computed
 
-# What a dated line begins with, and signed amounts.
-LINE_DATE = r"^([0-9]{1,2}[\s/][A-Za-zÁÉÍÓÚáéíóú]{3,}\.?[\s/][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
-SIGNED_AMOUNT = r"([-+])\s?\$?\s?([0-9][0-9,]*\.[0-9]{2})"
+_FORMS = (("range", P.PERIOD_RANGE, (1, 2)), ("days", P.PERIOD_DAYS, (1, 2, 3, 4)), ("cut", P.CUT_DATE, (1,)), ("count", P.DAY_COUNT, (1,)), ("month", P.PERIOD_MONTH, (1, 2, 3)))
 
 
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,48 +17,25 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, F.posexplode(F.split(text, "\r?\n")).alias("_at", "line")).select(key, (F.col("_at") + 1).alias("line_no"), "line")
 
 
-def signed_movements(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Movements of lines that begin with a date and hold a signed amount, the last one.
+def with_period(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``period_start`` and ``period_end`` by the first of: two dates behind the label of a period or statement, days of
+    one month, a cut-off date and a number of days (20 to 40), a month of exactly that many days.
 
-    ``(key, line_no, date_op, description, amount_minor)``; the description is what
-    stands between date and amount, else the line before.
+    A form that is found but can't be read gives nulls; the others are not tried then.
     """
-    amounts = F.regexp_extract_all("line", F.lit(SIGNED_AMOUNT), F.lit(0))
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
-    rows = lines.withColumn("_before", before).where(F.col("line").rlike(LINE_DATE))
-    rows = rows.withColumn("_date", F.regexp_extract("line", LINE_DATE, 1)).withColumn("_amount", F.element_at(amounts, F.when(F.size(amounts) > 0, -1)))
-    rows = rows.where(F.col("_amount").isNotNull())
-    digits = F.regexp_replace("_amount", r"[^0-9]", "").cast("long")
-    middle = F.expr("substring(line, length(_date) + 1, length(line) - length(_date) - instr(reverse(line), reverse(_amount)) + 1 - length(_amount))")
-    text = F.trim(F.regexp_replace(middle, r"(?U)\s+", " "))
-    date = normalize_date(F.regexp_replace("_date", r"\.", ""))
-    return rows.select(key, "line_no", date.alias("date_op"), F.coalesce(F.nullif(text, F.lit("")), F.trim("_before"), F.lit("")).alias("description"), F.when(F.col("_amount").startswith("-"), -digits).otherwise(digits).alias("amount_minor"))
-
-
-_D, _M, _Y = r"([0-9]{1,2})", r"([A-Za-zÁÉÍÓÚáéíóú]{3,})\.?", r"([0-9]{4})"
-_NUMERIC = r"([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})"
-PERIODS = {
-    "numeric": rf"(?i)del?\s+{_NUMERIC}\s+al?\s+{_NUMERIC}",
-    "full": rf"(?i)del?\s+{_D}\s+(?:de\s+)?{_M}\s+(?:de\s+)?{_Y}\s+al?\s+{_D}\s+(?:de\s+)?{_M}\s+(?:de\s+)?{_Y}",
-    "short": rf"(?i)del?\s+{_D}\s+al?\s+{_D}\s+(?:de\s+)?{_M}\s+(?:de\s+)?{_Y}",
-    "cut": rf"(?i)fecha\s+de\s+corte:?\s*{_D}\s+(?:de\s+)?{_M}\s+(?:de\s+)?{_Y}.*?([0-9]{{2}})\s+d[ií]as",
-    "month": rf"(?i)(?:^|\s){_M}\s+(?:de\s+)?{_Y}.*?([0-9]{{2}})\s+d[ií]as",
-}
-
-
-def with_period(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``period_start`` and ``period_end``: a full range, else days of one month, else cut-off date and number of days, else a month of that many days."""
-    groups = {"numeric": 2, "full": 6, "short": 4, "cut": 4, "month": 3}
-    c = lambda name, k: F.col(f"_{name}{k}")
-    out = rows.withColumns({f"_{n}{k}": F.nullif(F.regexp_extract(text, PERIODS[n], k), F.lit("")) for n, count in groups.items() for k in range(1, count + 1)})
-    date = lambda n, d, m, y: make_date(c(n, y).cast("int"), month_number(c(n, m)), c(n, d).cast("int"))
-    out = computed(out).withColumns({
-        "_a0": normalize_date(c("numeric", 1)), "_b0": normalize_date(c("numeric", 2)), "_a1": date("full", 1, 2, 3), "_b1": date("full", 4, 5, 6), "_a2": date("short", 1, 3, 4), "_b2": date("short", 2, 3, 4),
-        "_b3": date("cut", 1, 2, 3), "_a4": make_date(c("month", 2).cast("int"), month_number(c("month", 1)), F.lit(1)),
-    })
-    days = c("cut", 4).cast("int")
-    out = computed(out).withColumn("_a3", F.when(days.between(20, 40), F.date_sub("_b3", days - 1))).withColumn("_b4", F.last_day("_a4"))
-    whole_month = c("month", 3).cast("int") == F.dayofmonth("_b4")
-    tried = [F.when((F.col(f"_a{k}") <= F.col(f"_b{k}")) & (whole_month if k == 4 else F.lit(True)), F.struct(F.col(f"_a{k}").alias("s"), F.col(f"_b{k}").alias("e"))) for k in range(5)]
-    out = out.withColumn("_p", F.coalesce(*tried)).withColumn("period_start", F.col("_p.s")).withColumn("period_end", F.col("_p.e"))
+    out = rows.withColumns({f"_{name}{k}": F.regexp_extract(F.coalesce(text, F.lit("")), rx, k) for name, rx, groups in _FORMS for k in groups})
+    c, out = F.col, computed(out)
+    span = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
+    named = lambda d, m, y: normalize_date(F.concat_ws(" ", d, m, y))
+    out = computed(out.withColumns({
+        "_r": span(normalize_date(c("_range1")), normalize_date(c("_range2"))),
+        "_d": span(named(c("_days1"), c("_days3"), c("_days4")), named(c("_days2"), c("_days3"), c("_days4"))),
+        "_e": normalize_date(c("_cut1")), "_n": F.nullif(c("_count1"), F.lit("")).cast("int"),
+        "_m": named(F.lit("1"), c("_month1"), c("_month2")), "_k": F.nullif(c("_month3"), F.lit("")).cast("int"),
+    }))
+    cut = F.when(c("_e").isNotNull() & c("_n").between(20, 40), span(F.date_sub("_e", c("_n") - 1), c("_e")))
+    month = F.when(F.dayofmonth(F.last_day("_m")) == c("_k"), span(c("_m"), F.last_day("_m")))
+    whole = lambda p: F.when(p["s"].isNotNull() & p["e"].isNotNull(), p)
+    chosen = F.when(c("_range1") != "", whole(c("_r"))).when(c("_days1") != "", whole(c("_d"))).otherwise(F.coalesce(cut, month))
+    out = out.withColumn("_p", chosen).withColumn("period_start", c("_p.s")).withColumn("period_end", c("_p.e"))
     return computed(out.select(*rows.columns, "period_start", "period_end"))

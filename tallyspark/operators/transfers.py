@@ -3,7 +3,7 @@
 A debit and a credit of one absolute amount and currency, in different accounts
 and a few days apart, are a candidate; a further signal makes it a link, and only
 if neither end has another signalled candidate.  Debits are joined with credits on
-(amount, currency), so no pair is seen twice and nothing is crossed.  Amounts with
+(amount, currency, stretch of days), so no pair is seen twice and nothing is crossed.  Amounts with
 more movements than ``bucket_cap`` are for review, by rule: they are left out
 before the join, which bounds what one amount can give.
 """
@@ -48,16 +48,26 @@ def within_bucket_cap(rows: DataFrame, cap: int, amount: str = "amount_minor") -
 
 
 def transfer_pairs(rows: DataFrame, window_days: int = 3, carry: tuple[str, ...] = ("bank_ref", "description_norm", "account_type", "is_new")) -> DataFrame:
-    """Debit-credit candidates: ``from_*`` and ``to_*`` of id, account, date and carried columns, ``amount_minor`` positive."""
+    """Debit-credit candidates: ``from_*`` and ``to_*`` of id, account, date and carried columns, ``amount_minor`` positive.
+
+    Days are cut into stretches of the window's length; a debit meets the credits
+    of its own stretch and of both neighbours, which holds all within the window.
+    """
     have = [c for c in carry if c in rows.columns]
     side = lambda name: [F.col("transaction_id").alias(f"{name}_id"), F.col("account_id").alias(f"{name}_account"), F.col("date_op").alias(f"{name}_date"), *[F.col(c).alias(f"{name}_{c}") for c in have]]
     currency = F.coalesce("currency", F.lit("MXN")).alias("currency") if "currency" in rows.columns else F.lit("MXN").alias("currency")
-    debits = rows.where("amount_minor < 0").select((-F.col("amount_minor")).alias("amount_minor"), currency, *side("from"))
-    credits = rows.where("amount_minor > 0").select("amount_minor", currency, *side("to"))
-    pairs = debits.join(credits, ["amount_minor", "currency"]).where((F.col("from_account") != F.col("to_account")) & (F.abs(F.datediff("from_date", "to_date")) <= window_days))
+    stretch = F.floor(F.datediff("date_op", F.lit("1970-01-01").cast("date")) / max(window_days, 1))
+    debits = rows.where("amount_minor < 0").select((-F.col("amount_minor")).alias("amount_minor"), currency, stretch.alias("_days"), *side("from"))
+    credits = rows.where("amount_minor > 0").select("amount_minor", currency, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_days"), *side("to"))
+    pairs = debits.join(credits, ["amount_minor", "currency", "_days"]).drop("_days").where((F.col("from_account") != F.col("to_account")) & (F.abs(F.datediff("from_date", "to_date")) <= window_days))
     return pairs.where("from_is_new OR to_is_new") if "is_new" in have else pairs
 
 
+def capped_pairs(rows: DataFrame, window_days: int = 3, bucket_cap: int = 300) -> DataFrame:
+    """``transfer_pairs`` of the amounts that are not too common."""
+    return transfer_pairs(within_bucket_cap(rows, bucket_cap).where("bucket_ok").drop("bucket_ok"), window_days)
+
+
 def account_tokens(accounts: DataFrame) -> DataFrame:
     """``(account_id, token)``: explicit tokens, and words of three letters in the names of account and institution."""
     words = F.split(F.lower(F.concat_ws(" ", "name", "institution")), r"(?U)\W+")
@@ -96,8 +106,7 @@ def single_partner(pairs: DataFrame) -> DataFrame:
 
 def transfer_links(rows: DataFrame, tokens: DataFrame | None = None, holder: str | None = None, window_days: int = 3, bucket_cap: int = 300) -> DataFrame:
     """Links between own movements: signalled pairs whose ends have no other signalled pair."""
-    usable = within_bucket_cap(rows, bucket_cap).where("bucket_ok").drop("bucket_ok")
-    return single_partner(with_signal(transfer_pairs(usable, window_days), tokens, holder).where("signal IS NOT NULL"))
+    return single_partner(with_signal(capped_pairs(rows, window_days, bucket_cap), tokens, holder).where("signal IS NOT NULL"))
 
 
 def transfer_reviews(rows: DataFrame, tokens: DataFrame | None = None, holder: str | None = None, window_days: int = 3, bucket_cap: int = 300) -> DataFrame:
@@ -111,6 +120,20 @@ def transfer_reviews(rows: DataFrame, tokens: DataFrame | None = None, holder: s
     return crowded.union(new("from")).union(new("to")).distinct()
 
 
+def recent_pool(committed: DataFrame, statements: DataFrame, days: int = 7) -> DataFrame:
+    """Committed rows that movements of new statements may pair with: from ``days`` before the first period to ``days`` after the last.
+
+    An unknown bound does not limit; superseded and quarantined rows are left out.
+    """
+    span = statements.agg(
+        F.when(F.count_if(F.col("period_start").isNull()) == 0, F.date_sub(F.min("period_start"), days)).alias("low"), F.when(F.count_if(F.col("period_end").isNull()) == 0, F.date_add(F.max("period_end"), days)).alias("high")
+    ).first()
+    pool = committed.where("dup_of IS NULL AND review_status <> 'cuarentena'")
+    for bound, keep in ((span["low"], lambda d: F.col("date_op") >= d), (span["high"], lambda d: F.col("date_op") <= d)):
+        pool = pool.where(keep(F.lit(bound))) if bound is not None else pool
+    return pool
+
+
 def revalidate_links(links: DataFrame, rows: DataFrame) -> DataFrame:
     """Links whose ends exist, differ in account, have opposite amounts of one currency, and one of which is new."""
     end = lambda name: rows.select(F.col("transaction_id").alias(f"{name}_id"), F.col("account_id").alias(f"{name}_acc"), F.col("amount_minor").alias(f"{name}_minor"), F.col("currency").alias(f"{name}_ccy"), F.col("is_new").alias(f"{name}_new"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, money, text
-from ..operators import categorize, duplicates, reconcile, transfers, validate
+from ..operators import categorize, duplicates, identify, reconcile, transfers, validate
 from ..session import computed, durable
 
 
@@ -30,6 +30,8 @@ class Config:
     bucket_cap: int = 300
     window_days: int = 3
     holder: str | None = None
+    hints: DataFrame | None = None  # account_id, hint
+    categories: Sequence[str] = ()
 
 
 @dataclass
@@ -37,6 +39,7 @@ class Staged:
     statements: DataFrame
     rows: DataFrame
     links: DataFrame
+    corrections: DataFrame | None = None  # transaction_id, field, old_value, new_value, reason
 
 
 def canonical_rows(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +52,7 @@ def canonical_rows(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame
     for name, key in (("opening_minor", "opening_balance"), ("closing_minor", "closing_balance"), ("declared_credits", "declared_credits"), ("declared_debits", "declared_debits")):
         s = money.with_parsed_amount(s.withColumn("_raw", m(key)), "_raw", "currency", name).drop("_raw")
     s = computed(s)
-    s = s.withColumn("declared_count", money.try_long(m("declared_count"))).withColumn("native", F.col("method").rlike("^pdf(_ocr|_ebcdic)?_template:")).withColumn("over_limit", F.size("rows") > config.row_cap)
+    s = s.withColumn("declared_count", money.try_long(m("declared_count"))).withColumn("native", validate.native_source(F.col("method"))).withColumn("over_limit", F.size("rows") > config.row_cap)
     flip = F.col("native") & F.coalesce("inverted", F.lit(False))
     for name in ("opening_minor", "closing_minor"):
         s = s.withColumn(name, F.when(flip, -F.col(name)).otherwise(F.col(name)))
@@ -64,8 +67,9 @@ def canonical_rows(raw: DataFrame, config: Config) -> tuple[DataFrame, DataFrame
     r = r.withColumn("_raw_post", c("date_post")).withColumn("date_post", dates.normalize_date(c("date_post"), hint)).withColumn("date_value", dates.normalize_date(c("date_value"), hint))
     r = computed(r)
     r = r.withColumn("amount_minor", money.cash_flow(c("amount_minor"), c("native"), F.coalesce("inverted", F.lit(False))))
-    r = r.withColumn("description_raw", F.coalesce("description", F.lit(""))).withColumn("description_norm", text.normalize_description(c("description"))).withColumn("merchant_norm", text.normalize_merchant(c("description")))
-    r = computed(r)
+    r = r.withColumn("description_raw", F.coalesce("description", F.lit(""))).withColumn("description_norm", text.normalize_description(c("description")))
+    r = text.composed(r, "description", "_composed")
+    r = computed(r.withColumn("merchant_norm", text.normalize_merchant(c("_composed"))))
     r = r.withColumn("transaction_id", ids.transaction_id(c("account_id"), c("statement_id"), c("date_op"), c("amount_minor"), c("description_raw"), c("bank_ref"), c("locator")))
     sure = c("amount_minor").isNotNull() & c("date_op").isNotNull()
     r = r.withColumn("fingerprint", F.when(sure, ids.fingerprint(c("account_id"), c("date_op"), c("amount_minor"), c("description_norm"), c("bank_ref"))).otherwise(ids.doubtful_fingerprint(c("statement_id"), c("locator"))))
@@ -100,7 +104,7 @@ def build(raw: DataFrame, config: Config, committed: DataFrame | None = None) ->
     own = rows.where("dup_of IS NULL").withColumn("is_new", F.lit(True)).join(config.accounts.select("account_id"), "account_id", "left_semi")
     pool = own
     if committed is not None:
-        live = committed.where("dup_of IS NULL AND review_status <> 'cuarentena'").withColumn("is_new", F.lit(False))
+        live = transfers.recent_pool(committed, statements).withColumn("is_new", F.lit(False))
         pool = own.unionByName(live, allowMissingColumns=True)
     tokens = transfers.account_tokens(config.accounts)
     pool = durable(pool)
@@ -110,8 +114,20 @@ def build(raw: DataFrame, config: Config, committed: DataFrame | None = None) ->
     return Staged(durable(done), durable(rows), durable(links))
 
 
-def from_documents(docs: DataFrame, movements: DataFrame) -> DataFrame:
-    """Raw statements from parsed text documents: ``docs`` as the grammars take them, ``movements`` as they give them."""
+#: Lines at the top of a document that name its issuer.
+HEADER_LINES = 30
+
+
+def with_accounts(docs: DataFrame, hints: DataFrame) -> DataFrame:
+    """``docs`` with ``account_id``: the given one, else the one that the header, or header and text, names most often; null on a tie."""
+    texts = docs.select("doc_id", "text", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, HEADER_LINES), "\n").alias("header"))
+    found = identify.identified(texts, hints).select("doc_id", F.col("account_id").alias("_account"))
+    given = docs if "account_id" in docs.columns else docs.withColumn("account_id", F.lit(None).cast("string"))
+    return given.join(found, "doc_id", "left").withColumn("account_id", F.coalesce("account_id", "_account")).drop("_account")
+
+
+def from_documents(docs: DataFrame, movements: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """Raw statements from parsed text documents: ``docs`` as the grammars take them, ``movements`` and ``warnings`` as they give them."""
     docs, movements = durable(docs), durable(movements)
     cents = lambda name: F.when(F.col(name).isNotNull(), F.format_string("%s%d.%02d", F.when(F.col(name) < 0, "-").otherwise(""), F.expr(f"abs({name}) div 100"), F.abs(name) % 100))
     row = F.struct(
@@ -124,4 +140,9 @@ def from_documents(docs: DataFrame, movements: DataFrame) -> DataFrame:
         F.lit("opening_balance"), cents("opening_minor"), F.lit("closing_balance"), cents("closing_minor"), F.lit("declared_credits"), cents("declared_credits"), F.lit("declared_debits"), cents("declared_debits"), F.lit("declared_count"), F.col("declared_count").cast("string"),
     ), lambda k, v: v.isNotNull())
     joined = docs.join(rows, "doc_id", "left")
-    return joined.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("file_sha256"), F.concat(F.lit("pdf_template:"), "bank").alias("method"), meta.alias("meta"), F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows"), F.array().cast("array<string>").alias("warnings"))
+    none = F.array().cast("array<string>")
+    if warnings is not None:
+        said = warnings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", F.concat(F.lit("line "), F.col("line_no").cast("string")), "warning"))).alias("_said"))
+        joined = joined.join(said, "doc_id", "left")
+    kept = F.coalesce("_said", none) if warnings is not None else none
+    return joined.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("file_sha256"), F.coalesce(F.concat(F.lit("pdf_template:"), "bank"), F.lit("pdf_text")).alias("method"), meta.alias("meta"), F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows"), kept.alias("warnings"))

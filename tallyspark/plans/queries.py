@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, money, text
+from ..grammars import issuers
 from ..operators import balances, categorize, duplicates, identify, ledger, lines, reconcile, transfers, validate
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .views import DECLARED, TXN, declared, table, txn
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 # --- reconciliation -----------------------------------------------------------
 
 _VERDICT = """CASE WHEN closing_minor IS NULL THEN 'REVIEW_REQUIRED'
@@ -154,7 +139,8 @@ def desc_normalize(spark, sf_dir):
 @query("SELECT p_partkey, p_name AS merchant FROM part")
 def merchant_normalize(spark, sf_dir):
     raw = F.concat(F.lit("COMPRA "), F.translate(F.upper("p_name"), "AEO", "ＡＥＯ"), F.lit(" *REF: A"), F.col("p_partkey").cast("string"), F.lit(" 1234567 CDMX"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.normalize_merchant(raw, compose=True).alias("merchant"))
+    rows = text.composed(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw", "composed")
+    return rows.select("p_partkey", text.normalize_merchant(F.col("composed")).alias("merchant"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 2, 3) THEN '''' ELSE CASE WHEN left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' ELSE '' END END || CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' ELSE '' END || text AS cell FROM documents")
@@ -389,13 +375,13 @@ def idempotent_reingest(spark, sf_dir):
 # --- transfers -----------------------------------------------------------------------
 
 _PAIRS = f"""WITH {TXN}, pairs AS (SELECT d.transaction_id AS from_id, c.transaction_id AS to_id, c.amount_minor, d.bank_ref AS fr, c.bank_ref AS tr FROM txn d JOIN txn c ON d.amount_minor = -c.amount_minor
-  WHERE d.amount_minor < 0 AND d.account_id <> c.account_id AND abs(d.date_op - c.date_op) <= 3)"""
+  WHERE d.amount_minor < 0 AND d.account_id <> c.account_id AND abs(d.date_op - c.date_op) <= 3 AND abs(d.amount_minor) NOT IN (SELECT abs(amount_minor) FROM txn GROUP BY 1 HAVING count(*) > 300))"""
 _DEGREE = "(SELECT *, count(*) OVER (PARTITION BY from_id) AS df, count(*) OVER (PARTITION BY to_id) AS dt FROM {})"
 
 
 @query(f"{_PAIRS} SELECT from_id, to_id, amount_minor FROM pairs")
 def transfer_pairs(spark, sf_dir):
-    return transfers.transfer_pairs(txn(spark, sf_dir)).select("from_id", "to_id", "amount_minor")
+    return transfers.capped_pairs(txn(spark, sf_dir)).select("from_id", "to_id", "amount_minor")
 
 
 @query(f"""{_PAIRS}, s AS (SELECT * FROM pairs WHERE right(fr, 1) = right(tr, 1)) SELECT from_id, to_id, amount_minor FROM {_DEGREE.format('s')} WHERE df = 1 AND dt = 1""")
@@ -406,7 +392,7 @@ def transfer_links(spark, sf_dir):
 
 @query(f"{_PAIRS} SELECT from_id, to_id, amount_minor FROM {_DEGREE.format('pairs')} WHERE df = 1 AND dt = 1")
 def transfer_degree_guard(spark, sf_dir):
-    return transfers.single_partner(transfers.transfer_pairs(txn(spark, sf_dir))).select("from_id", "to_id", "amount_minor")
+    return transfers.single_partner(transfers.capped_pairs(txn(spark, sf_dir))).select("from_id", "to_id", "amount_minor")
 
 
 @query(f"WITH {TXN} SELECT transaction_id, count(*) OVER (PARTITION BY abs(amount_minor)) <= 5 AS bucket_ok FROM txn")
@@ -510,7 +496,7 @@ def latest_check(spark, sf_dir):
 
 @query(f"""WITH c AS ({_CHECKS}), m AS (SELECT account_id, count(*) AS n FROM c WHERE {_MONTH.format('created_at')} = '1995-06' GROUP BY 1),
 r AS (SELECT o_custkey AS account_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_MONTH.format('l_shipdate')} = '1995-06' GROUP BY 1),
-l AS (SELECT account_id, arg_max(result, struct_pack(a := created_at, b := statement_id)) AS result FROM c GROUP BY 1)
+l AS (SELECT account_id, arg_max(result, struct_pack(a := created_at, b := statement_id)) AS result FROM c WHERE strftime(created_at, '%Y-%m') = '1995-06' GROUP BY 1)
 SELECT c_custkey AS account_id, coalesce(m.n, 0) AS n_statements, coalesce(r.n, 0) AS n_rows, result AS latest_result, coalesce(m.n, 0) > 0 AND coalesce(result = 'OK', false) AS closed
 FROM customer LEFT JOIN m ON m.account_id = c_custkey LEFT JOIN r ON r.account_id = c_custkey LEFT JOIN l ON l.account_id = c_custkey WHERE c_mktsegment <> 'MACHINERY'""")
 def audit_month(spark, sf_dir):
@@ -544,16 +530,17 @@ def _exported(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         k.alias("transaction_id"), F.col("o_custkey").alias("account_id"), F.col("o_orderdate").cast("date").alias("date_op"), F.concat(F.when(k % 6 == 0, "=").otherwise(""), F.col("o_orderpriority")).alias("description_norm"),
         F.lower("o_orderpriority").alias("merchant_norm"), minor.alias("amount_minor"), F.lit("MXN").alias("currency"), F.lit("gasto").alias("type"), F.col("o_orderstatus").alias("category"),
-        F.when(k % 10 == 3, "cuarentena").otherwise("ok").alias("review_status"), F.when(k % 10 == 7, "txn").alias("dup_of"))
+        F.when(k % 10 == 3, "cuarentena").otherwise("ok").alias("review_status"), F.when(k % 10 == 7, "txn").alias("dup_of"),
+        F.when(k % 3 == 0, "-9").alias("bank_ref"), F.concat(F.lit("fp_"), k).alias("fingerprint"))
     accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("institution_id"))
     banks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("institution_id"), F.col("n_name").alias("name"))
     links = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("from_id"), (F.col("o_orderkey") + 1).alias("to_id"))
     return ledger.export_rows(rows, accounts, banks, links)
 
 
-_EXPORT = f"""SELECT o_orderkey AS transaction_id, CAST(o_orderdate AS DATE) AS fecha, {_MONTH.format('o_orderdate')} AS mes, c_name AS cuenta, n_name AS institucion, CASE WHEN o_orderkey % 6 = 0 THEN '''=' ELSE '' END || o_orderpriority AS descripcion,
-  lower(o_orderpriority) AS comercio, CAST(o_totalprice AS DECIMAL(20,2)) AS monto, 'MXN' AS moneda, CASE WHEN o_orderkey % 4 = 0 THEN 'Ingreso' ELSE 'Gasto' END AS flujo, 'gasto' AS tipo, o_orderstatus AS categoria,
-  CASE WHEN o_orderkey % 50 IN (0, 1) THEN 1 ELSE 0 END AS es_transferencia, 'ok' AS estado_revision
+_EXPORT = """SELECT o_orderkey AS transaction_id, CAST(o_orderdate AS DATE) AS fecha, c_name AS cuenta, n_name AS institucion, CASE WHEN o_orderkey % 6 = 0 THEN '''=' ELSE '' END || o_orderpriority AS descripcion,
+  o_orderstatus AS categoria, 'gasto' AS tipo, CAST(o_totalprice AS DECIMAL(20,2)) AS importe, 'MXN' AS moneda, CASE WHEN o_orderkey % 4 = 0 THEN 'Ingreso' ELSE 'Gasto' END AS ingreso_gasto,
+  CASE WHEN o_orderkey % 50 IN (0, 1) THEN 1 ELSE 0 END AS es_transferencia, 'ok' AS estado_revision, CASE WHEN o_orderkey % 3 = 0 THEN '''-9' ELSE '' END AS bank_ref, 'fp_' || o_orderkey AS fingerprint
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 10 NOT IN (3, 7)"""
 
 
@@ -562,7 +549,7 @@ def export_contract(spark, sf_dir):
     return _exported(spark, sf_dir)
 
 
-@query(f"SELECT count(*) AS n, CAST(coalesce(sum(monto) FILTER (WHERE flujo = 'Ingreso'), 0) AS DECIMAL(28,2)) AS income, CAST(coalesce(sum(monto) FILTER (WHERE flujo = 'Gasto'), 0) AS DECIMAL(28,2)) AS expense FROM ({_EXPORT})")
+@query(f"SELECT count(*) AS n, CAST(coalesce(sum(importe) FILTER (WHERE ingreso_gasto = 'Ingreso'), 0) AS DECIMAL(28,2)) AS income, CAST(coalesce(sum(importe) FILTER (WHERE ingreso_gasto = 'Gasto'), 0) AS DECIMAL(28,2)) AS expense FROM ({_EXPORT})")
 def export_totals(spark, sf_dir):
     return ledger.export_totals(_exported(spark, sf_dir))
 
@@ -630,7 +617,7 @@ def line_grammar_signed(spark, sf_dir):
         return F.when(i % 4 == 0, F.concat(F.lit("sin fecha "), amount)).otherwise(F.concat(day, F.lit(" "), said, F.lit(" "), amount))
 
     docs = c.select("doc_id", F.array_join(F.transform(parts, injected), "\n").alias("text"))
-    rows = lines.signed_movements(lines.text_lines(docs))
+    rows = issuers.signed(lines.text_lines(docs))
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "date_op", "description", "amount_minor")
 
 
@@ -639,11 +626,12 @@ def line_grammar_signed(spark, sf_dir):
 def period_extract(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
     names = F.array(*map(F.lit, ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]))
-    long = lambda c: F.concat_ws(" de ", F.dayofmonth(c).cast("string"), F.element_at(names, F.month(c)), F.year(c).cast("string"))
+    long = lambda c: F.concat_ws(" ", F.dayofmonth(c).cast("string"), F.element_at(names, F.month(c)), F.year(c).cast("string"))
     k, start, last = F.col("o_orderkey") % 5, F.date_sub("d", 10), F.last_day("d")
     said = (
-        F.when(k == 0, F.concat(F.lit("Periodo DEL "), F.date_format(start, "dd/MM/yyyy"), F.lit(" AL "), F.date_format("d", "dd/MM/yyyy"))).when(k == 1, F.concat(F.lit("del "), long(start), F.lit(" al "), long("d")))
-        .when(k == 2, F.concat(F.lit("Movimientos del 1 al "), long(last))).when(k == 3, F.concat(F.lit("Fecha de corte: "), long("d"), F.lit(" Plazo 30 días")))
-        .otherwise(F.concat(F.element_at(names, F.month("d")), F.lit(" "), F.year("d").cast("string"), F.lit(" con "), F.dayofmonth(last).cast("string"), F.lit(" días")))
+        F.when(k == 0, F.concat(F.lit("Periodo: DEL "), F.date_format(start, "dd/MM/yyyy"), F.lit(" AL "), F.date_format("d", "dd/MM/yyyy"))).when(k == 1, F.concat(F.lit("ESTADO DE CUENTA del "), long(start), F.lit(" – "), long("d")))
+        .when(k == 2, F.concat(F.lit("Período: del 1 al "), long(last))).when(k == 3, F.concat(F.lit("Fecha de corte: "), long("d"), F.lit("\nNúm. de días del periodo: 30")))
+        .otherwise(F.concat(F.lit("Periodo: "), F.element_at(names, F.month("d")), F.lit(" "), F.year("d").cast("string"), F.lit(" Días del periodo "), F.dayofmonth(last).cast("string")))
     )
-    return lines.with_period(o.select("o_orderkey", said.alias("said")), "said").select("o_orderkey", "period_start", "period_end")
+    small_print = F.lit("Promoción válida del 1 enero 1990 al 5 enero 1990.\n")
+    return lines.with_period(o.select("o_orderkey", F.concat(small_print, said).alias("said")), "said").select("o_orderkey", "period_start", "period_end")

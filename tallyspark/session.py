@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder all executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
+    """``df`` computed once into the folder all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local master may go without and gets a temporary one."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
 def computed(df: DataFrame) -> DataFrame:
     """``df`` behind a generator: what reads its columns stays above it, where over a plain projection the optimiser may
     repeat the expressions below in every place that uses them, term by term."""

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
+
 # Headers by canonical column, keys of metadata lines.
 HEADERS = {
     "date_op": ("date_op", "fecha", "fecha_operacion", "fecha operación", "fecha_op"),
@@ -27,6 +29,8 @@ HEADERS = {
     "bank_ref": ("bank_ref", "ref", "folio", "referencia", "autorizacion", "autorización"),
 }
 META_KEYS = ("account_id", "currency", "period_start", "period_end", "opening_balance", "closing_balance", "declared_credits", "declared_debits", "declared_count")
+#: An amount with two decimals.
+AMOUNT = r"[0-9][0-9,]*\.[0-9]{2}"
 EXTENSIONS = ("pdf", "csv", "xlsx", "xls", "png", "jpg", "jpeg")
 
 _CANONICAL = {name: column for column, names in HEADERS.items() for name in names}
@@ -38,11 +42,12 @@ RAW = T.StructType([
 ])
 
 
-def discover(spark: SparkSession, folder: str) -> DataFrame:
+def discover(spark: SparkSession, folder: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
     """``(path, ext, length, file_sha256, content)`` of the files of a folder that may be statements."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    names = ",".join("*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "{" + names + "}").load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select("path", ext.alias("ext"), "length", F.sha2("content", 256).alias("file_sha256"), "content").where(F.col("ext").isin(*EXTENSIONS))
+    return files.select("path", ext.alias("ext"), "length", F.sha2("content", 256).alias("file_sha256"), "content")
 
 
 def table_rows(lines: list[list[str]], where: str = "row:") -> tuple[list[dict], list[str]]:
@@ -123,9 +128,9 @@ def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
-def unusable_text(text) -> "F.Column":
+def unusable_text(text: Column) -> Column:
     """A long text without a single amount: its glyphs are not its characters."""
-    return (F.length(F.trim(text)) >= 500) & ~text.rlike(r"[0-9][0-9,]*\.[0-9]{2}")
+    return (F.length(F.trim(text)) >= 500) & ~text.rlike(AMOUNT)
 
 
 def decode_ebcdic(data: bytes) -> tuple[str, bool]:
@@ -137,14 +142,93 @@ def decode_ebcdic(data: bytes) -> tuple[str, bool]:
     return text, bool(text) and strange <= 0.05 * len(text) and re.search(r"\d[\d,]*\.\d{2}", text) is not None
 
 
+# Characters of the standard encoding of fonts whose code is not their ASCII one.
+STANDARD_ENCODING = {
+    39: "’", 96: "‘", 161: "¡", 162: "¢", 163: "£", 164: "⁄", 165: "¥", 166: "ƒ", 167: "§", 168: "¤", 169: "'", 170: "“", 171: "«", 172: "‹", 173: "›", 174: "ﬁ", 175: "ﬂ", 177: "–", 178: "†",
+    179: "‡", 180: "·", 182: "¶", 183: "•", 184: "‚", 185: "„", 186: "”", 187: "»", 188: "…", 189: "‰", 191: "¿", 193: "`", 194: "´", 195: "ˆ", 196: "˜", 197: "¯", 198: "˘", 199: "˙", 200: "¨",
+    202: "˚", 203: "¸", 205: "˝", 206: "˛", 207: "ˇ", 208: "—", 225: "Æ", 227: "ª", 232: "Ł", 233: "Ø", 234: "Œ", 235: "º", 241: "æ", 245: "ı", 248: "ł", 249: "ø", 250: "œ", 251: "ß",
+}
+_CODES = {chr(k): k for k in range(32, 127) if k not in STANDARD_ENCODING} | {c: k for k, c in STANDARD_ENCODING.items()}
+
+
+def ebcdic(data: Column) -> Column:
+    """Struct ``(line, good)`` of ``decode_ebcdic``."""
+
+    @F.pandas_udf("line string, good boolean")
+    def decoded(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode_ebcdic(bytes(v or b"")) for v in values], columns=["line", "good"])
+
+    return decoded(data)
+
+
+def glyph_character(glyph: str | None) -> str | None:
+    """The character of a mainframe glyph, printed as ``(cid:N)`` or as what its code means in the font; null if unknown."""
+    code = int(glyph[5:-1]) if glyph and glyph.startswith("(cid:") and glyph[5:-1].isdigit() else _CODES.get(glyph or "")
+    return bytes([code]).decode("cp037", "replace") if code is not None and code < 256 else None
+
+
+def glyph_lines(glyphs: DataFrame) -> DataFrame:
+    """``(page, line_no, line, unknown)`` of glyphs ``(page, top, x0, x1, text)``: rows of two points, gaps as one to three spaces, ``?`` for unknown glyphs."""
+
+    @F.pandas_udf("string")
+    def character(text: pd.Series) -> pd.Series:
+        return text.map(glyph_character)
+
+    order = Window.partitionBy("page", "line_no").orderBy("x0", "x1")
+    rows = glyphs.withColumn("line_no", F.bround(F.col("top") / 2).cast("long")).withColumn("_c", character("text")).withColumn("_gap", F.col("x0") - F.lag("x1").over(order))
+    width = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
+    spaces = F.when(F.col("_gap") > width * 0.5, F.least(F.lit(3), F.greatest(F.lit(1), (F.col("_gap") / width).cast("int")))).otherwise(0)
+    part = F.struct("x0", "x1", F.concat(F.repeat(F.lit(" "), spaces), F.coalesce("_c", F.lit("?"))).alias("c"))
+    joined = rows.groupBy("page", "line_no").agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.count_if(F.col("_c").isNull()).alias("unknown"))
+    return joined.select("page", "line_no", F.rtrim(F.array_join(F.transform("_parts", lambda x: x["c"]), "")).alias("line"), "unknown")
+
+
+def mainframe_documents(glyphs: DataFrame, share: float = 0.05) -> DataFrame:
+    """``(doc_id, text)`` of glyphs with a ``doc_id``: documents with few unknown glyphs and an amount; the others are left to recognition."""
+    key = F.struct("doc_id", F.col("page").alias("p")).alias("page")
+    lines = glyph_lines(glyphs.select(key, "top", "x0", "x1", "text")).select(F.col("page.doc_id").alias("doc_id"), F.col("page.p").alias("p"), "line_no", "line", "unknown")
+    whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "line_no", "line"))).alias("l"), F.sum("unknown").alias("unknown"), F.sum(F.length(F.replace("line", F.lit(" "), F.lit("")))).alias("n"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return whole.select("doc_id", text.alias("text"), "unknown", "n").where((F.col("unknown") <= share * F.col("n")) & F.col("text").rlike(AMOUNT)).select("doc_id", "text")
+
+
+def page_statistics(words: DataFrame) -> DataFrame:
+    """``(page, confidence, mean, font)``: the worst and the mean confidence of a page's words, and its most frequent font, the first by name among equals."""
+    return words.groupBy("page").agg(F.min("confidence").alias("confidence"), F.avg("confidence").alias("mean"), F.mode("font", True).alias("font"))
+
+
+def recognised(documents: DataFrame, engine: Callable[[bytes, int], list[tuple[str, float]]], resolutions: Sequence[int] = (500, 400, 300), max_bytes: int = 40 << 20, least_confidence: int = 40) -> DataFrame:
+    """``(doc_id, line_no, line, confidence, doubtful)`` of images and scans ``(doc_id, content)`` by an optical engine.
+
+    ``engine(content, dpi)`` gives lines with the least confidence of their words;
+    it runs on the executors.  Lines of the first resolution are checked against
+    the others; larger contents than ``max_bytes`` give no lines, by rule.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (d, dpi, k, line, int(sure)) for d, content in zip(frame["doc_id"], frame["content"]) if len(content) <= max_bytes
+                for dpi in resolutions for k, (line, sure) in enumerate(engine(bytes(content), dpi), 1)
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "dpi", "line_no", "line", "confidence"])
+
+    lines = durable(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(read, "doc_id string, dpi int, line_no int, line string, confidence int"))
+    first, others = lines.where(F.col("dpi") == resolutions[0]).drop("dpi"), lines.where(F.col("dpi") != resolutions[0]).drop("dpi")
+    return cross_check_ocr(first, others, least_confidence)
+
+
+def needs_recognition(docs: DataFrame, movements: DataFrame) -> DataFrame:
+    """Documents without a movement whose text has unmapped glyphs: they are read again by recognition."""
+    return docs.where(F.col("text").contains("(cid:")).join(movements.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def without_overlay(words: DataFrame) -> DataFrame:
     """Words of ``(page, top, x0, x1, font, text)`` less those of a watermark.
 
     Words are bucketed by ``round(top / 3)``; where two fonts overlap by more than
     half a point, only the page's dominant font stays in that row.
     """
-    from pyspark.sql import Window
-
     rows = words.withColumn("_row", F.round(F.col("top") / 3).cast("int"))
     line = Window.partitionBy("page", "_row").orderBy("x0", "x1")
     # sorted by x0, a word overlaps an earlier one of another font if that font's furthest end is beyond its start
@@ -158,7 +242,7 @@ def without_overlay(words: DataFrame) -> DataFrame:
 def cross_check_ocr(primary: DataFrame, other: DataFrame, least_confidence: int = 40) -> DataFrame:
     """Lines of ``(doc_id, line_no, line, confidence)`` with ``doubtful``: date and last two amounts not confirmed by another resolution, or neither and low confidence."""
     def signed_off(df: DataFrame) -> DataFrame:
-        amounts = F.regexp_extract_all("line", F.lit(r"[0-9][0-9,]*\.[0-9]{2}"), F.lit(0))
+        amounts = F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(0))
         date = F.regexp_extract("line", r"^\s*([0-9]{1,2}[/\- ][A-Za-z0-9]{2,4}(?:[/\- ][0-9]{2,4})?)", 1)
         return df.withColumn("_sig", F.when((date != "") | (F.size(amounts) > 0), F.concat_ws("|", date, F.slice(amounts, F.greatest(F.size(amounts) - 1, F.lit(1)), 2))))
 
@@ -169,7 +253,7 @@ def cross_check_ocr(primary: DataFrame, other: DataFrame, least_confidence: int
 
 def flag_rows_of_doubtful_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """``rows`` with ``doubtful`` also where all amounts of ``raw_text`` are those of a doubtful line."""
-    amounts = lambda c: F.concat_ws("|", F.regexp_extract_all(c, F.lit(r"[0-9][0-9,]*\.[0-9]{2}"), F.lit(0)))
+    amounts = lambda c: F.concat_ws("|", F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)))
     bad = lines.where("doubtful").select("doc_id", amounts(F.col("line")).alias("_amounts")).where("_amounts <> ''").distinct().withColumn("_bad", F.lit(True))
     out = rows.withColumn("_amounts", amounts(F.col("raw_text"))).join(bad, ["doc_id", "_amounts"], "left")
     return out.withColumn("doubtful", F.coalesce("doubtful", F.lit(False)) | F.col("_bad").isNotNull()).drop("_amounts", "_bad")

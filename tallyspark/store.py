@@ -1,10 +1,11 @@
 """The ledger store: immutable run folders, append-only events, one manifest.
 
 A commit writes a run's tables into ``<root>/<table>/run_id=<id>/`` and then
-publishes ``manifest-<version>.json``, created exclusively, which lists the runs
-that are visible.  Readers only see those.  Superseding a row, resolving a
-quarantined one and closing a month are events of a run, so rolling a run back -
-publishing a manifest without it - takes them back as well.
+publishes ``manifest-<version>.json``, which lists the runs that are visible; it is
+written aside and renamed, so it appears whole and only if no other writer was
+first.  Readers only see listed runs, and what a failed try left is written over.
+Superseding a row, resolving a quarantined one and closing a month are events of a
+run, so rolling a run back - publishing a manifest without it - takes them back.
 """
 
 from __future__ import annotations
@@ -12,19 +13,50 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import month_key
-from .operators import duplicates, ledger, transfers
+from .functions.money import estimate_minor
+from .operators import duplicates, ledger, transfers, validate
 from .operators.validate import may_approve
-from .plans.ingest import Staged
+from .plans.ingest import Config, Staged
 from .session import durable
 
-TABLES = ("statements", "transactions", "links", "events", "audit")
-SCHEMA_VERSION = 1
+TABLES = ("statements", "transactions", "links", "events", "audit", "quarantine", "corrections", "institutions", "accounts")
+SCHEMA_VERSION = 2
+#: Snapshots that are kept.
+KEEP_BACKUPS = 20
 _EVENTS = "kind string, key string, value string, reason string, at timestamp"
+_CORRECTIONS = "transaction_id string, field string, old_value string, new_value string, reason string"
+#: Digests that are hashed together.
+_FAN = 4096
+
+
+def content_digest(df: DataFrame) -> str:
+    """SHA-256 over the rows of a table, whatever their order: sorted row hashes are hashed group by group, in as many rounds as it takes."""
+    cols = sorted(df.columns)
+    rows = durable(df.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {"ignoreNullFields": "false"}), 256).alias("h")))
+    n, rounds = rows.count(), 0
+    total = n
+    while n > 1:
+        depth = 0
+        while n > _FAN * 16**depth:
+            depth += 1
+        rows = rows.groupBy(F.substring("h", 1, depth).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).select("h")
+        rows, rounds = durable(rows), rounds + 1
+        n = rows.count()
+    last = rows.first()
+    return hashlib.sha256(f"{','.join(cols)}|{total}|{last['h'] if last else ''}".encode()).hexdigest()
+
+
+class Busy(RuntimeError):
+    """Another writer published first; nothing was changed and the call can be repeated."""
 
 
 class Store:
@@ -33,35 +65,67 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # manifests are a few hundred bytes each and are handled by the driver
+    # manifests and contracts are a few hundred bytes each and are handled by the driver
+
+    def read_text(self, where: str) -> str:
+        stream = self._fs.open(self._path(where))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_text(self, where: str, text: str, replace: bool = True) -> None:
+        """A whole file or none; without ``replace`` an existing one is not touched and ``Busy`` is raised."""
+        jvm, target = self.spark._jvm, self._path(where)
+        draft = self._path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        options = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(options, 1)
+        how[0] = options.OVERWRITE if replace else options.NONE
+        qualified = [self._fs.makeQualified(p) for p in (draft, target)]
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified[1].toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(*qualified, how)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Busy(f"{where} exists") from None
+            raise
+
+    def names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if self._fs.exists(self._path(folder)) else []
 
     def _versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        return sorted(int(n[9:-5]) for n in self.names(self.root) if n.startswith("manifest-") and n.endswith(".json"))
 
     def manifest(self) -> dict:
         versions = self._versions()
         if not versions:
             return {"version": 0, "schema": SCHEMA_VERSION, "runs": [], "rolled_back": []}
-        stream = self._fs.open(self._path(f"{self.root}/manifest-{versions[-1]}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        found = json.loads(self.read_text(f"{self.root}/manifest-{versions[-1]}.json"))
+        if found["schema"] > SCHEMA_VERSION:
+            raise RuntimeError(f"the ledger has schema {found['schema']}, this version reads up to {SCHEMA_VERSION}")
+        return found
+
+    def migrate(self) -> int:
+        """Brings the manifest to this schema, after a backup; runs of older schemas lack tables and columns, which reads fill with nulls."""
+        manifest = self.manifest()
+        if manifest["version"] and manifest["schema"] < SCHEMA_VERSION:
+            self.backup(f"schema-{manifest['schema']}")
+            self._publish(manifest | {"schema": SCHEMA_VERSION, "migrated": [*manifest.get("migrated", []), {"from": manifest["schema"], "to": SCHEMA_VERSION}]})
+        return SCHEMA_VERSION
 
     def _publish(self, manifest: dict) -> None:
         manifest = manifest | {"version": manifest["version"] + 1}
-        out = self._fs.create(self._path(f"{self.root}/manifest-{manifest['version']}.json"), False)  # fails if another writer was first
-        try:
-            out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        finally:
-            out.close()
+        self.write_text(f"{self.root}/manifest-{manifest['version']}.json", json.dumps(manifest, sort_keys=True), replace=False)
 
-    def table(self, name: str) -> DataFrame | None:
+    def table(self, name: str, runs: Sequence[str] | None = None) -> DataFrame | None:
         """The rows of all visible runs; null before the first."""
-        runs = self.manifest()["runs"]
+        runs = self.manifest()["runs"] if runs is None else runs
         found = [f"{self.root}/{name}/run_id={r}" for r in runs if self._fs.exists(self._path(f"{self.root}/{name}/run_id={r}"))]
         return self.spark.read.option("basePath", f"{self.root}/{name}").option("mergeSchema", "true").parquet(*found) if found else None
 
@@ -80,6 +144,14 @@ class Store:
                 rows = rows.join(last.select(F.col("key").alias("transaction_id"), F.col("value").alias("_v")), "transaction_id", "left").withColumn(column, F.coalesce("_v", column)).drop("_v")
         return rows
 
+    def quarantine(self) -> DataFrame | None:
+        """``(statement_id, account_id, month, reason, n, amount_minor)`` of statements that were held back and not committed since."""
+        held = self.table("quarantine")
+        if held is None:
+            return None
+        last = ledger.latest_by(held.drop("run_id"), ["statement_id", "month"], ["at", "reason"]).drop("at")
+        return last.join(self.table("statements").select("statement_id").distinct(), "statement_id", "left_anti")
+
     def closed_months(self) -> DataFrame | None:
         """``(account_id, month)`` that are closed."""
         last = self._events("close")
@@ -88,39 +160,66 @@ class Store:
         return last.where("value = 'closed'").select(F.split("key", r"\|")[0].alias("account_id"), F.split("key", r"\|")[1].alias("month"))
 
     def seal(self, staged: Staged, key: bytes) -> str:
-        """HMAC of a staged run's contents, whatever the order of its rows."""
-        digests = []
-        for df in (staged.statements, staged.rows, staged.links):
-            cols = sorted(df.columns)
-            line = F.xxhash64(F.to_json(F.struct(*cols)))
-            digests.append(tuple(df.agg(F.count(F.lit(1)), F.sum(line.cast("decimal(20,0)")), F.bit_xor(line)).first()))
-        return hmac.new(key, repr(digests).encode(), hashlib.sha256).hexdigest()
-
-    def commit(self, run_id: str, staged: Staged) -> dict:
-        """Adds a run; statements already in the store are skipped, so importing twice changes nothing.
-
-        Statements that are not ready, and those with rows in a closed month, are
-        kept in quarantine.  Rows that correct rows of an overlapping statement
+        """HMAC-SHA256 of a staged run's contents, whatever the order of its rows."""
+        if not key:
+            raise ValueError("a seal needs a key")
+        parts = [staged.statements, staged.rows, staged.links, *([staged.corrections] if staged.corrections is not None else [])]
+        return hmac.new(key, "\n".join(content_digest(df) for df in parts).encode(), hashlib.sha256).hexdigest()
+
+    def _counts(self, run_id: str) -> dict:
+        count = lambda name: df.count() if (df := self.table(name, [run_id])) is not None else 0
+        return {name: count(name) for name in ("statements", "transactions", "links")}
+
+    def _write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")  # a failed try of this run may have left a part
+
+    def commit(self, run_id: str, staged: Staged, config: Config | None = None, originals: DataFrame | None = None) -> dict:
+        """Adds a run and returns how many statements, transactions and links it has; repeating a finished run only returns that.
+
+        Statements that were committed before are skipped.  Those that are not ready,
+        or touch a closed month, are held back: their rows stay out and a quarantine
+        record tells month, number and amount; committing them later, once they were
+        approved, clears it.  With ``config`` ready statements are validated again and
+        any problem stops the commit; ``originals`` (path, content, file_sha256) are
+        archived first.  Rows that correct rows of an overlapping statement
         supersede them.  Links are checked again against what is committed.
         """
         manifest = self.manifest()
-        if run_id in manifest["runs"] or run_id in manifest["rolled_back"]:
-            raise ValueError(f"run {run_id} is known")
+        if run_id in manifest["runs"]:
+            return self._counts(run_id)
+        if run_id in manifest["rolled_back"]:
+            raise ValueError(f"run {run_id} was rolled back")
+        if config is not None:
+            ready_now = staged.statements.where("state = 'READY_TO_COMMIT'")
+            problems = validate.commit_problems(ready_now, staged.rows, config.accounts, tuple(config.categories)).limit(20).collect()  # a few, for the message
+            if problems:
+                raise ValueError("; ".join(f"{r['statement_id']}: {r['problem']}" for r in problems))
+        if originals is not None:
+            self.archive(originals.join(staged.statements.where("state = 'READY_TO_COMMIT'").select("file_sha256").distinct(), "file_sha256", "left_semi"))
+        if manifest["version"]:
+            self.backup(f"commit-{run_id}")
         old = self.transactions()
         old = durable(old) if old is not None else None
-        statements = staged.statements.drop("meta", "warnings")
+        statements = staged.statements.drop(*[c for c in ("meta", "warnings") if c in staged.statements.columns])
         known = self.table("statements")
         fresh = duplicates.not_committed(statements, known) if known is not None else statements
         closed = self.closed_months()
-        held = ledger.touches_closed_month(staged.rows, closed).withColumn("_c", F.lit(True)) if closed is not None else None
-        if held is not None:
-            fresh = fresh.join(held, "statement_id", "left").withColumn("state", F.when(F.col("_c"), "REVIEW_REQUIRED").otherwise(F.col("state"))).drop("_c")
-        ready = fresh.select("statement_id", (F.col("state") == "READY_TO_COMMIT").alias("_ready"))
-        rows = staged.rows.join(ready, "statement_id").where("dup_of IS NULL")
-        rows = rows.withColumn("review_status", F.when(F.col("_ready"), F.col("review_status")).otherwise("cuarentena")).drop("_ready").withColumn("created_at", F.current_timestamp())
+        if closed is not None:
+            starts = fresh.where("period_start IS NOT NULL").select("statement_id", "account_id", F.col("period_start").alias("date_op")) if "period_start" in fresh.columns else None
+            touched = ledger.touches_closed_month(staged.rows, closed)
+            touched = (touched.union(ledger.touches_closed_month(starts, closed)) if starts is not None else touched).distinct().withColumn("_c", F.lit(True))
+            fresh = fresh.join(touched, "statement_id", "left")
+        else:
+            fresh = fresh.withColumn("_c", F.lit(None).cast("boolean"))
+        reason = F.when(F.col("_c"), F.lit("month_closed")).when(F.col("state") != "READY_TO_COMMIT", F.concat_ws(";", F.col("state"), *(["blocks"] if "blocks" in fresh.columns else [])))
+        fresh = durable(fresh.withColumn("_reason", reason).drop("_c"))
+        entered, held = fresh.where("_reason IS NULL").drop("_reason"), fresh.where("_reason IS NOT NULL").select("statement_id", F.col("_reason").alias("reason"))
+        mine = staged.rows.where("dup_of IS NULL").join(entered.select("statement_id"), "statement_id", "left_semi")
+        rows = mine.withColumn("created_at", F.current_timestamp())
         events = self.spark.createDataFrame([], _EVENTS)
         if old is not None:
-            versions = duplicates.prior_versions(rows.where("review_status <> 'cuarentena'"), old)
+            versions = durable(duplicates.prior_versions(rows, old))
             rows = rows.join(versions.select("transaction_id", "ambiguous"), "transaction_id", "left").withColumn("review_status", F.when(F.col("ambiguous"), "cuarentena").otherwise(F.col("review_status"))).drop("ambiguous")
             won = versions.where("supersedes IS NOT NULL")
             events = events.union(won.select(F.lit("supersede"), "supersedes", "transaction_id", F.lit("corrected statement"), F.current_timestamp()))
@@ -129,29 +228,53 @@ class Store:
         if old is not None:
             pool = pool.unionByName(old.where("dup_of IS NULL").withColumn("is_new", F.lit(False)), allowMissingColumns=True)
         links = transfers.revalidate_links(staged.links, pool)
-        months = ledger.latest_by(fresh.select("account_id", month_key(F.col("period_end")).alias("month"), "result", "statement_id"), ["account_id", "month"], ["statement_id"]).where("month IS NOT NULL")
-        events = events.union(months.select(F.lit("month"), F.concat_ws("|", "account_id", "month"), "result", F.lit("commit"), F.current_timestamp()))
-        written = {"statements": fresh, "transactions": rows, "links": links, "events": events, "audit": self.spark.createDataFrame([("commit", run_id)], "action string, subject string").withColumn("at", F.current_timestamp())}
-        for name, df in written.items():
-            df.write.mode("errorifexists").parquet(f"{self.root}/{name}/run_id={run_id}")
+        waiting = staged.rows.where("dup_of IS NULL").join(held, "statement_id")
+        raw = F.col("raw_text") if "raw_text" in waiting.columns else F.lit(None).cast("string")
+        fallback = "period_start" if "period_start" in waiting.columns else "date_op"
+        quarantined = ledger.quarantine_by_month(waiting.withColumn("estimate_minor", estimate_minor(raw)), fallback).join(held, "statement_id").join(staged.statements.select("statement_id", "account_id"), "statement_id")
+        given = staged.corrections if staged.corrections is not None else self.spark.createDataFrame([], _CORRECTIONS)
+        said = self.spark.createDataFrame([("commit", run_id)], "action string, subject string").union(entered.select(F.lit("commit_statement"), "statement_id")).union(held.select(F.concat(F.lit("held: "), "reason"), "statement_id"))
+        self._write(run_id, {
+            "statements": entered, "transactions": rows, "links": links, "events": events, "audit": said.withColumn("at", F.current_timestamp()),
+            "quarantine": quarantined.select("statement_id", "account_id", "month", "reason", F.col("n").cast("long").alias("n"), F.col("total_minor").cast("long").alias("amount_minor"), F.current_timestamp().alias("at")),
+            "corrections": given.join(rows.select("transaction_id"), "transaction_id", "left_semi"),
+        })
+        if config is not None:
+            self._write(run_id, self._new_dimensions(config.accounts))
         self._publish(manifest | {"runs": [*manifest["runs"], run_id]})
-        return {name: self.spark.read.parquet(f"{self.root}/{name}/run_id={run_id}").count() for name in ("statements", "transactions", "links")}
+        return self._counts(run_id)
+
+    def _new_dimensions(self, accounts: DataFrame) -> dict[str, DataFrame]:
+        """Accounts and institutions that the ledger does not have yet."""
+        fresh = {"accounts": accounts, "institutions": accounts.select("institution").distinct()}
+        for name, key in (("accounts", "account_id"), ("institutions", "institution")):
+            seen = self.table(name)
+            if seen is not None:
+                fresh[name] = fresh[name].join(seen.select(key), key, "left_anti")
+        return fresh
+
+    def months(self) -> DataFrame | None:
+        """``(account_id, month, result)``: the worst verdict on the committed statements that end in each month."""
+        statements = self.table("statements")
+        return ledger.month_verdicts(statements) if statements is not None else None
 
     def rollback(self, run_id: str) -> None:
         """Takes a run and its events back; refused if it touches a closed month."""
         manifest = self.manifest()
         if run_id not in manifest["runs"]:
             raise ValueError(f"run {run_id} is not committed")
-        closed = self.closed_months()
-        rows = self.spark.read.parquet(f"{self.root}/transactions/run_id={run_id}")
-        if closed is not None and not ledger.touches_closed_month(rows, closed).isEmpty():
+        closed, rows = self.closed_months(), self.table("transactions", [run_id])
+        if closed is not None and rows is not None and not ledger.touches_closed_month(rows, closed).isEmpty():
             raise ValueError(f"run {run_id} has rows in a closed month")
+        self.backup(f"rollback-{run_id}")
         self._publish(manifest | {"runs": [r for r in manifest["runs"] if r != run_id], "rolled_back": [*manifest["rolled_back"], run_id]})
 
     def _record(self, run_id: str, events: list[tuple[str, str, str, str]]) -> None:
         manifest = self.manifest()
+        if run_id in manifest["runs"]:
+            return
         df = self.spark.createDataFrame(events, "kind string, key string, value string, reason string").withColumn("at", F.current_timestamp())
-        df.write.mode("errorifexists").parquet(f"{self.root}/events/run_id={run_id}")
+        self._write(run_id, {"events": df, "audit": df.select(F.col("kind").alias("action"), F.col("key").alias("subject"), "at")})
         self._publish(manifest | {"runs": [*manifest["runs"], run_id]})
 
     def resolve(self, run_id: str, transaction_id: str, reason: str) -> None:
@@ -164,31 +287,134 @@ class Store:
             raise ValueError("the month is closed")
         self._record(run_id, [("resolve", transaction_id, "ok", reason)])
 
+    def held_back(self) -> DataFrame:
+        """``(account_id, month, n, amount_minor)`` of held statements and of committed rows in quarantine."""
+        held = self.quarantine()
+        none = self.spark.createDataFrame([], "account_id string, month string, n long, amount_minor long")
+        return ledger.quarantine_totals(held if held is not None else none, self.transactions())
+
     def close_month(self, run_id: str, month: str) -> tuple[list[str], list[str]]:
-        """Closes the accounts whose last verdict of the month is OK and that have no quarantine there; a month needs a statement."""
-        months = self._events("month").select(F.split("key", r"\|")[0].alias("account_id"), F.split("key", r"\|")[1].alias("month"), F.col("value").alias("result")).where(F.col("month") == month)
-        rows = self.transactions().where("review_status = 'cuarentena'").select("account_id", month_key(F.col("date_op")).alias("month"))
-        found = ledger.close_status(months, rows).collect()  # one row per account
+        """Closes the accounts whose worst verdict of the month is OK and that have nothing held back there; a month needs a statement."""
+        waiting = self.held_back().where(F.col("month") == month)
+        months = self.months().where(F.col("month") == month)
+        found = ledger.close_status(months, waiting).collect()  # one row per account
         closed = sorted(r["account_id"] for r in found if r["status"] == "closed")
+        pending = {r["account_id"] for r in found if r["status"] == "pending"} | {r["account_id"] for r in waiting.select("account_id").distinct().collect() if r["account_id"]}
         if closed:
             self._record(run_id, [("close", f"{a}|{month}", "closed", "close_month") for a in closed])
-        return closed, sorted(r["account_id"] for r in found if r["status"] == "pending")
+        return closed, sorted(pending - set(closed))
+
+    def set_export_state(self, state: str, reason: str = "") -> None:
+        """Marks the ledger as it is now as exported or not; the machine of states has to allow it."""
+        now = self.manifest()["version"]
+        known = self.export_state()
+        if state not in validate.TRANSITIONS[known]:
+            if known == state:
+                return
+            raise ValueError(f"{known} can't become {state}")
+        self.write_text(f"{self.root}/export-state.json", json.dumps({"version": now, "state": state, "reason": reason}))
+
+    def export_state(self) -> str:
+        """``COMMITTED`` after every change of the ledger, until it is exported."""
+        if not self._fs.exists(self._path(f"{self.root}/export-state.json")):
+            return "COMMITTED"
+        found = json.loads(self.read_text(f"{self.root}/export-state.json"))
+        return found["state"] if found["version"] == self.manifest()["version"] else "COMMITTED"
+
+    # --- snapshots and originals
+
+    def fingerprint(self, manifest: dict) -> dict:
+        """Names and lengths of the files of all visible runs; files never change once their run is published."""
+        out = {}
+        for name in TABLES:
+            for run in manifest["runs"]:
+                folder = f"{self.root}/{name}/run_id={run}"
+                if self._fs.exists(self._path(folder)):
+                    files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
+                    out[f"{name}/{run}"] = hashlib.sha256(json.dumps(sorted(files)).encode()).hexdigest()
+        return out
+
+    def backup(self, tag: str) -> str:
+        """A snapshot: the manifest with a checksum of every file it needs, read back and compared; the newest ``KEEP_BACKUPS`` stay."""
+        manifest = self.manifest()
+        body = json.dumps({"tag": tag, "manifest": manifest, "files": self.fingerprint(manifest)}, sort_keys=True)
+        folder = f"{self.root}/backups"
+        kept = [n for n in self.names(folder) if n.startswith("backup-")]
+        name = f"backup-{(int(kept[-1].split('-')[1]) if kept else 0) + 1:09d}-{hashlib.sha256(body.encode()).hexdigest()}.json"
+        self._fs.mkdirs(self._path(folder))
+        self.write_text(f"{folder}/{name}", body)
+        if not self._sound(name):
+            raise RuntimeError(f"backup {name} can't be verified")
+        for old in [*kept, name][:-KEEP_BACKUPS]:
+            self._fs.delete(self._path(f"{folder}/{old}"), False)
+        return name
+
+    def _sound(self, name: str) -> bool:
+        body = self.read_text(f"{self.root}/backups/{name}")
+        told = json.loads(body)
+        return name.rsplit("-", 1)[1] == f"{hashlib.sha256(body.encode()).hexdigest()}.json" and self.fingerprint(told["manifest"]) == told["files"]
+
+    def restore(self, name: str) -> None:
+        """Publishes a snapshot's runs again; nothing that came later is deleted."""
+        if not self._sound(name):
+            raise RuntimeError(f"backup {name} can't be verified")
+        told = json.loads(self.read_text(f"{self.root}/backups/{name}"))["manifest"]
+        self._publish(self.manifest() | {"runs": told["runs"], "rolled_back": told["rolled_back"]})
+
+    def archive(self, originals: DataFrame) -> int:
+        """Copies ``(path, content, file_sha256)`` to ``raw/<sha256>.<ext>``, by the executors; content that changed since it was hashed stops it."""
+        folder = f"{self.root}/raw"
+        self._fs.mkdirs(self._path(folder))
+        ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+        rows = originals.select("content", F.col("file_sha256").alias("sha"), F.concat("file_sha256", ext).alias("name"), F.sha2("content", 256).alias("now"))
+        changed = rows.where("sha <> now")
+        if not changed.isEmpty():
+            raise PermissionError(f"{changed.count()} originals changed since they were read")
+
+        def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs
+
+            target, base = fs.FileSystem.from_uri(folder)
+            for frame in frames:
+                for name, content in zip(frame["name"], frame["content"]):
+                    draft = f"{base}/_draft-{uuid.uuid4().hex}"
+                    with target.open_output_stream(draft, compression=None) as out:
+                        out.write(content)
+                    target.move(draft, f"{base}/{name}")
+                yield pd.DataFrame({"name": frame["name"]})
+
+        return durable(rows.select("name", "content").mapInPandas(copy, "name string")).count()
+
+    def originals(self) -> DataFrame:
+        """``(name, sha, sound)`` of the archived files."""
+        empty = self.spark.createDataFrame([], "name string, sha string, sound boolean")
+        if not self.names(f"{self.root}/raw"):
+            return empty
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "[0-9a-f]*").load(f"{self.root}/raw").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+        return files.withColumn("sha", F.split("name", r"\.")[0]).select("name", "sha", (F.sha2("content", 256) == F.col("sha")).alias("sound"))
 
     def status(self) -> dict[str, int]:
         return {name: (df.count() if (df := self.table(name)) is not None else 0) for name in TABLES}
 
-    def doctor(self) -> list[str]:
-        """What is wrong: rows without statement, links without rows, unknown amounts outside quarantine, repeated ids."""
+    def doctor(self, archived: bool = False) -> list[str]:
+        """What is wrong: rows without statement, links without rows, unknown amounts outside quarantine, repeated ids, a snapshot
+        that does not verify, originals that changed and, with ``archived``, committed statements without their original."""
         rows, statements, links = self.transactions(), self.table("statements"), self.table("links")
         if rows is None:
             return []
+        originals = self.originals()
         checks = {
             "rows without a statement": rows.join(statements, "statement_id", "left_anti"),
             "links without rows": links.join(rows.select(F.col("transaction_id").alias("from_id")), "from_id", "left_anti").select("from_id"),
             "amounts missing": rows.where("amount_minor IS NULL AND review_status <> 'cuarentena'"),
             "repeated transactions": rows.groupBy("transaction_id").count().where("count > 1"),
+            "originals altered": originals.where("NOT sound"),
         }
-        return [name for name, df in checks.items() if not df.isEmpty()]
+        if archived:
+            checks["originals missing"] = statements.join(originals.select(F.col("sha").alias("file_sha256")), "file_sha256", "left_anti")
+        wrong = [name for name, df in checks.items() if not df.isEmpty()]
+        kept = [n for n in self.names(f"{self.root}/backups") if n.startswith("backup-")]
+        return wrong + (["last backup does not verify"] if kept and not self._sound(kept[-1]) else [])
 
 
 def approve(staged: Staged, statement_id: str, reason: str) -> Staged:
@@ -199,18 +425,32 @@ def approve(staged: Staged, statement_id: str, reason: str) -> Staged:
     if row is None or row["state"] != "REVIEW_REQUIRED" or not row["ok"] or row["result"] == "BLOCKED":
         raise ValueError("this statement can't be approved")
     state = F.when(F.col("statement_id") == statement_id, "READY_TO_COMMIT").otherwise(F.col("state"))
-    return Staged(staged.statements.withColumn("state", state), staged.rows, staged.links)
+    return Staged(staged.statements.withColumn("state", state), staged.rows, staged.links, staged.corrections)
 
 
 def export(store: Store, accounts: DataFrame, institutions: DataFrame, folder: str) -> dict:
-    """Writes the export as CSV, reads it back and states its contract; raises if they differ."""
-    links = store.table("links")
-    rows = ledger.export_rows(store.transactions(), accounts, institutions, links)
-    rows.orderBy("fecha", "transaction_id").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/movimientos")
-    back = store.spark.read.option("header", True).schema(rows.schema).csv(f"{folder}/movimientos")
+    """Writes movements and quarantine as sorted CSV parts of this version, reads them back, and publishes ``_contract.json`` last.
+
+    Raises, and marks the export as failed, if what was written differs from the ledger.
+    """
+    version = store.manifest()["version"]
+    rows = durable(ledger.export_rows(store.transactions(), accounts, institutions, store.table("links")))
+    target = f"{folder.rstrip('/')}/v{version}"
+    rows.orderBy("fecha", "transaction_id").write.mode("overwrite").option("header", True).csv(f"{target}/movimientos")
+    back = store.spark.read.option("header", True).schema(rows.schema).csv(f"{target}/movimientos")
     want, got = ledger.export_totals(rows).first(), ledger.export_totals(back).first()
     if want != got:
+        store.set_export_state("EXPORT_FAILED", f"{want} and {got}")
         raise RuntimeError(f"export differs from the ledger: {want} and {got}")
-    quarantine = ledger.quarantine_by_month(store.transactions().where("review_status = 'cuarentena'").withColumn("estimate_minor", F.lit(0).cast("long")))
-    quarantine.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/cuarentena")
-    return {"version": ledger.CONTRACT_VERSION, "columns": list(ledger.EXPORT_COLUMNS), "n": want["n"], "income": str(want["income"]), "expense": str(want["expense"])}
+    held = store.quarantine()
+    if held is None:
+        held = store.spark.createDataFrame([], "statement_id string, account_id string, month string, reason string, n long, amount_minor long")
+    held.orderBy("month", "account_id", "statement_id").write.mode("overwrite").option("header", True).csv(f"{target}/cuarentena")
+    totals = ledger.contract_totals(held, store.transactions()).first().asDict()
+    contract = {
+        "schema_version": ledger.CONTRACT_VERSION, "columns": list(ledger.EXPORT_COLUMNS), "ledger_version": version, "n_rows": want["n"],
+        "totals": {"income": str(want["income"]), "expense": str(want["expense"])}, "content_sha256": content_digest(back), **totals,
+    }
+    store.write_text(f"{folder.rstrip('/')}/_contract.json", json.dumps(contract, sort_keys=True))
+    store.set_export_state("EXPORTED")
+    return contract

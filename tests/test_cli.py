@@ -28,7 +28,10 @@ def test_a_month_by_commands(spark, tmp_path):
     assert do("status")["transactions"] == 5 and do("doctor") == {"problems": []}
     assert [(r["account_id"], r["closed"]) for r in do("audit-month", "2026-06")] == [("mar_debito", True), ("sol_ahorro", True)]
     assert do("close-month", "2026-06") == {"closed": ["mar_debito", "sol_ahorro"], "pending": []}
-    assert do("export", f"file://{tmp_path}/out")["n"] == 5
+    assert do("export", f"file://{tmp_path}/out")["n_rows"] == 5
+    (tmp_path / "c.json").write_text(json.dumps({"accounts": accounts}))
+    with pytest.raises(SystemExit):
+        do("status")  # no key, no seals
 
 
 def test_a_changed_staging_is_refused(spark, tmp_path):

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import balances, categorize, duplicates, identify, lines, reconcile, transfers, validate
+from tallyspark.operators import balances, categorize, duplicates, identify, reconcile, transfers, validate
 
 D = dt.date
 
@@ -81,7 +81,7 @@ def test_balance_signs(spark):
 
 def test_categories_history_and_corrections(spark):
     rows = spark.createDataFrame([("t1", "oxxo centro", None), ("t2", "cine", None), ("t3", "algo", None)], "transaction_id string, merchant_norm string, type string")
-    rules = [{"priority": 50, "op": "contains", "value": "OXXO", "category": "tienda"}, {"priority": 10, "op": "regex", "value": r"^\S+ centro", "category": "centro"}, {"op": "regex", "value": "(", "category": "x"}]
+    rules = [{"priority": 50, "op": "contains", "value": "OXXO", "category": "tienda"}, {"priority": 10, "op": "regex", "value": r"^\S+ centro", "category": "centro"}, {"op": "regex", "value": "(", "category": "x"}, {"op": "regex", "value": "(?P<x>a)", "category": "y"}]
     past = spark.createDataFrame([("cine", "ocio")], "merchant_norm string, category string")
     done = categorize.categorize(rows, rules, past)
     assert {r["transaction_id"]: (r["category"], r["category_source"], r["review_status"]) for r in done.collect()} == {"t1": ("centro", "rule", "ok"), "t2": ("ocio", "history", "ok"), "t3": ("Por revisar", "none", "por_revisar")}
@@ -108,8 +108,11 @@ def test_states_and_blocks(spark):
     assert got == ["READY_TO_COMMIT", "REVIEW_REQUIRED", "REVIEW_REQUIRED", "REVIEW_REQUIRED"]
 
 
-def test_periods(spark):
-    rows = {"DEL 01/06/2026 AL 30/06/2026": ("2026-06-01", "2026-06-30"), "del 5 al 18 ene 2026": ("2026-01-05", "2026-01-18"), "Fecha de corte: 18 ene 2026 son 31 días": ("2025-12-19", "2026-01-18"), "Febrero 2026 periodo de 28 dias": ("2026-02-01", "2026-02-28"), "Febrero 2026 periodo de 30 días": (None, None), "nada": (None, None)}
-    df = spark.createDataFrame([(k,) for k in rows], "t string")
-    got = {r["t"]: tuple(None if x is None else str(x) for x in (r["period_start"], r["period_end"])) for r in lines.with_period(df, "t").collect()}
-    assert got == rows
+def test_hints_that_repeat_themselves_and_headers(spark):
+    docs = spark.createDataFrame([("1", "la la la la la", "x"), ("2", "", "banco sol y banco luz banco luz"), ("3", "banco sol", "banco luz banco luz"), ("4", "nada", "nada")], "doc_id string, header string, text string")
+    hints = spark.createDataFrame([("a", "la la"), ("s", "banco sol"), ("l", "banco luz")], "account_id string, hint string")
+    assert {(r["doc_id"], r["account_id"], r["score"]) for r in identify.account_scores(docs, hints, "header").collect()} == {("1", "a", 4), ("3", "s", 2)}
+    got = {r["doc_id"]: (r["account_id"], r["method"]) for r in identify.identified(docs, hints).collect()}
+    assert got == {"1": ("a", "match_hints:header"), "2": ("l", "match_hints:full"), "3": ("s", "match_hints:header"), "4": (None, "ambiguous_or_none")}
+    plan = identify.account_scores(docs, hints)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
