@@ -215,7 +215,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     typical = float(np.median(list(stems.values()))) if stems else 4.0
     stems |= {s: typical for s in SEEDS if not any(s[:n] in stems for n in range(4, len(s) + 1))}
     model = spark.sparkContext.broadcast(pickle.dumps({"stems": stems}))
-    seen = kept.mapInArrow(partial(_feature_batches, model=model), "toxic int, x1 double, x2 double").orderBy("toxic", "x1", "x2").toPandas()
+    seen = kept.mapInArrow(partial(_feature_batches, model=model), "toxic int, x1 double, x2 double").toPandas().sort_values(["toxic", "x1", "x2"])  # sums then do not depend on the order of tasks
     x, y = seen[["x1", "x2"]].to_numpy().reshape(-1, 2), seen["toxic"].to_numpy(dtype=float)
     # a little belief that a typical match is toxic and none is clean carries sizes without labels
     x, y = np.vstack([x, [[0, 0]] * 2, [[math.log1p(typical), math.log1p(typical)]] * 2]), np.r_[y, 0, 0, 1, 1]
