@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as A
 from .linededup import line_spans
-from .runtime import durable
+from .runtime import durable, stored
 
 WINDOW = 5
 BAD_AT_LEAST, BAD_AT_MOST = 0.25, 0.03
@@ -139,8 +139,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(f, T.LongType()) for f in FEATURES), rows.schema["rest"]])
     votes = [F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0).alias(f"v{k}") for k, (bad, good) in enumerate(RULES.values())]
     measured = rows.mapInArrow(_feature_batches, out).select("*", *[F.when(F.col("n_words") > 0, v).otherwise(-1).alias(f"v{k}") for k, v in enumerate(votes)])
-    if not keep_columns:
-        measured = durable(measured)
+    # read twice, for the vote statistics and for the verdicts, but measured once
+    measured = stored(measured) if keep_columns else durable(measured)
     names = [f"v{k}" for k in range(len(RULES))]
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > max_repeat_percent * F.col("n_words"))
     found = measured.where(~failed).groupBy(*names).count().collect()
