@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as A
+from .runtime import stored
 
 #: Words that one lane searches.
 LANE = 2048
@@ -206,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     word is one window.  A document is contaminated if a twentieth of its words
     are hit.  Null texts have no words; an item with a null id counts as ``''``;
     repeated rows are judged alike; an empty benchmark hits nothing.  The
-    benchmark is searched in blocks of ``block_bytes``, each broadcast alone.
+    benchmark is searched in blocks of ``block_bytes``, one pass over the documents each.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
@@ -220,7 +221,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
         matcher = WuManber(rows["item"].to_pylist(), rows["text"].to_pylist(), window)
-        found = found.mapInArrow(partial(_search_batches, matcher=spark.sparkContext.broadcast(pickle.dumps(matcher))), schema)
+        tables = spark.sparkContext.broadcast(pickle.dumps(matcher))
+        del matcher, rows
+        found = found.mapInArrow(partial(_search_batches, matcher=tables), schema)
+        if k < blocks - 1:  # a task only ever holds the tables of one block
+            found = stored(found)
+            tables.unpersist()
     n_hit = F.size("hit_words")
     return found.withColumn("contaminated", (n_hit > 0) & (n_hit * 20 >= F.col("n_words")))
 

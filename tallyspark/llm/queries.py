@@ -29,18 +29,22 @@ def _crc(spark_column: str):
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole documents by a network that learns from the rows that are not held out."""
     return score_documents(read_table(spark, sf_dir, "documents"), _crc("doc_id") % 7 == 2).withColumnRenamed("id", "doc_id")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives in the shared folder, read back, and the folder removed, also after a failure."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    write_warc(read_table(spark, sf_dir, "pages"), folder).write.format("noop").mode("overwrite").save()
     # a gap in archives that were written just now is a page lost
     whole = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("gap in"), "archive", F.lit("at"), "offset", "reason")).cast("boolean"))
-    records = durable(read_warc(spark, folder, payloads=False).drop("payload").where(whole))
-    remove_folder(spark, folder)
+    try:
+        write_warc(read_table(spark, sf_dir, "pages"), folder).write.format("noop").mode("overwrite").save()
+        records = durable(read_warc(spark, folder, payloads=False).drop("payload").where(whole))
+    finally:
+        remove_folder(spark, folder)
     number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("long"))
     return records.select(number("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
@@ -53,21 +57,25 @@ def tokenizer_path() -> str:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the token sequences of all documents."""
     pieces = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return pieces.withColumnRenamed("id", "doc_id")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base verdict and verdict of the fitted votes of every document."""
     scored = quality_scores(read_table(spark, sf_dir, "documents"))
     return scored.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of the benchmark in every document."""
     found = contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -76,21 +84,25 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page, aliases included."""
     judged = judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 35 words that are found elsewhere."""
     done = remove_repeats(read_table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that many documents share."""
     done = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labelled rows that are not held out."""
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
     held_out = _crc("doc_id") % 5 == 0
     scored = score_toxicity(docs, fit_toxicity(docs, labels.where(~held_out))).withColumnRenamed("id", "doc_id")
