@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_spaces, fold
+from ..session import computed
 
 # Names by which issuers print themselves, in order of preference among equals.
 BANK_MARKERS = {
@@ -19,6 +20,9 @@ BANK_MARKERS = {
     "hsbc": ("hsbc",),
 }
 
+#: Words of hints that are broadcast, at most.
+BROADCAST_WORDS = 100_000
+
 
 def occurrences(text: Column, part: str) -> Column:
     """How often a literal is found, without overlap."""
@@ -38,25 +42,25 @@ def account_scores(docs: DataFrame, hints: DataFrame, text: str = "text", key: s
     """``(key, account_id, score)``: whole-word hits of an account's hints, without overlap, times the words of each hint.
 
     ``hints`` is ``(account_id, hint)``; accents and case do not count, repeated
-    hints count once, and hints of one letter are ignored.  Texts become runs of as
-    many words as hints have, which are joined with the hints by equality.
+    hints count once, and hints of one letter are ignored.  Words of texts are
+    joined with words of hints by equality; a hint is found where all its words
+    line up.
     """
-    words_of = lambda c: F.filter(F.split(fold(c), r"(?U)\W+"), lambda w: w != "")
+    words = lambda c: F.split(F.trim(F.regexp_replace(fold(c), r"(?U)\W+", " ")), " ")
     folded = hints.select("account_id", collapse_spaces(fold(F.col("hint"))).alias("hint")).where("length(hint) >= 2").distinct()
-    probes = folded.select("account_id", words_of(F.col("hint")).alias("_w"), F.size(F.split("hint", r"(?U)\s+")).alias("_weight")).where("size(_w) > 0")
-    probes = probes.select("account_id", F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"), "_weight")
-    sizes = sorted(r["_n"] for r in probes.select("_n").distinct().collect())  # a few, from the configuration
-    texts = docs.select(key, words_of(F.coalesce(text, F.lit(""))).alias("_words"))
-    run = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda k: F.struct(k.alias("at"), F.array_join(F.slice("_words", k, n), " ").alias("run"))))
-    empty = F.array().cast("array<struct<at:int,run:string>>")
-    runs = F.concat(*[F.coalesce(run(n), empty) for n in sizes]) if sizes else empty
-    hits = texts.select(key, F.explode(runs).alias("_r")).select(key, F.col("_r.at").alias("_at"), F.col("_r.run").alias("_run")).join(probes, "_run")
-    # occurrences that begin inside the one counted before do not count: only hints that repeat themselves have any
-    counted = hits.groupBy(key, "account_id", "_run", "_n", "_weight").agg(F.collect_list("_at").alias("_places")) if any(n > 1 for n in sizes) else None
-    if counted is None:
-        return hits.groupBy(key, "account_id").agg(F.sum("_weight").cast("long").alias("score"))
-    n = F.aggregate(F.array_sort("_places"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda got, at: F.when(at >= got["end"], F.struct((at + F.col("_n")).alias("end"), (got["n"] + 1).alias("n"))).otherwise(got))["n"]
-    return counted.select(key, "account_id", (n * F.col("_weight")).alias("_s")).groupBy(key, "account_id").agg(F.sum("_s").cast("long").alias("score"))
+    probes = folded.select("account_id", words(F.col("hint")).alias("_w"), F.size(F.split("hint", r"(?U)\s+")).alias("_weight")).where("_w[0] <> ''")
+    parts = probes.select("account_id", F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"), "_weight", F.posexplode("_w").alias("_k", "_word"))
+    if parts.count() <= BROADCAST_WORDS:
+        parts = F.broadcast(parts)
+    split = computed(docs.select(key, words(F.coalesce(text, F.lit(""))).alias("_words")))
+    hits = split.select(key, F.posexplode("_words").alias("_at", "_word")).join(parts, "_word")
+    hint = [key, "account_id", "_run", "_n", "_weight"]
+    whole = hits.groupBy(*hint, (F.col("_at") - F.col("_k")).alias("_at")).agg(F.count(F.lit(1)).alias("_c")).where("_c = _n")
+    found = whole.groupBy(*hint).agg(F.count(F.lit(1)).alias("_c"), F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.col("_at")))).alias("_places"))
+    # an occurrence of several words that begins inside the one counted before does not count
+    apart = F.aggregate("_places", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda got, at: F.when(at >= got["end"], F.struct((at + F.col("_n")).alias("end"), (got["n"] + 1).alias("n"))).otherwise(got))["n"]
+    counted = found.select(key, "account_id", (F.when(F.col("_n") > 1, apart).otherwise(F.col("_c")) * F.col("_weight")).alias("_s"))
+    return counted.groupBy(key, "account_id").agg(F.sum("_s").cast("long").alias("score"))
 
 
 def identified(docs: DataFrame, hints: DataFrame, header: str = "header", text: str = "text", key: str = "doc_id") -> DataFrame:
