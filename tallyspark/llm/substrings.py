@@ -30,11 +30,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .runtime import durable, parallelism
+from .runtime import durable
 
 ROUNDS = 6
 #: Null ids, for grouping.
@@ -214,32 +214,6 @@ def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
     return A.map_chunks(batches, "text", partial(_window_kernel, window=window), pa.schema(_ROWS))
 
 
-def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of the names of a partition: which ranges are repeated, which have to be compared window by window."""
-    got = list(batches)
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    del got
-    name, content, kind, weight = (t[c].to_numpy() for c in ("name", "content", "kind", "weight"))
-    order = np.lexsort((content, kind, name))
-    n, c, k, w = name[order], content[order], kind[order], weight[order].astype(np.int64)
-    new_name = np.r_[True, (n[1:] != n[:-1]) | (k[1:] != k[:-1])]
-    new_block = new_name | np.r_[True, c[1:] != c[:-1]]
-    block, group = np.cumsum(new_block) - 1, np.cumsum(new_name) - 1
-    total = np.bincount(block, weights=w)
-    blocks = np.bincount(group[new_block])
-    repeated = (total[block] > 1) | (k == _KNOWN)
-    mixed = (k == _BLOCK) & (blocks[group] > 1) & new_block
-    status = np.where(mixed, np.where(repeated, _WITNESS, _COMPARE), np.where(repeated, _REPEATED, 0)).astype(np.int64)
-    out = np.flatnonzero(status)
-    status, order = status[out], order[out]
-    first, last = t["first"].to_numpy()[order].astype(np.int64), t["last"].to_numpy()[order].astype(np.int64)
-    columns = t["id"].to_numpy()[order], t["print"].to_numpy()[order], (first << 32) | ((last - first) << 2) | status
-    for at in range(0, len(order), 1 << 17):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], names=["id", "print", "range"])
-
-
 def _remove_kernel(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, window: int) -> dict:
     starts, ends, bounds = A.spans(buf, offsets, A.IS_WORD)
     n_docs, n_words = len(bounds) - 1, len(starts)
@@ -274,8 +248,23 @@ def _remove_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
 
 
 def _ranges(dealt: DataFrame, name: str) -> DataFrame:
-    judged = dealt.repartition(parallelism(dealt.sparkSession), "name").mapInArrow(_judge_batches, "id long, print long, range long")
-    return judged.groupBy("id", "print").agg(F.collect_list("range").alias(name))
+    """Per row the ranges that are repeated or have to be compared window by window.
+
+    One shuffle and one sort by name; a name's rows are never gathered in memory,
+    since windows spill.
+    """
+    same = Window.partitionBy("name", "kind", "content").orderBy("id", "print", "first")
+    block = dealt.repartition("name").select(
+        "*", F.row_number().over(same).alias("nth"), F.sum("weight").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
+    )
+    alike = Window.partitionBy("name", "kind")
+    judged = block.withColumn("differ", F.min("content").over(alike) != F.max("content").over(alike))
+    repeated = (F.col("total") > 1) | (F.col("kind") == _KNOWN)
+    mixed = (F.col("kind") == _BLOCK) & F.col("differ") & (F.col("nth") == 1)
+    status = F.when(mixed, F.when(repeated, _WITNESS).otherwise(_COMPARE)).when(repeated, _REPEATED).otherwise(0)
+    packed = F.shiftleft(F.col("first").cast("long"), 32) + F.shiftleft((F.col("last") - F.col("first")).cast("long"), 2) + status
+    told = judged.where(status > 0).select("id", "print", packed.alias("range"))
+    return told.groupBy("id", "print").agg(F.collect_list("range").alias(name))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
