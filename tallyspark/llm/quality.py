@@ -22,7 +22,6 @@ from .linededup import line_spans
 from .runtime import durable, stored
 
 WINDOW = 5
-BAD_AT_LEAST, BAD_AT_MOST = 0.25, 0.03
 _SYMBOL = np.isin(A._ALL, np.frombuffer(b"#*$%&|<>", np.uint8))
 _LEAD = (A._ALL & 0xC0) != 0x80
 _UPPER = (A._ALL >= 65) & (A._ALL <= 90)
@@ -90,9 +89,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, prior_good: float = 0.85
     class 0 bad and 1 good, vote 0 bad, 1 abstain, 2 good.  ``strength`` is the
     weight, as a share of all documents, of the prior belief: good documents
     seldom get a bad vote, bad ones get many good votes from the rules that are
-    about something else.  Rules stay better than chance: a bad vote is held to
-    ``BAD_AT_LEAST`` of bad and ``BAD_AT_MOST`` of good documents, else several kinds
-    of junk that no rule shares would pass for good.
+    about something else.  No rate is bounded: beyond the prior the votes decide.
     """
     total = max(float(counts.sum()), 1.0)
     prior = np.array([[0.3, 0.2, 0.5], [0.02, 0.18, 0.8]])
@@ -107,9 +104,6 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, prior_good: float = 0.85
             seen = np.einsum("p,prv->rv", weight, hot)
             base = prior[c] * (1 + strength * total)
             rates[c] = (seen + base) / (seen.sum(axis=1, keepdims=True) + base.sum())
-        for c, bad in ((0, np.maximum(rates[0, :, 0], BAD_AT_LEAST)), (1, np.minimum(rates[1, :, 0], BAD_AT_MOST))):
-            rates[c, :, 1:] *= ((1 - bad) / rates[c, :, 1:].sum(axis=1))[:, None]
-            rates[c, :, 0] = bad
     return share, rates
 
 

@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from tallyspark.llm.quality import RULES, fit_votes, posterior, quality_filter, quality_scores
+from tallyspark.llm.quality import FEATURES, RULES, fit_votes, posterior, quality_filter, quality_scores
 
 from .corpus import awkward, empty, frame, prose, words
 
@@ -54,3 +54,56 @@ def test_expectation_maximisation_finds_the_accuracies():
     p = posterior(votes, share, rates)
     assert ((p > 0.5) == good).mean() > 0.9
     assert len(RULES) <= 12  # the table of patterns stays small
+
+
+def by_hand(ballots, rounds=50, strength=0.02):
+    """The posterior of each ballot by expectation-maximisation over single documents, and the functions that give others'."""
+    start = {0: {-1: 0.3, 0: 0.2, 1: 0.5}, 1: {-1: 0.02, 0: 0.18, 1: 0.8}}
+    rate = {c: [dict(start[c]) for _ in RULES] for c in (0, 1)}
+    share = 0.85
+
+    def good(ballot):
+        odds = share / (1 - share)
+        for k, v in enumerate(ballot):
+            odds *= rate[1][k][v] / rate[0][k][v] if v else 1
+        return odds / (1 + odds)
+
+    extra = 1 + strength * len(ballots)
+    for _ in range(rounds):
+        believed = [good(b) for b in ballots]
+        share = min(max(sum(believed) / max(len(ballots), 1), 0.05), 0.99)
+        for c in (0, 1):
+            weight = [g if c else 1 - g for g in believed]
+            for k in range(len(RULES)):
+                rate[c][k] = {v: (sum(w for w, b in zip(weight, ballots) if b[k] == v) + start[c][v] * extra) / (sum(weight) + extra) for v in (-1, 0, 1)}
+    return good
+
+
+def test_posterior_and_verdict_against_plain_python(spark):
+    import random
+
+    rng = random.Random(11)
+    docs = [(k, ". ".join(prose(rng, 12, 9000) for _ in range(rng.randrange(1, 10))) + ".") for k in range(50)]
+    docs += [(100 + k, " ".join(f"{w}#%" for w in prose(rng, 60, 9000).split())) for k in range(8)]
+    docs += [(200 + k, " ".join(w.upper() for w in prose(rng, 70, 9000).split())) for k in range(4)] + [(300, None), (301, "")] + awkward()
+    rows = quality_scores(frame(spark, docs)).collect()
+
+    def holds(rule, row):
+        import duckdb
+
+        given = ", ".join(f"{row[f]}::BIGINT AS {f}" for f in FEATURES)
+        return duckdb.execute(f"SELECT {rule} FROM (SELECT {given})").fetchone()[0]
+
+    ballots = [tuple(-1 if not r["n_words"] or holds(bad, r) else 1 if holds(good, r) else 0 for bad, good in RULES.values()) for r in rows]
+    told = by_hand([b for r, b in zip(rows, ballots) if not r["base_failed"]])
+    for r, ballot in zip(rows, ballots):
+        assert abs(r["posterior"] - told(ballot)) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and told(ballot) >= 0.5)
+    assert {r["kept"] for r in rows} == {True, False}
+
+
+def test_rates_are_not_bounded():
+    votes = np.array([[-1, -1, 1], [1, 1, 1]])
+    _, rates = fit_votes(votes, np.array([2_000.0, 8_000.0]))
+    weight = 1 + 0.02 * 10_000  # of the prior, which alone speaks for the third rule's bad votes
+    assert abs(rates[0, 2, 0] - 0.3 * weight / (2_000 + weight)) < 0.002
