@@ -267,7 +267,8 @@ def summaries(docs: DataFrame) -> DataFrame:
 def summary_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Yields that one issuer credits without listing them, dated at the period's end; not for card statements, known concepts or without a period."""
     found = docs.where((F.col("bank") == "nu") & F.col("period_end").isNotNull() & ~F.coalesce(F.col("text").rlike(P.CARD_STATEMENT), F.lit(False)))
-    found = found.withColumn("description", F.lit("Dinero generado este mes")).withColumn("amount_minor", F.abs(cents(F.nullif(F.regexp_extract("text", P.YIELD, 2), F.lit(""))))).where("amount_minor > 0")
+    found = found.withColumn("description", F.lit("Dinero generado este mes")).withColumn("amount_minor", F.abs(cents(F.nullif(F.regexp_extract("text", P.YIELD, 2), F.lit("")))))
+    found = computed(found).where("amount_minor > 0")
     listed = rows.where(F.lower("description").contains("dinero generado")).select("doc_id").distinct()
     found = found.join(listed, "doc_id", "left_anti")
     return _out(found, line_no=F.lit(None).cast("int"), date_raw=F.date_format("period_end", "yyyy-MM-dd"), date_op=F.col("period_end"))

@@ -26,16 +26,18 @@ def with_period(rows: DataFrame, text: str) -> DataFrame:
     out = rows.withColumns({f"_{name}{k}": F.regexp_extract(F.coalesce(text, F.lit("")), rx, k) for name, rx, groups in _FORMS for k in groups})
     c, out = F.col, computed(out)
     span = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
-    named = lambda d, m, y: normalize_date(F.concat_ws(" ", d, m, y))
-    out = computed(out.withColumns({
-        "_r": span(normalize_date(c("_range1")), normalize_date(c("_range2"))),
-        "_d": span(named(c("_days1"), c("_days3"), c("_days4")), named(c("_days2"), c("_days3"), c("_days4"))),
-        "_e": normalize_date(c("_cut1")), "_n": F.nullif(c("_count1"), F.lit("")).cast("int"),
-        "_m": named(F.lit("1"), c("_month1"), c("_month2")), "_k": F.nullif(c("_month3"), F.lit("")).cast("int"),
-    }))
-    cut = F.when(c("_e").isNotNull() & c("_n").between(20, 40), span(F.date_sub("_e", c("_n") - 1), c("_e")))
-    month = F.when(F.dayofmonth(F.last_day("_m")) == c("_k"), span(c("_m"), F.last_day("_m")))
-    whole = lambda p: F.when(p["s"].isNotNull() & p["e"].isNotNull(), p)
-    chosen = F.when(c("_range1") != "", whole(c("_r"))).when(c("_days1") != "", whole(c("_d"))).otherwise(F.coalesce(cut, month))
+    day = lambda d, form: F.concat_ws(" ", d, c(f"_{form}{3 if form == 'days' else 1}"), c(f"_{form}{4 if form == 'days' else 2}"))
+    # only the dates of the form that counts are read: two spans share their columns, and so do a cut-off date and a month
+    is_range, is_days = c("_range1") != "", c("_days1") != ""
+    first = F.when(is_range, c("_range1")).when(is_days, day(c("_days1"), "days")).otherwise(c("_cut1"))
+    second = F.when(is_range, c("_range2")).when(is_days, day(c("_days2"), "days")).otherwise(day(F.lit("1"), "month"))
+    out = computed(out.withColumns({"_a": first, "_b": second}))
+    out = computed(out.withColumn("_a", normalize_date(c("_a"))))
+    out = computed(out.withColumn("_b", normalize_date(c("_b"))))
+    n, k = (F.nullif(c(name), F.lit("")).cast("int") for name in ("_count1", "_month3"))
+    cut = F.when(c("_a").isNotNull() & n.between(20, 40), span(F.date_sub("_a", n - 1), c("_a")))
+    month = F.when(F.dayofmonth(F.last_day("_b")) == k, span(c("_b"), F.last_day("_b")))
+    both = F.when(c("_a").isNotNull() & c("_b").isNotNull(), span(c("_a"), c("_b")))
+    chosen = F.when(is_range | is_days, both).otherwise(F.coalesce(cut, month))
     out = out.withColumn("_p", chosen).withColumn("period_start", c("_p.s")).withColumn("period_end", c("_p.e"))
     return computed(out.select(*rows.columns, "period_start", "period_end"))
