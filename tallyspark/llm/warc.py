@@ -58,7 +58,12 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 
 class _Archives:
-    """Files of one partition, a new one beyond ``limit`` bytes; each appears under its name once it is whole."""
+    """Files of one task, a new one beyond ``limit`` bytes, in a folder of the attempt that gets the partition's name once all are whole.
+
+    An attempt that fails leaves nothing readers see, and one that runs again,
+    after a lost executor or beside a slow one, replaces the folder as a whole: its
+    rows may come in another order and fill another number of files.
+    """
 
     def __init__(self, folder: str, limit: int):
         from pyarrow import fs
@@ -66,43 +71,64 @@ class _Archives:
         self.fs, self.path = fs.FileSystem.from_uri(folder)
         self.limit, self.number, self.out, self.size = limit, 0, None, 0
         task = TaskContext.get()
-        self.part, self.attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
+        part, attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
+        self.part, self.draft = f"part-{part:05d}", f"{self.path}/_draft-{part:05d}-{attempt}"
 
     def write(self, data: bytes) -> tuple[str, int]:
         if self.out is None:
-            self.name = f"part-{self.part:05d}-{self.number:04d}.warc.gz"
-            self.draft = f"{self.path}/_draft-{self.attempt}-{self.name}"
-            self.out, self.size = self.fs.open_output_stream(self.draft, compression=None), 0
+            self.name = f"{self.part}/{self.number:04d}.warc.gz"
+            self.fs.create_dir(self.draft)
+            self.out, self.size = self.fs.open_output_stream(f"{self.draft}/{self.number:04d}.warc.gz", compression=None), 0
+            self.number += 1
         at = self.name, self.size
         self.out.write(data)
         self.size += len(data)
         if self.size >= self.limit:
-            self.close()
+            self._end_file()
         return at
 
-    def close(self) -> None:
+    def _end_file(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.draft, f"{self.path}/{self.name}")
-            self.out, self.number = None, self.number + 1
+            self.out = None
+
+    def publish(self) -> None:
+        self._end_file()
+        self._remove(f"{self.path}/{self.part}")
+        if self.number:
+            self.fs.move(self.draft, f"{self.path}/{self.part}")
+
+    def discard(self) -> None:
+        self._end_file()
+        self._remove(self.draft)
+
+    def _remove(self, path: str) -> None:
+        if self.fs.get_file_info(path).type.name == "Directory":
+            self.fs.delete_dir(path)
 
 
 def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, limit: int, level: int) -> Iterator[pa.RecordBatch]:
     archives = _Archives(folder, limit)
-    for batch in batches:
-        places, sizes = [], []
-        ids, urls, payloads, refers = (batch.column(c) for c in ("key", "url", "payload", "refers_to"))
-        for key, url, payload, refer in zip(ids, urls, payloads, refers):
-            data = payload.as_py() or b""
-            member = gzip_member(record_bytes(key.as_py(), url.as_py(), data, sha1_base32(data), refer.as_py()), level)
-            places.append(archives.write(member))
-            sizes.append(len(member))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.int64()), pa.array(sizes, pa.int64())], names=["key", "archive", "offset", "length"])
-    archives.close()
+    try:
+        for batch in batches:
+            places, sizes = [], []
+            ids, urls, payloads, refers = (batch.column(c) for c in ("key", "url", "payload", "refers_to"))
+            for key, url, payload, refer in zip(ids, urls, payloads, refers):
+                data = payload.as_py() or b""
+                member = gzip_member(record_bytes(key.as_py(), url.as_py(), data, sha1_base32(data), refer.as_py()), level)
+                places.append(archives.write(member))
+                sizes.append(len(member))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.int64()), pa.array(sizes, pa.int64())], names=["key", "archive", "offset", "length"])
+        archives.publish()
+    except BaseException:
+        archives.discard()
+        raise
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20, level: int = 6) -> DataFrame:
-    """Plan that writes a record per row and gives ``(key, archive, offset, length)``; run it once.
+    """Plan that writes a record per row and gives ``(key, archive, offset, length)``; run it once, into a folder of its own.
+
+    Each task's archives appear together, in a folder ``part-<n>``, when it ends.
 
     ``payload_col`` is text (written in UTF-8) or binary; null is empty.  Of rows
     with equal payloads of ``min_revisit_bytes`` or more, the one with the largest
@@ -321,13 +347,13 @@ def _read_batches(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pattern: str = "*.warc*") -> DataFrame:
-    """All records and gaps of the archives in a folder: ``kind`` is ``record`` or ``gap``.
+    """All records and gaps of the archives in a folder and the folders in it: ``kind`` is ``record`` or ``gap``.
 
     Gaps have the archive, offset, length and the reason of the first failed
     check.  A revisit has the size and digest of the payload it stands for and no
     payload.  An empty folder gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
     return files.mapInArrow(partial(_read_batches, payloads=payloads), _SCHEMA)
 
 

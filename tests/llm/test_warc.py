@@ -2,11 +2,12 @@ import gzip
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import queries as Q
-from tallyspark.llm.warc import gzip_member, read_warc, record_bytes, salvage, sha1_base32, write_warc
+from tallyspark.llm.warc import _write_batches, gzip_member, read_warc, record_bytes, salvage, sha1_base32, write_warc
 
 
 def pages():
@@ -46,6 +47,27 @@ def test_empty_table(spark, tmp_path):
     assert read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_a_task_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+
+    def batches(keys, fail=False):
+        yield pa.RecordBatch.from_pylist([{"key": str(k), "url": "u", "payload": bytes(50), "refers_to": None} for k in keys], pa.schema([("key", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("refers_to", pa.string())]))
+        if fail:
+            raise OSError("executor lost")
+
+    read = lambda: sorted(int(r["key"]) for r in read_warc(spark, folder).collect())
+    with pytest.raises(OSError):
+        list(_write_batches(batches(range(9), fail=True), folder, 1, 6))
+    assert read() == [] and not list(tmp_path.iterdir())
+    list(_write_batches(batches(range(9)), folder, 1, 6))
+    assert read() == list(range(9)) and len(list(tmp_path.glob("part-*/*"))) == 9
+    list(_write_batches(batches(reversed(range(9))), folder, 400, 6))  # other order, fewer files
+    assert read() == list(range(9)) and 1 < len(list(tmp_path.glob("part-*/*"))) < 9
+    with pytest.raises(OSError):
+        list(_write_batches(batches(range(9), fail=True), folder, 1, 6))
+    assert read() == list(range(9))
+
+
 def archive(packed):
     records = [record_bytes(str(k), "http://x", bytes([65 + k]) * (50 * k + 1), sha1_base32(bytes([65 + k]) * (50 * k + 1)), None) for k in range(8)]
     return [gzip_member(r) if packed else r for r in records]
