@@ -23,6 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import durable, spread_join
+
+#: So many prints, of some hundred bytes each, may be broadcast.
+BROADCAST_PRINTS = 100_000
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 _DATE = "2024-01-01T00:00:00Z"
@@ -125,7 +129,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, limit: int, l
         raise
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20, level: int = 6) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 16 << 20, level: int = 6, broadcast_prints: int = BROADCAST_PRINTS) -> DataFrame:
     """Plan that writes a record per row and gives ``(key, archive, offset, length)``; run it once, into a folder of its own.
 
     Each task's archives appear together, in a folder ``part-<n>``, when it ends.
@@ -135,12 +139,21 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     id is the response and the others revisit it; smaller ones are all responses.
     A null id is below all others; rows that repeat an id and payload have equal
     records and are all responses if that id is the largest.
+
+    Up to ``broadcast_prints`` payloads that are found twice are broadcast, by
+    print, so pages stay where they are read; beyond that pages are shuffled by
+    print, those of very frequent ones apart.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("print"))
-    # Only prints found twice are joined: a page with a payload of its own finds no partner.
-    shared = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("print", F.length("payload").alias("size")).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(shared, (rows["print"] == shared["print"]) & (F.length("payload") == shared["size"]), "left").drop(shared["print"])
+    known = F.concat_ws("-", F.sha1(payload), F.length(payload).cast("string"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), known.alias("print"))
+    # only prints found twice are joined: a page with a payload of its own finds no partner
+    twice = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("print").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = durable(twice)
+    if twice.count() <= broadcast_prints:
+        told = rows.join(F.broadcast(twice.drop("n")), "print", "left")
+    else:
+        told = spread_join(rows, twice, "print", "n", "left")
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), key("first"))
     out = told.select(key("id").alias("key"), "url", "payload", refers.alias("refers_to"))

@@ -17,13 +17,13 @@ def pages():
     return [(k, f"http://x/{k} é\n", body(rng.randrange(2000))) for k in range(20)] + [(30, None, None), (31, "u", ""), (32, "u", same), (33, "u", same), (34, "u", same), (40, "big", body(200_000)), (50, "r", "twice"), (50, "r", "twice"), (None, "n", same), (60, "w", "\r\n\r\nWARC/1.1\r\n")]
 
 
-@pytest.mark.parametrize("least", [0, 100])
-def test_round_trip(spark, tmp_path, least):
+@pytest.mark.parametrize(("least", "prints"), [(0, 100), (0, 0), (100, 100)])
+def test_round_trip(spark, tmp_path, least, prints):
     rows = pages()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, key string").repartition(3)
     folder = f"file://{tmp_path}/a"
     (tmp_path / "a").mkdir()
-    written = write_warc(df, folder, min_revisit_bytes=least, archive_bytes=1_000).collect()
+    written = write_warc(df, folder, min_revisit_bytes=least, archive_bytes=1_000, broadcast_prints=prints).collect()
     got = read_warc(spark, folder).collect()
     assert len(written) == len(rows) == len(got) and all(r["kind"] == "record" for r in got)
     groups = {}
