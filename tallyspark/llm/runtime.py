@@ -39,6 +39,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_alone(df: DataFrame) -> DataFrame:
+    """``durable``, and the shuffle files that made it go as soon as it is there, not when the driver next collects garbage."""
+    shared_dir(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under this setting
+    finally:
+        conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once into a compressed table in the shared folder: for rows that carry whole texts."""
     folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .runtime import durable
+from .runtime import durable_alone
 
 ROUNDS = 6
 #: Null ids, for grouping.
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = keyed.withColumn("print", F.xxhash64("text"))
-    ranges = durable(_ranges(keyed.mapInArrow(partial(_block_batches, window=window), _ROWS_SQL), "ranges"))
+    ranges = durable_alone(_ranges(keyed.mapInArrow(partial(_block_batches, window=window), _ROWS_SQL), "ranges"))
     told = keyed.join(ranges, ["id", "print"], "left")
     more = _ranges(told.mapInArrow(partial(_window_batches, window=window), _ROWS_SQL), "more")
     done = told.join(more, ["id", "print"], "left").select("id", "text", "ranges", "more")

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import arrowtext as A
+from tallyspark.llm.runtime import durable_alone
 from tallyspark.llm.substrings import designate, recompress, remove_repeats
 
 from .corpus import awkward, empty, frame, prose, words
@@ -58,3 +60,12 @@ def test_equal_windows_are_known_by_equal_symbols():
     assert all(len(v) == 1 for v in names.values())
     owned = by[fits & (by >= 0)]
     assert len(owned) > 0.5 * fits.sum()
+
+
+def test_shuffles_go_and_rows_stay(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    kept = durable_alone(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(name) == before
+    for _ in range(2):  # read from the shared folder, again and again
+        assert sorted(map(tuple, kept.collect())) == [(k, len(range(k, 1000, 7))) for k in range(7)]
