@@ -18,6 +18,7 @@ rounds, and every training document is learned from in one of them.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 from functools import partial
@@ -168,97 +169,139 @@ def initial_parameters(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.n
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+def _gate_rows(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the input table by gate and symbol, and the state's matrices by gate; those of the two sigmoids halved, as their tanh wants it."""
+    table, u = (np.ascontiguousarray(p[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in ("input", "state"))
+    table[:2] *= 0.5
+    u[:2] *= 0.5
+    return table.reshape(-1, HIDDEN), u
 
 
 def forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-    """States after each step of a window (steps x lanes); ``fresh`` marks steps that begin a document."""
+    """States after each step of a window (steps x lanes); ``fresh`` marks steps that begin a document. Gates lie apart, so that every step works on whole arrays."""
     steps, lanes = inputs.shape
-    x = p["input"][inputs]
-    gates, states, prior = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, HIDDEN), np.float32), np.empty((steps, lanes, HIDDEN), np.float32)
-    u_zr, u_n = np.ascontiguousarray(p["state"][:, : 2 * HIDDEN]), np.ascontiguousarray(p["state"][:, 2 * HIDDEN :])
+    table, u = _gate_rows(p)
+    x = np.take(table, inputs[:, None, :] + np.arange(3, dtype=np.int32)[:, None] * np.int32(INPUTS), axis=0)
+    kind = u.dtype
+    zr, new = np.empty((steps, 2, lanes, HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
+    states, prior, part = np.empty_like(new), np.empty_like(new), np.empty((lanes, HIDDEN), kind)
     any_fresh = fresh.any(axis=1)
     for t in range(steps):
-        if any_fresh[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
         prior[t] = h
-        zr = _sigmoid(x[t, :, : 2 * HIDDEN] + h @ u_zr)
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[t, :, 2 * HIDDEN :] + (r * h) @ u_n)
-        gates[t, :, : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :] = zr, n
-        h = h + z * (n - h)
-        states[t] = h
-    return states, prior, gates, h
-
-
-def _softmax_parts(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials, in place of the logits, and their sums by row."""
-    # logits stay far below the limit of float32's exponential, so no row maximum is taken off
-    e = np.exp(np.minimum(logits, np.float32(60)), out=logits)
-    s = e @ np.ones(e.shape[1], np.float32)
-    return e, s
+        h, g, n = prior[t], zr[t], new[t]
+        if any_fresh[t]:
+            h[fresh[t]] = 0
+        np.matmul(h, u[:2], out=g)
+        g += x[t, :2]
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        np.multiply(g[1], h, out=part)
+        np.matmul(part, u[2], out=n)
+        n += x[t, 2]
+        np.tanh(n, out=n)
+        np.subtract(n, h, out=part)
+        part *= g[0]
+        h = np.add(h, part, out=states[t])
+    return states, prior, (zr, new), h
+
+
+def _exponentials(logits: np.ndarray, w: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, in place of the logits, and their sums by row. No row maximum is taken off: logits stay far below
+    the limit of float32's exponential, and where ``w`` and states up to ``reach`` don't rule more out, they are cut there."""
+    if (np.abs(w[:-1]).sum(axis=0) * reach + w[-1]).max() > 60:
+        np.minimum(logits, 60, out=logits)
+    e = np.exp(logits, out=logits)
+    return e, e @ np.ones(e.shape[1], e.dtype)
 
 
 def outputs(p: dict, states: np.ndarray, classes: np.ndarray, slots: np.ndarray, grads: dict | None = None):
-    """Natural log probability of each token's class and of its slot there (-1: no slot); with ``grads`` also the gradient by the states."""
-    logits = states @ p["class_w"] + p["class_b"]
-    rows = np.arange(len(states))
-    logp = logits[rows, classes]
-    prob, total = _softmax_parts(logits)
+    """Natural log probability of each token's class and of its slot there (-1: no slot); with ``grads`` also the gradient by the states.
+
+    Biases are the last row of the weights, met by a column of ones. Gradients are scaled by the states' rows, which are shorter than those of the probabilities.
+    """
+    n = len(states)
+    states = np.concatenate([states, np.ones((n, 1), states.dtype)], axis=1)
+    reach = float(np.abs(states).max(initial=1))
+    w = np.concatenate([p["class_w"], p["class_b"][None]])
+    logits = states @ w
+    picked = np.arange(n) * logits.shape[1] + classes
+    logp = logits.ravel()[picked]
+    e, total = _exponentials(logits, w, reach)
     logp -= np.log(total)
     back = None
     if grads is not None:
-        prob *= (1 / total)[:, None]
-        prob[rows, classes] -= 1
-        grads["class_w"], grads["class_b"] = states.T @ prob, prob.sum(axis=0)
-        back = prob @ p["class_w"].T
-        grads["word_w"], grads["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
-    order = np.flatnonzero(slots >= 0)
-    order = order[np.argsort(classes[order], kind="stable")]
-    edge = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[edge[c] : edge[c + 1]]
-        if not len(at):
-            continue
-        s, w = states[at], p["word_w"][c]
-        logits = s @ w + p["word_b"][c]
-        k, slot = np.arange(len(at)), slots[at]
-        picked = logits[k, slot]
-        prob, total = _softmax_parts(logits)
-        logp[at] += picked - np.log(total)
-        if grads is not None:
-            prob *= (1 / total)[:, None]
-            prob[k, slot] -= 1
-            grads["word_w"][c], grads["word_b"][c] = s.T @ prob, prob.sum(axis=0)
-            back[at] += prob @ w.T
+        e.ravel()[picked] -= total
+        scale = (1 / total)[:, None]
+        g = (states * scale).T @ e
+        grads["class_w"], grads["class_b"] = g[:-1], g[-1]
+        back = e @ p["class_w"].T
+        back *= scale
+    # tokens with a slot, by class: one product a class, all else over all of them
+    group = np.where(slots >= 0, classes, CLASSES).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES)[:CLASSES])]).tolist()
+    order = order[: edge[-1]]
+    s = states[order]
+    w = np.concatenate([p["word_w"], p["word_b"][:, None]], axis=1)
+    logits = np.empty((len(order), CLASS_SIZE), np.result_type(s, w))
+    ranges = [(c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1]]
+    for c, at in ranges:
+        np.matmul(s[at], w[c], out=logits[at])
+    picked = np.arange(len(order)) * CLASS_SIZE + slots[order]
+    inside = logits.ravel()[picked]
+    e, total = _exponentials(logits, w.transpose(1, 0, 2).reshape(HIDDEN + 1, -1), reach)
+    logp[order] += inside - np.log(total)
+    if grads is not None:
+        e.ravel()[picked] -= total
+        scale = (1 / total)[:, None]
+        s *= scale
+        g, inner = np.zeros_like(w), np.empty((len(order), HIDDEN), back.dtype)
+        for c, at in ranges:
+            np.matmul(s[at].T, e[at], out=g[c])
+            np.matmul(e[at], p["word_w"][c].T, out=inner[at])
+        grads["word_w"], grads["word_b"] = g[:, :-1], g[:, -1]
+        inner *= scale
+        back[order] += inner
     return logp, back
 
 
 def backward(p: dict, inputs, fresh, states, prior, gates, back, grads: dict) -> None:
     """Adds the gradients of the recurrent part, back to the window's first step."""
     steps, lanes = inputs.shape
-    u_zr, u_n = p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN :]
-    dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    carry = np.zeros((lanes, HIDDEN), np.float32)
-    back_zr, back_n = np.ascontiguousarray(u_zr.T), np.ascontiguousarray(u_n.T)
+    zr, n = gates
+    z, r = np.ascontiguousarray(zr[:, 0]), np.ascontiguousarray(zr[:, 1])
+    u = np.ascontiguousarray(p["state"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+    dx = np.empty((3, steps, lanes, HIDDEN), n.dtype)
+    carry, part = np.zeros((lanes, HIDDEN), n.dtype), np.empty((lanes, HIDDEN), n.dtype)
+    # what a state's gradient is multiplied by on its way to the gates and to the state before
+    keep = 1 - z
+    by_n = z * (1 - n * n)
+    by_z = (n - prior) * z * keep
+    by_r = prior * r * (1 - r)
     any_fresh = fresh.any(axis=1)
     for t in range(steps - 1, -1, -1):
-        z, r, n, h = gates[t, :, :HIDDEN], gates[t, :, HIDDEN : 2 * HIDDEN], gates[t, :, 2 * HIDDEN :], prior[t]
-        dh = back[t] + carry
-        dn = dh * z * (1 - n * n)
-        drh = dn @ back_n
-        dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dh * (n - h) * z * (1 - z), drh * h * r * (1 - r), dn
-        carry = dh * (1 - z) + drh * r + dx[t, :, : 2 * HIDDEN] @ back_zr
+        carry += back[t]
+        np.multiply(carry, by_n[t], out=dx[2, t])
+        np.matmul(dx[2, t], u[2], out=part)
+        np.multiply(carry, by_z[t], out=dx[0, t])
+        np.multiply(part, by_r[t], out=dx[1, t])
+        carry *= keep[t]
+        part *= r[t]
+        carry += part
+        carry += np.matmul(dx[0, t], u[0], out=part)
+        carry += np.matmul(dx[1, t], u[1], out=part)
         if any_fresh[t]:
-            carry = np.where(fresh[t][:, None], np.float32(0), carry)
-    flat, before, reset = dx.reshape(-1, 3 * HIDDEN), prior.reshape(-1, HIDDEN), gates.reshape(-1, 3 * HIDDEN)[:, HIDDEN : 2 * HIDDEN]
-    grads["state"] = np.concatenate([before.T @ flat[:, : 2 * HIDDEN], (reset * before).T @ flat[:, 2 * HIDDEN :]], axis=1)
+            carry[fresh[t]] = 0
+    before, flat = prior.reshape(-1, HIDDEN), dx.reshape(3, -1, HIDDEN)
+    grads["state"] = np.concatenate([before.T @ flat[0], before.T @ flat[1], (r * prior).reshape(-1, HIDDEN).T @ flat[2]], axis=1)
     grads["input"] = np.zeros_like(p["input"])
-    symbols = inputs.ravel()
+    symbols = inputs.ravel().astype(np.uint16)
     order = np.argsort(symbols, kind="stable")
-    edge = np.flatnonzero(np.r_[True, np.diff(symbols[order]) != 0])
-    grads["input"][symbols[order[edge]]] = np.add.reduceat(flat[order], edge, axis=0)
+    found = symbols[order]
+    edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    for k in range(3):
+        grads["input"][found[edge], k * HIDDEN : (k + 1) * HIDDEN] = np.add.reduceat(flat[k][order], edge, axis=0)
 
 
 class Adam:
@@ -268,14 +311,24 @@ class Adam:
 
     def step(self, p: dict, grads: dict, scale: float, progress: float) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
-        rate = self.rate * (1 - 0.8 * progress) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate = self.rate * (1 - 0.8 * progress) * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
+            # running means m += 0.1 (g - m) and v += 0.01 (g g - v), without further arrays
             g = g * np.float32(scale)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += g * np.float32(0.1)
+            g *= g
+            g *= 0.01
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= rate
+            p[k] -= g
 
 
 def deal(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:

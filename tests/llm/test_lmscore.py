@@ -86,6 +86,33 @@ def test_probabilities_sum_to_one_over_classes_and_slots():
     assert abs(inside - 1) < 1e-3
 
 
+def test_a_window_takes_its_exponentials_at_once_and_agrees_with_plain_formulas(monkeypatch):
+    v = vocabulary()
+    rng = np.random.default_rng(3)
+    p = {k: x + 0.3 * rng.standard_normal(x.shape).astype(np.float32) for k, x in L.initial_parameters(v).items()}
+    steps, lanes = 6, 40
+    x, fresh = rng.integers(0, L.INPUTS, (steps, lanes)), rng.random((steps, lanes)) < 0.2
+    start = rng.standard_normal((lanes, L.HIDDEN)).astype(np.float32) * np.float32(0.1)
+    states = L.forward(p, x, fresh, start)[0].reshape(-1, L.HIDDEN)
+    sigmoid, h, plain = lambda a: 1 / (1 + np.exp(-a)), start.astype(np.float64), []
+    z, r, n = (slice(k * L.HIDDEN, (k + 1) * L.HIDDEN) for k in range(3))
+    for t in range(steps):
+        h = np.where(fresh[t][:, None], 0, h)
+        e, u = p["input"][x[t]], p["state"]
+        gate = sigmoid(e[:, z] + h @ u[:, z])
+        h = (1 - gate) * h + gate * np.tanh(e[:, n] + (sigmoid(e[:, r] + h @ u[:, r]) * h) @ u[:, n])
+        plain.append(h)
+    assert np.allclose(states, np.concatenate(plain), atol=1e-5)
+    slots = rng.integers(-1, 40, len(states))
+    classes = np.where(slots >= 0, rng.integers(0, 6, len(states)), rng.integers(0, L.CLASSES + L.RARE, len(states)))
+    softmax = lambda a: np.log(np.exp(a - a.max()) / np.exp(a - a.max()).sum())
+    want = [softmax(s @ p["class_w"] + p["class_b"])[c] + (softmax(s @ p["word_w"][c] + p["word_b"][c])[k] if k >= 0 else 0) for s, c, k in zip(states, classes, slots)]
+    calls, original = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or original(*a, **b))
+    got = L.outputs(p, states, classes, slots, {})[0]
+    assert np.allclose(got, want, atol=1e-4) and len(calls) == 2  # classes, and the slots of all of them
+
+
 def test_state_is_carried_across_windows_and_lanes_do_not_matter():
     v = vocabulary()
     p = L.initial_parameters(v)
