@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontaminate import contamination
 from .linededup import line_dedup
 from .lmscore import score_documents
+from .merkle import fold, merkle_manifest, siblings
 from .packing import pack_documents
 from .quality import quality_scores
 from .runtime import durable, read_table, shared_dir
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .tokencounts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .urlrules import judge_urls
 from .warc import read_warc, remove_folder, write_warc
@@ -50,7 +53,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The vocabulary file of the packing query; it belongs to the box, not to this repository."""
+    """The vocabulary file of the queries that need tokens; it belongs to the box, not to this repository."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -109,6 +112,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document, and what a check of tampered texts says."""
+    tampered = F.when(_crc("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle_manifest(read_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered})
+    told = made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), fold(F.col("altered_leaf"), F.col("path")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of every language."""
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -121,6 +143,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_token_counts": op12_token_counts,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
@@ -166,8 +191,82 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN NOT allowed THEN 'blo
 """
 
 
+def _merkle_sql() -> str:
+    """The manifest query for DuckDB: levels and folds reached recursively; the upper tree has no source name."""
+    field = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # bit by bit; only the lowest bit of the inverted remainder counts
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"list_reduce(list_prepend(4294967295, {steps}), lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    tree = lambda name, start: f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (size + 2) // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM {name} WHERE size > 1 GROUP BY tree, level, idx // 3, size
+)"""
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} & 1 = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS altered FROM documents
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS size FROM leaves),
+{tree("lower_tree", "SELECT tree, 0 AS level, idx, size, leaf AS node FROM numbered")},
+tops AS (SELECT tree, node AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM lower_tree WHERE size = 1),
+{tree("upper_tree", "SELECT '' AS tree, 0 AS level, place AS idx, size, subroot AS node FROM tops")},
+summit AS (SELECT node AS root, level AS steps FROM upper_tree WHERE size = 1),
+docs AS (SELECT n.doc_id, n.leaf, n.altered, n.idx, n.tree, t.subroot, t.height, t.place, s.root, s.steps, row_number() OVER () AS row FROM numbered n JOIN tops t ON n.tree = t.tree CROSS JOIN summit s),
+climbs AS (
+  SELECT row, tree, step, step AS level, idx // CAST(pow(3, step) AS BIGINT) AS at, false AS upper FROM docs, LATERAL (SELECT unnest(range(0, height)) AS step)
+  UNION ALL
+  SELECT row, tree, height + step, step, place // CAST(pow(3, step) AS BIGINT), true FROM docs, LATERAL (SELECT unnest(range(0, steps)) AS step)
+),
+nodes AS (SELECT false AS upper, * FROM lower_tree UNION ALL SELECT true, * FROM upper_tree),
+beside AS (
+  SELECT c.row, c.step, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx < c.at), '') AS before, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx > c.at), '') AS after
+  FROM climbs c JOIN nodes n ON n.upper = c.upper AND n.tree = CASE WHEN c.upper THEN '' ELSE c.tree END AND n.level = c.level AND n.idx // 3 = c.at // 3 GROUP BY c.row, c.step
+),
+folds AS (
+  SELECT row, CAST(0 AS BIGINT) AS step, altered AS node FROM docs
+  UNION ALL
+  SELECT f.row, f.step + 1, sha256(b.before || f.node || b.after) FROM folds f JOIN beside b ON f.row = b.row AND f.step = b.step
+),
+proofs AS (SELECT row, string_agg(before || after, '' ORDER BY step) AS proof FROM beside GROUP BY row)
+SELECT d.doc_id, d.leaf, d.subroot, d.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = d.root AS verified
+FROM docs d JOIN folds f ON f.row = d.row AND f.step = d.height + d.steps LEFT JOIN proofs p ON p.row = d.row
+"""
+
+
+def _collocations_sql() -> str:
+    """The collocation query for DuckDB: every phrase spelled out and counted."""
+    low = _LOWER.format("coalesce(text, '')")
+    part = lambda a, b: f"array_to_string(list_slice(w, {a}, {b}), ' ')"
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex({low}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size),
+phrases AS (SELECT lang, list_slice(w, i, i + size - 1) AS w, CAST(size AS INT) AS size, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+named AS (SELECT *, array_to_string(w, ' ') AS phrase FROM phrases),
+wider AS (
+  SELECT lang, {part('a', 'b')} AS phrase, max(f) AS most
+  FROM (SELECT lang, w, f, a, unnest(range(a + 1, size + 1)) AS b, size FROM (SELECT *, unnest(range(1, size)) AS a FROM phrases WHERE size > 2)) WHERE b - a + 1 < size GROUP BY 1, 2
+),
+kept AS (SELECT n.* FROM named n LEFT JOIN wider x ON n.lang = x.lang AND n.phrase = x.phrase WHERE n.size > 1 AND (x.most IS NULL OR 100 * x.most < 100 * n.f)),
+cuts AS (SELECT lang, phrase, f AS a, k, {part('1', 'k')} AS first, {part('k + 1', 'size')} AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, t.n, c.k, x.f AS l, y.f AS r, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN named x ON x.lang = c.lang AND x.phrase = c.first JOIN named y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle_manifest": _merkle_sql(),
+        "op13_phrase_collocations": _collocations_sql(),
         "op2_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
 h AS (SELECT *, array_to_string(list_transform(string_split(sha1(body), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM p)
