@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import periods_overlap
-from .transfers import refs_related
+from ..session import durable, spread_join
 
 
 def find_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -29,24 +29,83 @@ def find_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     return best.select("transaction_id", F.col("hit.old_transaction_id").alias("dup_of"), F.col("hit.reason").alias("reason"), F.col("hit").isNull().alias("suspicious"))
 
 
+_KEY = ["account_id", "date_op", "description_norm"]
+_CLASS = [*_KEY, "statement_id", "fingerprint", "_ref", "period_start", "period_end"]
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Rows that can be or have a prior version, with ``_class``, all that decides about them."""
+    whole = rows.where("account_id IS NOT NULL AND date_op IS NOT NULL AND description_norm <> '' AND statement_id IS NOT NULL AND fingerprint IS NOT NULL AND period_start <= period_end")
+    return whole.withColumn("_ref", F.coalesce(F.trim("bank_ref"), F.lit(""))).withColumn("_class", F.struct(*_CLASS))
+
+
+def _groups(asked: bool) -> Column:
+    """The groups that a class is counted in (or, ``asked``, that are counted for it), and with which sign.
+
+    References agree if they are equal or one is blank: who has none is compared
+    with all, who has one with those without and with its own.  Of these, rows of
+    the own statement and of the own fingerprint are taken off, and those of both,
+    taken off twice, added again.
+    """
+    blank = F.col("_class._ref") == ""
+    mine = F.when(blank, F.lit("none")).otherwise(F.concat(F.lit("="), "_class._ref"))
+    refs = F.when(blank, F.array(F.lit("all"))).otherwise(F.array(F.lit("none"), mine)) if asked else F.array(F.lit("all"), mine)
+    any_, st, fp = F.lit("any"), F.concat(F.lit("="), F.col("_class.statement_id").cast("string")), F.concat(F.lit("="), F.col("_class.fingerprint").cast("string"))
+    signs = F.array(*[F.struct(a.alias("statement"), b.alias("print"), F.lit(sign).alias("sign")) for a, b, sign in ((any_, any_, 1), (st, any_, -1), (any_, fp, -1), (st, fp, 1))])
+    key = [F.col(f"_class.{c}").alias(c) for c in _KEY]
+    return F.explode(F.flatten(F.transform(refs, lambda r: F.transform(signs, lambda s: F.struct(F.struct(*key, r.alias("ref"), s["statement"].alias("statement"), s["print"].alias("print")).alias("group"), s["sign"].alias("sign"))))))
+
+
+def _overlapping(asked: DataFrame, old: DataFrame) -> DataFrame:
+    """``(at, weight, n, ids)`` for each distinct ``at = (group, period_start, period_end)`` that is asked for: how many old rows of the
+    group have a period that overlaps, and the sum of their ids' hashes.
+
+    All that began by the period's end, less those that ended before its start:
+    running sums over the days of a group, of which each is one row.
+    """
+    period = lambda day, ord_, n, ids, ended: F.struct(day.alias("day"), F.lit(ord_).alias("ord"), *[(v if take else v * 0).alias(c) for take, v, c in ((not ended, n, "began"), (not ended, ids, "began_ids"), (ended, n, "ended"), (ended, ids, "ended_ids"))])
+    n, ids = F.col("n"), F.col("ids")
+    days = old.select("group", F.explode(F.array(period(F.col("start"), 1, n, ids, False), period(F.col("end"), 1, n, ids, True))).alias("p")).select("group", "p.*")
+    running = ["began", "began_ids", "ended", "ended_ids"]
+    days = days.groupBy("group", "day", "ord").agg(*[F.sum(c).alias(c) for c in running])
+    ask = asked.groupBy("at").agg(F.count(F.lit(1)).alias("weight"))
+    points = ask.select("at", "weight", F.col("at.group").alias("group"), F.explode(F.array(F.struct(F.col("at.end").alias("day"), F.lit(2).alias("ord")), F.struct(F.col("at.start").alias("day"), F.lit(0).alias("ord")))).alias("p")).select("at", "weight", "group", "p.*")
+    so_far = Window.partitionBy("group").orderBy("day", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = days.unionByName(points, allowMissingColumns=True).select("at", "weight", "ord", *[F.sum(c).over(so_far).alias(c) for c in running]).where("at IS NOT NULL")
+    least = lambda a, b: F.sum(F.when(F.col("ord") == 2, F.coalesce(a, F.lit(0))).otherwise(-F.coalesce(b, F.lit(0))))
+    return told.groupBy("at").agg(F.max("weight").alias("weight"), least("began", "ended").alias("n"), least("began_ids", "ended_ids").alias("ids"))
+
+
 def prior_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """``(transaction_id, supersedes, ambiguous)``: rows that correct a row of an overlapping statement.
 
     Same account, date and description, another statement and fingerprint, not
-    superseded yet, references that do not contradict.  Only a single sibling
+    superseded yet, references equal unless one is blank.  Only a single sibling
     with a single candidate supersedes; anything else is ambiguous.
+
+    Candidates are counted, not listed: classes of equal rows ask for running sums
+    over days, so many equal rows cost no pairs.  Where one candidate is left, the
+    sum of hashed ids is its own hash, by which it is fetched.  Rows without
+    account, date, description, statement or period, or whose period ends before
+    it begins, have and are no candidates.
     """
-    key = ["account_id", "date_op", "description_norm"]
-    siblings = new.withColumn("_siblings", F.count(F.lit(1)).over(Window.partitionBy("statement_id", *key)))
+    rows = _classes(new)
+    mine = durable(rows.groupBy("_class").agg(F.count(F.lit(1)).alias("movements")))
     live = existing.where("dup_of IS NULL") if "dup_of" in existing.columns else existing
-    old = live.select(*key, *[F.col(c).alias(f"old_{c}") for c in ("transaction_id", "statement_id", "fingerprint", "bank_ref", "period_start", "period_end")])
-    pairs = siblings.join(old, key).where("statement_id <> old_statement_id AND fingerprint <> old_fingerprint")
-    pairs = pairs.where(periods_overlap(F.col("period_start"), F.col("period_end"), F.col("old_period_start"), F.col("old_period_end")))
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    pairs = pairs.where(blank("bank_ref") | blank("old_bank_ref") | refs_related(F.col("bank_ref"), F.col("old_bank_ref")))
-    agreed = pairs.groupBy("transaction_id").agg(F.min("old_transaction_id").alias("old"), F.count(F.lit(1)).alias("n"), F.max("_siblings").alias("siblings"))
-    single = (F.col("n") == 1) & (F.col("siblings") == 1)
-    return agreed.select("transaction_id", F.when(single, F.col("old")).alias("supersedes"), (~single).alias("ambiguous"))
+    wanted = mine.select(*[F.col(f"_class.{c}").alias(c) for c in _KEY]).distinct()
+    old = _classes(live).join(wanted, _KEY, "left_semi").select("_class", "transaction_id", F.xxhash64("transaction_id").alias("_hash"))
+    held = durable(old.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_hash").cast("decimal(20,0)")).cast("decimal(38,0)").alias("ids")))
+    counted = held.select(_groups(False).alias("g"), F.col("_class.period_start").alias("start"), F.col("_class.period_end").alias("end"), "n", "ids").select("g.group", "start", "end", "n", "ids")
+    asked = mine.select("_class", _groups(True).alias("g")).select("_class", "g.sign", F.struct("g.group", F.col("_class.period_start").alias("start"), F.col("_class.period_end").alias("end")).alias("at"))
+    found = durable(_overlapping(asked.select("at"), counted.groupBy("group", "start", "end").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))))
+    met = spread_join(asked, found, "at", "weight").groupBy("_class").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("ids")).alias("ids")).where("n > 0")
+    siblings = F.sum("movements").over(Window.partitionBy("_class.statement_id", *[f"_class.{c}" for c in _KEY]))
+    judged = mine.withColumn("siblings", siblings).join(met, "_class").withColumn("single", (F.col("n") == 1) & (F.col("siblings") == 1))
+    single = judged.where("single").select("_class", F.col("ids").cast("long").alias("_hash"), *[F.col(f"_class.{c}").alias(c) for c in _KEY])
+    theirs = old.select(*[F.col(f"_class.{c}").alias(c) for c in _KEY], "_hash", F.col("transaction_id").alias("supersedes"))
+    fetched = single.join(theirs, [*_KEY, "_hash"]).groupBy("_class").agg(F.min("supersedes").alias("supersedes"))
+    verdict = durable(judged.select("_class", "movements", "single").join(fetched, "_class", "left"))
+    return spread_join(rows.select("_class", "transaction_id"), verdict, "_class", "movements").select("transaction_id", "supersedes", (~F.col("single")).alias("ambiguous"))
 
 
 def not_committed(new: DataFrame, committed: DataFrame, key: str = "statement_id") -> DataFrame:

@@ -4,8 +4,13 @@ A debit and a credit of one absolute amount and currency, in different accounts
 and a few days apart, are a candidate; a further signal makes it a link, and only
 if neither end has another signalled candidate.  Debits are joined with credits on
 (amount, currency, stretch of days), so no pair is seen twice and nothing is crossed.  Amounts with
-more movements than ``bucket_cap`` are for review, by rule: they are left out
-before the join, which bounds what one amount can give.
+more movements than ``bucket_cap`` are for review, by rule, and never linked: they
+are left out before that join, which bounds what one amount can give.
+
+How many candidates a movement has is counted without pairs (``partner_classes``),
+for any amount: partners within a few days are all of the other sign less those of
+the own account, both running sums over days.  Where one is left, the same
+difference of sums of days and of account numbers says which (``sole_pairs``).
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions_holder, mentions_token
+from ..session import durable, spread_join
 
 # Words that identify no counterparty.
 STOP_TOKENS = (
@@ -39,12 +45,70 @@ def refs_related(a: Column, b: Column) -> Column:
 def within_bucket_cap(rows: DataFrame, cap: int, amount: str = "amount_minor") -> DataFrame:
     """Adds ``bucket_ok``: whether the row's absolute amount is not too common.
 
-    Counted by a map-side combined aggregation and joined back, so a common
-    amount is never gathered in one task.
+    Counted by a map-side combined aggregation and joined back; the rows of very
+    common amounts meet their count where they are.
+    """
+    size = durable(rows.groupBy(F.abs(amount).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap).withColumn("_crowded", F.lit(True)))
+    marked = spread_join(rows.withColumn("_bucket", F.abs(amount)), size, "_bucket", "_n", "left")
+    return marked.withColumn("bucket_ok", F.col("_crowded").isNull()).drop("_bucket", "_crowded")
+
+
+def _currency(rows: DataFrame) -> Column:
+    return F.coalesce("currency", F.lit("MXN")).alias("currency") if "currency" in rows.columns else F.lit("MXN").alias("currency")
+
+
+def partner_classes(rows: DataFrame, window_days: int = 3) -> DataFrame:
+    """Movements with equal ``(amount_minor, currency, account_id, date_op, is_new)`` and how many partners each of them has.
+
+    Columns: those five, ``movements``, ``first_id`` (their smallest id), ``partners``,
+    and where that is 1 ``partner_account``, a hash, and ``partner_date``.  Partners
+    have the opposite amount in another account at most ``window_days`` away, and
+    one of the two is new (all are, without ``is_new``).  Every amount is counted,
+    however common: a day of an account is one row, so no window holds more rows than
+    there are days.  Movements without amount, account or day have no partners and
+    are left out.
+    """
+    new = F.coalesce("is_new", F.lit(False)) if "is_new" in rows.columns else F.lit(True)
+    whole = rows.where("amount_minor <> 0 AND account_id IS NOT NULL AND date_op IS NOT NULL")
+    classes = durable(
+        whole.groupBy("amount_minor", _currency(rows), "account_id", "date_op", new.alias("is_new")).agg(F.count(F.lit(1)).alias("movements"), F.min("transaction_id").alias("first_id"))
+        .withColumn("_size", F.abs("amount_minor")).withColumn("_day", F.unix_date("date_op"))
+    )
+    who = F.xxhash64("account_id").cast("decimal(20,0)")
+    sums = []
+    for side, sign in (("debit", -1), ("credit", 1)):
+        for kind, among in (("any", F.lit(True)), ("new", F.col("is_new"))):
+            n = F.when((F.signum("amount_minor") == sign) & among, F.col("movements")).otherwise(0)
+            sums += [F.sum(n).alias(f"{side}_{kind}"), F.sum(n * F.col("_day")).alias(f"{side}_{kind}_day"), F.sum(n.cast("decimal(18,0)") * who).alias(f"{side}_{kind}_who")]
+    names = [f"{side}_{kind}{x}" for side in ("debit", "credit") for kind in ("any", "new") for x in ("", "_day", "_who")]
+    key = ["_size", "currency"]
+    by_account = classes.groupBy(*key, "account_id", "_day").agg(*sums)
+    by_day = by_account.groupBy(*key, "_day").agg(*[F.sum(c).alias(c) for c in names])
+    near = lambda df, *by: df.select(*key, *by, *[F.sum(c).over(Window.partitionBy(*key, *[b for b in by if b != "_day"]).orderBy("_day").rangeBetween(-window_days, window_days)).alias(c) for c in names])
+    everyone = near(by_day, "_day").select(*key, "_day", *[F.col(c).alias(f"all_{c}") for c in names])
+    others = near(by_account, "account_id", "_day").join(everyone, [*key, "_day"])
+    others = others.select(*key, "account_id", "_day", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in names])
+    met = classes.join(others, [*key, "account_id", "_day"])
+    # an old movement only counts new partners
+    told = lambda x: F.when(F.col("amount_minor") < 0, F.when(F.col("is_new"), F.col(f"credit_any{x}")).otherwise(F.col(f"credit_new{x}"))).otherwise(F.when(F.col("is_new"), F.col(f"debit_any{x}")).otherwise(F.col(f"debit_new{x}")))
+    one = told("") == 1
+    return met.select(
+        "amount_minor", "currency", "account_id", "date_op", "is_new", "movements", "first_id", told("").alias("partners"),
+        F.when(one, told("_who").cast("long")).alias("partner_account"), F.when(one, F.date_from_unix_date(told("_day").cast("int"))).alias("partner_date"),
+    )
+
+
+def sole_pairs(rows: DataFrame, window_days: int = 3) -> DataFrame:
+    """``(from_id, to_id, amount_minor, currency)``: debits and credits that have each other as their only partner, of every amount.
+
+    Both are alone in their class, so classes are joined, by the account and day
+    of the one partner, and no other pair comes up.
     """
-    size = rows.groupBy(F.abs(amount).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
-    marked = rows.withColumn("_bucket", F.abs(amount)).join(size, "_bucket", "left")
-    return marked.withColumn("bucket_ok", F.col("_n").isNull()).drop("_bucket", "_n")
+    alone = durable(partner_classes(rows, window_days).where("partners = 1 AND movements = 1"))
+    debit = alone.where("amount_minor < 0").select((-F.col("amount_minor")).alias("amount_minor"), "currency", F.col("partner_account").alias("_who"), F.col("partner_date").alias("date_op"), F.col("first_id").alias("from_id"), F.col("account_id").alias("_from"), F.col("is_new").alias("_new"))
+    credit = alone.where("amount_minor > 0").select("amount_minor", "currency", F.xxhash64("account_id").alias("_who"), "date_op", F.col("first_id").alias("to_id"), F.col("account_id").alias("_to"), F.col("is_new").alias("_new2"))
+    met = debit.join(credit, ["amount_minor", "currency", "_who", "date_op"]).where("_from <> _to AND (_new OR _new2)")
+    return met.select("from_id", "to_id", "amount_minor", "currency")
 
 
 def transfer_pairs(rows: DataFrame, window_days: int = 3, carry: tuple[str, ...] = ("bank_ref", "description_norm", "account_type", "is_new")) -> DataFrame:
@@ -55,7 +119,7 @@ def transfer_pairs(rows: DataFrame, window_days: int = 3, carry: tuple[str, ...]
     """
     have = [c for c in carry if c in rows.columns]
     side = lambda name: [F.col("transaction_id").alias(f"{name}_id"), F.col("account_id").alias(f"{name}_account"), F.col("date_op").alias(f"{name}_date"), *[F.col(c).alias(f"{name}_{c}") for c in have]]
-    currency = F.coalesce("currency", F.lit("MXN")).alias("currency") if "currency" in rows.columns else F.lit("MXN").alias("currency")
+    currency = _currency(rows)
     stretch = F.floor(F.datediff("date_op", F.lit("1970-01-01").cast("date")) / max(window_days, 1))
     debits = rows.where("amount_minor < 0").select((-F.col("amount_minor")).alias("amount_minor"), currency, stretch.alias("_days"), *side("from"))
     credits = rows.where("amount_minor > 0").select("amount_minor", currency, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_days"), *side("to"))

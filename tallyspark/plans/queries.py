@@ -359,7 +359,7 @@ def dup_resolve(spark, sf_dir):
 @query(f"""WITH {TXN}, n AS (SELECT transaction_id + 10000000 AS id, statement_id, account_id, date_op, description, bank_ref, amount_minor + CASE WHEN transaction_id % 13 = 0 THEN 100 ELSE 0 END AS amount_minor,
   count(*) OVER (PARTITION BY statement_id, account_id, date_op, description) AS siblings FROM txn WHERE transaction_id % 5 <> 0),
 p AS (SELECT n.id, n.siblings, o.transaction_id AS old FROM n JOIN txn o USING (account_id, date_op, description) WHERE NOT (n.amount_minor = o.amount_minor AND n.bank_ref = o.bank_ref)
-  AND (n.bank_ref = '' OR o.bank_ref = '' OR n.bank_ref = o.bank_ref OR (least(length(n.bank_ref), length(o.bank_ref)) >= 6 AND (starts_with(n.bank_ref, o.bank_ref) OR starts_with(o.bank_ref, n.bank_ref)))))
+  AND (n.bank_ref = '' OR o.bank_ref = '' OR n.bank_ref = o.bank_ref))
 SELECT id AS transaction_id, CASE WHEN count(*) = 1 AND max(siblings) = 1 THEN min(old) END AS supersedes, NOT (count(*) = 1 AND max(siblings) = 1) AS ambiguous FROM p GROUP BY id""")
 def prior_version(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
@@ -379,20 +379,32 @@ _PAIRS = f"""WITH {TXN}, pairs AS (SELECT d.transaction_id AS from_id, c.transac
 _DEGREE = "(SELECT *, count(*) OVER (PARTITION BY from_id) AS df, count(*) OVER (PARTITION BY to_id) AS dt FROM {})"
 
 
+_ALL_PAIRS = f"""WITH {TXN}, pairs AS (SELECT d.transaction_id AS from_id, c.transaction_id AS to_id, c.amount_minor FROM txn d JOIN txn c ON d.amount_minor = -c.amount_minor
+  WHERE d.amount_minor < 0 AND d.account_id <> c.account_id AND abs(d.date_op - c.date_op) <= 3)"""
+
+
 @query(f"{_PAIRS} SELECT from_id, to_id, amount_minor FROM pairs")
-def transfer_pairs(spark, sf_dir):
+def transfer_pairs_within_cap(spark, sf_dir):
     return transfers.capped_pairs(txn(spark, sf_dir)).select("from_id", "to_id", "amount_minor")
 
 
+@query(f"""{_ALL_PAIRS}, ends AS (SELECT from_id AS transaction_id FROM pairs UNION ALL SELECT to_id FROM pairs), met AS (SELECT transaction_id, count(*) AS partners FROM ends GROUP BY 1),
+c AS (SELECT t.amount_minor, t.account_id, t.date_op, coalesce(m.partners, 0) AS partners, t.transaction_id FROM txn t LEFT JOIN met m ON t.transaction_id = m.transaction_id WHERE t.amount_minor <> 0)
+SELECT amount_minor, account_id, CAST(date_op AS VARCHAR) AS date_op, count(*) AS movements, min(transaction_id) AS first_id, max(partners) AS partners FROM c GROUP BY 1, 2, 3""")
+def transfer_pairs(spark, sf_dir):
+    """Every amount: movements alike as one row, and how many partners each of them has."""
+    return transfers.partner_classes(txn(spark, sf_dir)).select("amount_minor", "account_id", F.col("date_op").cast("string").alias("date_op"), "movements", "first_id", "partners")
+
+
 @query(f"""{_PAIRS}, s AS (SELECT * FROM pairs WHERE right(fr, 1) = right(tr, 1)) SELECT from_id, to_id, amount_minor FROM {_DEGREE.format('s')} WHERE df = 1 AND dt = 1""")
 def transfer_links(spark, sf_dir):
     rows = txn(spark, sf_dir).withColumn("bank_ref", F.concat(F.lit("REF"), F.expr("right(bank_ref, 1)")))
     return transfers.transfer_links(rows).select("from_id", "to_id", "amount_minor")
 
 
-@query(f"{_PAIRS} SELECT from_id, to_id, amount_minor FROM {_DEGREE.format('pairs')} WHERE df = 1 AND dt = 1")
+@query(f"{_ALL_PAIRS} SELECT from_id, to_id, amount_minor FROM {_DEGREE.format('pairs')} WHERE df = 1 AND dt = 1")
 def transfer_degree_guard(spark, sf_dir):
-    return transfers.single_partner(transfers.capped_pairs(txn(spark, sf_dir))).select("from_id", "to_id", "amount_minor")
+    return transfers.sole_pairs(txn(spark, sf_dir)).select("from_id", "to_id", "amount_minor")
 
 
 @query(f"WITH {TXN} SELECT transaction_id, count(*) OVER (PARTITION BY abs(amount_minor)) <= 5 AS bucket_ok FROM txn")
@@ -401,10 +413,10 @@ def transfer_bucket_cap(spark, sf_dir):
 
 
 @query(f"""{_PAIRS}, s AS (SELECT * FROM pairs WHERE right(fr, 1) = right(tr, 1)), l AS (SELECT from_id, to_id FROM {_DEGREE.format('s')} WHERE df = 1 AND dt = 1), loose AS (SELECT from_id, to_id FROM pairs ANTI JOIN l USING (from_id, to_id))
-SELECT from_id AS transaction_id FROM loose UNION SELECT to_id FROM loose""")
+SELECT from_id AS transaction_id FROM loose UNION SELECT to_id FROM loose UNION SELECT transaction_id FROM txn WHERE abs(amount_minor) IN (SELECT abs(amount_minor) FROM txn GROUP BY 1 HAVING count(*) > 300)""")
 def transfer_reviews(spark, sf_dir):
     rows = txn(spark, sf_dir).withColumn("bank_ref", F.concat(F.lit("REF"), F.expr("right(bank_ref, 1)")))
-    return transfers.unsettled_ends(rows)  # its SQL reviews pairs; amounts beyond the cap are told by transfer_bucket_cap
+    return transfers.transfer_reviews(rows)
 
 
 @query(f"""WITH {TXN}, f AS (SELECT transaction_id AS from_id, transaction_id + CASE WHEN transaction_id % 3 = 0 THEN 5000000 ELSE 1 + transaction_id % 4 END AS to_id FROM txn)

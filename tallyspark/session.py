@@ -27,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", hot_rows: int = 100_000, hot_share: float = 1 / 1024) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and in ``weight`` how many rows of ``left`` have it.
+
+    Keys with more than ``hot_rows`` rows and ``hot_share`` of all are broadcast, and
+    there are fewer of them than the inverse of that share; their rows stay where they are.
+    """
+    seen = right.agg(F.max(weight).alias("most"), F.sum(weight).alias("total")).first()
+    least = max(hot_rows, int((seen["total"] or 0) * hot_share))
+    if (seen["most"] or 0) <= least:
+        return left.join(right.drop(weight), key, how)
+    hot = F.broadcast(right.where(F.col(weight) > least).drop(weight))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(weight) <= least).drop(weight), key, how)
+    return left.join(hot, key).unionByName(cold)
+
+
 def computed(df: DataFrame) -> DataFrame:
     """``df`` behind a generator: what reads its columns stays above it, where over a plain projection the optimiser may
     repeat the expressions below in every place that uses them, term by term."""
