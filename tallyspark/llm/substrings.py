@@ -10,13 +10,17 @@ them, and no round needs the corpus.  Each symbol knows the words it depends on.
 A window of words is known by the longest symbol it owns, that is, one that
 depends on words of the window alone.  Equal windows are known by equal names.
 
+Names only bring together what may be equal.  What is equal is decided on the
+words themselves, by a 128-bit BLAKE2b digest of their bytes with one space behind each:
+words, pairs or windows whose names collide, by chance or by design, repeat nothing.
+
 1.  Neighbouring windows known by one symbol are a block. Blocks are dealt out
     by name.  A name found once has no repeated window; a block whose whole
     content is found again is repeated as a whole; only where blocks of one
     name differ, their windows have to be compared one by one, a single
     representative of each block being enough.
 2.  Those windows, and the few that own no symbol, are dealt out by 64 bits of
-    their hash and compared by 128 bits.
+    a hash and compared by their digests.
 
 Rows that are alike in a slice of a task are combined before they are shuffled,
 so a passage of a third of all documents costs one row per slice.
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +46,8 @@ ROUNDS = 6
 NO_ID = -(1 << 63)
 _BLOCK, _WINDOW, _KNOWN = 0, 1, 2
 _REPEATED, _COMPARE, _WITNESS = 1, 2, 3
-_ROWS = [("name", pa.int64()), ("content", pa.int64()), ("kind", pa.int32()), ("weight", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
-_ROWS_SQL = "name long, content long, kind int, weight int, id long, print long, first int, last int"
+_ROWS = [("name", pa.int64()), ("content", pa.int64()), ("content2", pa.int64()), ("kind", pa.int32()), ("weight", pa.int32()), ("id", pa.int64()), ("print", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
+_ROWS_SQL = "name long, content long, content2 long, kind int, weight int, id long, print long, first int, last int"
 
 
 def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int):
@@ -137,11 +142,34 @@ def designate(sym: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return out
 
 
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of the digest of each range of words, ``first`` to ``last``, with one space behind every word."""
+    if not len(first):
+        return np.zeros((0, 2), np.uint64)
+    size = ends - starts + 1
+    places = np.concatenate([[0], np.cumsum(size)])
+    plain = np.full(int(places[-1]), 0x20, np.uint8)
+    inside = np.ones(len(plain), bool)
+    inside[places[1:] - 1] = False
+    n = int(ends[-1])
+    member = np.zeros(n + 1, np.int8)
+    np.add.at(member, starts, 1)
+    np.add.at(member, ends, -1)
+    plain[inside] = buf[:n][np.cumsum(member, dtype=np.int8)[:n] > 0]
+    raw = memoryview(plain.tobytes())
+    told = [blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(places[first].tolist(), places[last + 1].tolist())]
+    return np.frombuffer(b"".join(told), "<u8").reshape(-1, 2)
+
+
 def _combined(rows: pa.RecordBatch, bounds: np.ndarray, name, content, kind, weight, first, last) -> dict:
     """Rows of a slice to be dealt out: one for each (name, content), and ranges of windows already seen twice here."""
     doc = np.searchsorted(bounds, first, side="right") - 1
-    key = A.combine([name, content, kind.astype(np.uint64)])
-    _, at, group = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(A.combine([name, content[:, 0], kind.astype(np.uint64)]), kind="stable")
+    # rows whose keys collide are only combined less
+    differ = lambda x: x[order][1:] != x[order][:-1]
+    begins = np.r_[True, differ(name) | differ(content[:, 0]) | differ(content[:, 1]) | differ(kind)] if len(name) else np.zeros(0, bool)
+    at, group = order[begins], np.empty(len(name), np.int64)
+    group[order] = np.cumsum(begins) - 1
     total = np.bincount(group, weights=weight, minlength=len(at)).astype(np.int64)
     twice = np.flatnonzero(total[group] > 1)
     marks = np.zeros(int(bounds[-1]) + 1, np.int32)
@@ -156,7 +184,7 @@ def _combined(rows: pa.RecordBatch, bounds: np.ndarray, name, content, kind, wei
     ids, prints = rows.column("id").to_numpy(), rows.column("print").to_numpy()
     d = np.r_[doc[at], known_doc]
     return {
-        "name": np.r_[name[at], A.mix(known_first.astype(np.uint64) + prints[known_doc].view(np.uint64))].view(np.int64), "content": np.r_[content[at], np.zeros(len(begin), np.uint64)].view(np.int64),
+        "name": np.r_[name[at], A.mix(known_first.astype(np.uint64) + prints[known_doc].view(np.uint64))].view(np.int64), **{c: np.r_[content[at, k], np.zeros(len(begin), np.uint64)].view(np.int64) for k, c in enumerate(("content", "content2"))},
         "kind": np.r_[kind[at], np.full(len(begin), _KNOWN)].astype(np.int32), "weight": np.r_[np.minimum(total, 2), np.full(len(begin), 2)].astype(np.int32), "id": ids[d], "print": prints[d],
         "first": (np.r_[first[at], known_first] - bounds[d]).astype(np.int32), "last": (np.r_[last[at], known_last] - bounds[d]).astype(np.int32),
     }
@@ -174,11 +202,10 @@ def _block_kernel(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, wi
     begin = np.flatnonzero(np.r_[True, (by[1:] != by[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else at
     first, last = at[begin], at[np.r_[begin[1:], len(at)] - 1] if len(at) else at
     alone = np.flatnonzero(fits & (known_by < 0))
-    content = A.combine([whole[first], whole[last], (last - first).astype(np.uint64)])
-    second = A.windows(words, window, 9)
     n = len(first)
+    content = digests(buf, starts, ends, np.r_[first, alone], np.r_[last, alone] + window - 1)
     return _combined(
-        rows, bounds, np.r_[sym[by[begin]] if n else whole[:0], whole[alone]], np.r_[content, second[alone]], np.r_[np.full(n, _BLOCK), np.full(len(alone), _WINDOW)],
+        rows, bounds, np.r_[sym[by[begin]] if n else whole[:0], whole[alone]], content, np.r_[np.full(n, _BLOCK), np.full(len(alone), _WINDOW)],
         np.ones(n + len(alone)), np.r_[first, alone], np.r_[last, alone],
     )
 
@@ -203,11 +230,11 @@ def _window_kernel(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, w
     row, first, last, status = row[ask], first[ask], last[ask], status[ask]
     starts, ends, bounds = A.spans(buf, offsets, A.IS_WORD)
     words = A.hash_spans(buf, starts, ends)
-    one, two = A.windows(words, window), A.windows(words, window, 9)
+    one = A.windows(words, window)
     size = last - first + 1
     at = np.repeat(bounds[row] + first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     weight = np.repeat(np.where(status == _WITNESS, 2, 1), size)
-    return _combined(rows, bounds, one[at], two[at], np.full(len(at), _WINDOW), weight, at, at)
+    return _combined(rows, bounds, one[at], digests(buf, starts, ends, at, at + window - 1), np.full(len(at), _WINDOW), weight, at, at)
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -253,12 +280,12 @@ def _ranges(dealt: DataFrame, name: str) -> DataFrame:
     One shuffle and one sort by name; a name's rows are never gathered in memory,
     since windows spill.
     """
-    same = Window.partitionBy("name", "kind", "content").orderBy("id", "print", "first")
+    same = Window.partitionBy("name", "kind", "content", "content2").orderBy("id", "print", "first")
     block = dealt.repartition("name").select(
         "*", F.row_number().over(same).alias("nth"), F.sum("weight").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
     )
     alike = Window.partitionBy("name", "kind")
-    judged = block.withColumn("differ", F.min("content").over(alike) != F.max("content").over(alike))
+    judged = block.withColumn("differ", (F.min("content").over(alike) != F.max("content").over(alike)) | (F.min("content2").over(alike) != F.max("content2").over(alike)))
     repeated = (F.col("total") > 1) | (F.col("kind") == _KNOWN)
     mixed = (F.col("kind") == _BLOCK) & F.col("differ") & (F.col("nth") == 1)
     status = F.when(mixed, F.when(repeated, _WITNESS).otherwise(_COMPARE)).when(repeated, _REPEATED).otherwise(0)

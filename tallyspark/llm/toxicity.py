@@ -67,21 +67,28 @@ class Lexicon:
     def total(self, text: str) -> float:
         """Sum over words of the largest weight that fits them, outside exceptions."""
         best: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: list[list[int]] = []  # ends come in order: a phrase that reaches back over earlier ones takes them in
         for end, (weight, phrase, stem) in self.automaton.iter(" " + fold(text) + " "):
             if phrase:
-                spared.append((end - phrase - 1, end))
+                low = end - phrase - 1
+                while spared and spared[-1][1] >= low:
+                    low = min(low, spared.pop()[0])
+                spared.append([low, end])
             elif weight > best.get(end - stem, 0.0):
                 best[end - stem] = weight
-        for at in [k for k in best if any(lo <= k < hi for lo, hi in spared)]:
-            del best[at]
-        for at in list(best):  # a number is no word: at is the place in text as well
-            letter = at
-            while letter < len(text) and not text[letter].isspace() and not text[letter].isalpha():
-                letter += 1
-            if letter >= len(text) or text[letter].isspace():
-                del best[at]
-        return math.fsum(best.values())
+        found, letter = [], len(text)
+        until = len(text)  # what the last step has looked at begins here; letter is the first letter or blank from there on
+        for at in sorted(best, reverse=True):
+            while spared and spared[-1][0] > at:
+                spared.pop()
+            if spared and at < spared[-1][1]:
+                continue
+            # a number is no word: at is the place in text as well
+            letter = next((k for k in range(at, until) if text[k].isspace() or text[k].isalpha()), letter)
+            until = at
+            if letter < len(text) and text[letter].isalpha():
+                found.append(best[at])
+        return math.fsum(found)
 
 
 def _features(lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
@@ -89,7 +96,7 @@ def _features(lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), 2))
     for k, text in enumerate(texts):
         if text and (total := lexicon.total(text)):
-            out[k] = math.log1p(total), math.log1p(100 * total / (text.count(" ") + text.count("\n") + 1))
+            out[k] = math.log1p(total), math.log1p(100 * total / max(1, len(text.split())))
     return out
 
 

@@ -40,6 +40,41 @@ def test_runs_periods_and_small_alphabets(spark):
     assert sorted(((r["id"], r["text"], r["n_words"], r["n_removed"]) for r in got), key=str) == expected(docs, 12)
 
 
+def colliding_words(rng, n):
+    """Pairs of words of 16 bytes with one hash: the last eight bytes make up for the first eight."""
+    m1 = int(A._M1)
+    head = lambda lane: A.mix(np.full(len(lane), A.mix(np.array([16 * m1 & (1 << 64) - 1], np.uint64))[0]) ^ lane * A._M1)
+    pairs = []
+    while len(pairs) < n:
+        one = rng.integers(97, 123, 16).astype(np.uint8).tobytes()
+        a1, a2 = (np.frombuffer(one[k : k + 8], "<u8") for k in (0, 8))
+        b1 = rng.integers(33, 127, (200_000, 8)).astype(np.uint8).view("<u8").ravel()
+        b2 = (head(a1) ^ head(b1) ^ (a2 * A._M1)) * np.uint64(pow(m1, -1, 1 << 64))
+        plain = b2.view(np.uint8).reshape(-1, 8)
+        for k in np.flatnonzero(((plain > 32) & (plain < 127)).all(axis=1))[:1]:
+            pairs.append((one.decode(), (b1[k].tobytes() + b2[k].tobytes()).decode()))
+    return pairs
+
+
+def test_words_whose_hashes_collide_are_other_words(spark):
+    rng = np.random.default_rng(8)
+    pairs = colliding_words(rng, 6)
+    buf = np.frombuffer("".join(a + b for a, b in pairs).encode() + b"\0" * A.PAD, np.uint8)
+    at = np.arange(0, 16 * 12, 16)
+    h = A.hash_spans(buf, at, at + 16)
+    assert (h[0::2] == h[1::2]).all()
+    base = [f"w{k}" for k in range(70)]
+    docs = [(1, " ".join(base[:20] + ["abcdefghijklmnop"] + base[20:34])), (2, " ".join(base[:20] + ['rzctyojkB"P;pk1W'] + base[20:34]))]
+    for k, (a, b) in enumerate(pairs):
+        rest = [f"x{k}_{i}" for i in range(80)]
+        docs += [(10 + 10 * k, " ".join([*rest[:40], a, *rest[40:]])), (11 + 10 * k, " ".join([*rest[:40], b, *rest[40:]])), (12 + 10 * k, " ".join([*rest[10:40], a, *rest[40:60]]))]
+    docs += [(200 + k, " ".join(a if (j >> k) & 1 else b for j, (a, b) in enumerate(pairs * 9))) for k in range(4)]
+    got = remove_repeats(frame(spark, docs)).collect()
+    want = expected(docs, 35)
+    assert sorted(((r["id"], r["text"], r["n_words"], r["n_removed"]) for r in got), key=str) == want
+    assert {w[0]: w[3] for w in want}[1] == 0 and max(w[3] for w in want) > 35
+
+
 def test_empty_table(spark):
     assert remove_repeats(empty(spark)).count() == 0
 

@@ -121,6 +121,26 @@ def test_clashing_labels_repeated_rows_and_order_do_not_matter(spark):
     assert models[0]["stems"] == models[1]["stems"] and np.allclose(models[0]["weights"], models[1]["weights"])
 
 
+def test_length_counts_words_whatever_stands_between_them():
+    lex = Lexicon({"idiot": 2.0})
+    same = ["you idiot", "you\tidiot", "  you \n\n idiot" + " " * 500, "you\x0bidiot\r\n"]
+    assert np.ptp(toxicity._features(lex, same), axis=0).tolist() == [0, 0]
+
+
+def test_a_megabyte_of_matches_takes_no_quadratic_time():
+    import time
+
+    lex = Lexicon(dict.fromkeys(["idiot", "trash", "soap", "aseo"], 1.0))
+    for unit in ("you idiot trash can ", "soap scum trash can ", "4530-", "trash can trash cans "):
+        times = []
+        for size in (1 << 18, 1 << 20):
+            text = unit * (size // len(unit))
+            began = time.process_time()
+            lex.total(text)
+            times.append(time.process_time() - began)
+        assert times[1] < 5 and times[1] < 12 * times[0] + 0.2, unit
+
+
 def test_scores_against_a_naive_model(spark):
     """Counting, choice of stems, features and scores, all by plain Python."""
     rows = data()
@@ -139,7 +159,7 @@ def test_scores_against_a_naive_model(spark):
     got = {r["id"]: r["score"] for r in score_toxicity(frame(spark, [(i, t) for i, t, _ in rows]), model).collect()}
     for i, t, _ in rows[::7]:
         total = naive_total(t, stems)
-        x = (math.log1p(total), math.log1p(100 * total / (t.count(" ") + t.count("\n") + 1))) if total else (0.0, 0.0)
+        x = (math.log1p(total), math.log1p(100 * total / max(1, len(t.split())))) if total else (0.0, 0.0)
         assert abs(got[i] - 1 / (1 + math.exp(-(w[0] + w[1] * x[0] + w[2] * x[1])))) < 1e-9
 
 
