@@ -12,7 +12,7 @@ from ..functions import ids
 from ..operators import categorize, ledger, validate
 from ..session import durable, shared_dir
 from ..store import Store, approve, content_digest
-from ..streaming import ledger_stream
+from ..streaming import late, ledger_stream, transfer_stream
 from .. import staging
 from .ingest import Staged
 from .registry import query
@@ -331,3 +331,43 @@ def stream_commit(spark, sf_dir):
     for _ in range(2):
         ledger_stream.commit_stream(_stream(spark, sf_dir), commit, checkpoint).awaitTermination()
     return store.transactions().select("transaction_id", "amount_minor")
+
+
+_LINK_SQL = f"""WITH {TXN}, s AS (SELECT d.transaction_id AS from_id, c.transaction_id AS to_id, c.amount_minor FROM txn d JOIN txn c ON d.amount_minor = -c.amount_minor
+  WHERE d.amount_minor < 0 AND d.account_id <> c.account_id AND abs(d.date_op - c.date_op) <= 3 AND right(d.bank_ref, 1) = right(c.bank_ref, 1))
+SELECT CAST(from_id AS VARCHAR) AS from_id, CAST(to_id AS VARCHAR) AS to_id, amount_minor, 'bank_ref' AS signal FROM (SELECT *, count(*) OVER (PARTITION BY from_id) AS df, count(*) OVER (PARTITION BY to_id) AS dt FROM s) WHERE df = 1 AND dt = 1"""
+
+
+@query(_LINK_SQL)
+def stream_transfer_links(spark, sf_dir):
+    """Movements arrive in two parts, the stream is stopped between; a heartbeat behind the last day closes all windows."""
+    k = F.col("transaction_id")
+    rows = txn(spark, sf_dir).select(k, "account_id", "date_op", "amount_minor", F.concat(F.lit("REF"), F.expr("right(bank_ref, 1)")).alias("bank_ref"), F.lit("").alias("description_norm"))
+    # a debit and a credit of one account, which are no pair: either side of the join has a watermark of its own
+    beat = rows.agg(F.date_add(F.max("date_op"), 100).alias("date_op")).select(F.explode(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"))).alias("transaction_id"), F.lit(-1).cast("long").alias("account_id"), "date_op")
+    beat = beat.select("*", (F.col("transaction_id") * 2 + 3).alias("amount_minor"), F.lit("").alias("bank_ref"), F.lit("").alias("description_norm"))
+    into, out = _folder(spark, "arrivals"), _folder(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    for part in (rows.where(F.dayofmonth("date_op") <= 12), rows.where(F.dayofmonth("date_op") > 12), beat):
+        part.write.mode("append").parquet(into)
+        stream = spark.readStream.schema(rows.schema).parquet(into)
+        transfer_stream.transfer_links(stream).writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("from_id", "to_id", "amount_minor", "signal")
+
+
+@query(f"""WITH {TXN}, a AS (SELECT transaction_id, date_trunc('second', ts) AS ts, transaction_id % 3 AS part FROM txn),
+m AS (SELECT part, max(latest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM (SELECT part, max(ts) AS latest FROM a GROUP BY part))
+SELECT transaction_id, coalesce(ts < mark - INTERVAL 10 DAY, false) AS late, CASE WHEN ts < mark - INTERVAL 10 DAY THEN date_diff('second', ts, mark - INTERVAL 10 DAY) END AS delay_seconds FROM a JOIN m USING (part)""")
+def stream_late_quarantine(spark, sf_dir):
+    """Movements arrive in three parts that all reach over the whole time; what is ten days behind is kept apart."""
+    rows = txn(spark, sf_dir).select("transaction_id", "amount_minor", F.date_trunc("second", "ts").alias("op_ts"))
+    into, out = _folder(spark, "arrivals"), _folder(spark, "stream")
+    split = late.LateSplit(spark, out, dt.timedelta(days=10))
+    for k in range(3):
+        rows.where(F.col("transaction_id") % 3 == k).write.mode("append").parquet(into)
+        late.split_late(spark.readStream.schema(rows.schema).parquet(into), out, dt.timedelta(days=10), f"{out}/checkpoint").awaitTermination()
+    whole = split.on_time().select("transaction_id", F.lit(False).alias("late"), F.lit(None).cast("long").alias("delay_seconds"))
+    return whole.unionByName(split.quarantined().select("transaction_id", F.lit(True).alias("late"), F.col("delay_seconds").cast("long").alias("delay_seconds")))
