@@ -35,7 +35,7 @@ _ALL = np.arange(256)
 IS_BREAK = np.isin(_ALL, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 IS_PHRASE_WORD = ~(IS_BREAK | (_ALL == 0x20) | (_ALL == 0x09))
 #: Text bytes of a slice whose equal suffixes are added up.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Longer words are always spelled out.
 LONG_WORD = 64
 #: A number is three digits of this base, so the byte 0xFF (never in UTF-8 either) only marks words that are spelled out.
@@ -114,7 +114,7 @@ def _suffixes(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, known:
         code = pc.index_in(distinct, value_set=have).fill_null(-1).to_numpy().astype(np.int64) if have is not None and len(distinct) else np.full(len(distinct), -1)
         spelled = (code < 0) & ((sizes > LONG_WORD) | (not known["complete"]))
         code[spelled] = _SPELLED + np.flatnonzero(spelled)
-        word = np.r_[code[number[at]], np.full(max_n, -1)]
+        word = np.r_[code.astype(np.int32)[number[at]], np.full(max_n, -1, np.int32)]
         on = np.r_[follows[at], np.zeros(max_n, bool)]  # a document's words stand together
         first = np.flatnonzero(word[: len(at)] >= 0)
         if not len(first):
@@ -122,7 +122,7 @@ def _suffixes(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, known:
         columns, alive = [word[first]], np.ones(len(first), bool)
         for k in range(1, max_n):
             alive &= on[first + k - 1] & (word[first + k] >= 0)
-            columns.append(np.where(alive, word[first + k], -1))
+            columns.append(np.where(alive, word[first + k], np.int32(-1)))
         order = np.lexsort(columns[::-1])
         table = np.column_stack(columns)[order]
         heads = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]).any(axis=1)])
@@ -159,8 +159,11 @@ def _encoded(lang: str, table: np.ndarray, distinct: pa.Array) -> pa.Array:
     """Byte strings: the language, 0xFF, and the words, none of which another begins with."""
     prefix = np.frombuffer(lang.encode() + b"\xff", np.uint8)
     n = (table >= 0).sum(axis=1)
-    digits = np.stack([table // _BASE**2, table // _BASE % _BASE, table % _BASE], axis=2).astype(np.uint8).reshape(len(table), -1)
-    whole = np.hstack([np.broadcast_to(prefix, (len(table), len(prefix))), digits])
+    whole = np.empty((len(table), len(prefix) + 3 * table.shape[1]), np.uint8)
+    whole[:, : len(prefix)] = prefix
+    for k in range(table.shape[1]):
+        at, w = len(prefix) + 3 * k, table[:, k]
+        whole[:, at], whole[:, at + 1], whole[:, at + 2] = w // _BASE**2, w // _BASE % _BASE, w % _BASE
     size = len(prefix) + 3 * n
     body = whole[np.arange(whole.shape[1]) < size[:, None]]
     plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(table), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(body)])
