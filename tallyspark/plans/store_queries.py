@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import categorize, ledger, validate
 from ..session import durable, shared_dir
+from ..sources import statement_csv
 from ..store import Store, approve, content_digest
 from ..streaming import late, ledger_stream, transfer_stream
 from .. import staging
@@ -275,6 +276,31 @@ def revalidate_commit(spark, sf_dir):
     return validate.commit_problems(s, r, accounts, ("Casa",))
 
 
+# --- sources --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey % 4 AS file, strftime(o_orderdate, '%Y-%m-%d') AS date_op, 'order ' || o_orderkey AS description, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+  'row:' || row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS locator FROM orders""")
+def csv_data_source(spark, sf_dir):
+    """Orders written as four statement files, which tasks of the data source read by ranges of 64 KB."""
+    folder = _folder(spark, "statements")
+    line = F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit('"order '), F.col("o_orderkey").cast("string"), F.lit('"')), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).alias("file"), "o_orderkey", line.alias("value"))
+    heads = spark.createDataFrame([(k, n, t) for k in range(4) for n, t in ((-2, f"# account_id: a{k}"), (-1, "Fecha,Concepto,Importe"))], "file long, o_orderkey long, value string")
+    for k in range(4):
+        lines = heads.where(F.col("file") == k).unionByName(orders.where(F.col("file") == k))
+        lines.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(f"{folder}/{k}")
+    statement_csv.register(spark)
+    for k in range(4):
+        name = next(n for n in Store(spark, folder).names(f"{folder}/{k}") if n.startswith("part-"))
+        source = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}/{name}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}.csv")
+        source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target)
+    records = spark.read.format("statement_csv").option("rangeBytes", 1 << 16).load(folder)
+    file = F.regexp_extract("path", r"([0-9])\.csv$", 1).cast("long").alias("file")
+    return statement_csv.statement_rows(records).select(file, "date_op", "description", "amount", "locator")
+
+
 # --- streams --------------------------------------------------------------------------------------------
 
 

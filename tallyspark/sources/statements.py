@@ -50,6 +50,11 @@ def discover(spark: SparkSession, folder: str, extensions: Sequence[str] = EXTEN
     return files.select("path", ext.alias("ext"), "length", F.sha2("content", 256).alias("file_sha256"), "content")
 
 
+def header_columns(line: str) -> list[str | None]:
+    """Canonical columns of a CSV header line, null for unknown ones."""
+    return [_CANONICAL.get(h.strip().lower()) for h in next(csv.reader([line]), [])]
+
+
 def table_rows(lines: list[list[str]], where: str = "row:") -> tuple[list[dict], list[str]]:
     """Rows of a table whose first line is a header; blank rows are skipped but counted."""
     rows, warnings = [], []
