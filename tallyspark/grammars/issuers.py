@@ -17,8 +17,7 @@ from ..functions.money import with_parsed_amount
 from ..operators.balances import signs_from_balance, solve_segments, with_segments
 from ..session import computed
 from . import patterns as P
-
-COLUMNS = ("doc_id", "line_no", "date_raw", "date_op", "date_post", "description", "detail", "amount_minor", "balance_minor", "doubtful")
+from .registry import COLUMNS, parse_registered
 
 
 def _by_line():
@@ -202,7 +201,7 @@ def generic_balances(docs: DataFrame) -> DataFrame:
     return docs.withColumn("opening_raw", found(P.GENERIC_OPENING)).withColumn("closing_raw", found(P.GENERIC_CLOSING))
 
 
-def warnings(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def warnings(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None = None) -> DataFrame:
     """``(doc_id, line_no, warning)``: lines that look like movements but give none, or that were read with help.
 
     Nothing is left out in silence: excluded labels, amounts taken from the line
@@ -231,12 +230,15 @@ def warnings(lines: DataFrame, docs: DataFrame) -> DataFrame:
     paid = rows.where((c("bank") == "nu") & c("s").rlike(P.LEGACY_LINE) & c("s").rlike(P.LEGACY_PAYMENT) & ~c("s").rlike(P.LEGACY_EXCLUDED)).groupBy("doc_id").agg(F.sum(cents(F.regexp_extract("s", P.LEGACY_LINE, 4))).alias("_paid"))
     declared = docs.where("bank = 'nu'").select("doc_id", cents(F.regexp_extract("text", P.LEGACY_TOTAL, 1)).alias("_declared"))
     off = declared.join(paid, "doc_id").where("_declared <> _paid").select("doc_id", F.lit(None).cast("int").alias("line_no"), F.lit("payments differ from the declared total").alias("warning"))
-    return by_line.unionByName(off)
+    told = by_line.unionByName(off)
+    return told.unionByName(parse_registered(lines, docs, grammars)[1]) if grammars else told
 
 
-def parse_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None = None) -> DataFrame:
     """Movements of all documents, each by its bank's grammar; those of unknown banks by the generic one.
 
+    ``grammars`` names the registered table functions of further issuers.
+
     The older card layout is tried for documents of its issuer, or of none, in
     which the signed or the generic grammar finds nothing.
     """
@@ -251,7 +253,7 @@ def parse_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.unionByName(parse_registered(lines, docs, grammars)[0]) if grammars else out
 
 
 def summaries(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..grammars import issuers
+from ..grammars.registry import LineGrammar, Movement, register_grammar
 from ..operators import duplicates, identify, transfers, validate
 from ..sources import statements
 from .registry import query
@@ -77,6 +79,40 @@ def grammar_signed(spark, sf_dir):
     return _told(issuers.signed(_lines(rows, first, second)), "date_op", "description", "amount_minor")
 
 
+class TwoLines(LineGrammar):
+    """A grammar as a user writes one: ``>> day text`` and an amount on the next line; a day without an amount is a warning, the last sum is compared."""
+
+    def line(self, row):
+        text = row["line"]
+        if text.startswith(">> "):
+            yield from self.end()
+            day, _, said = text[3:].partition(" ")
+            self.state = {"line": row["line_no"], "day": day, "said": said}
+        elif self.state and (m := re.fullmatch(r"([+-]?)\$?([0-9,]+)\.([0-9]{2})", text.strip())):
+            cents = int(m[2].replace(",", "") + m[3])
+            day, at = self.state["day"], self.state["line"]
+            yield Movement(at, day, dt.date.fromisoformat(day), description=self.state["said"], amount_minor=-cents if m[1] == "-" else cents)
+            self.state = {}
+
+    def end(self):
+        if self.state:
+            yield Movement(self.state["line"], warning="a day without an amount")
+            self.state = {}
+
+
+@query(f"""WITH {MOVES} SELECT statement_id AS doc_id, k * 10 AS line_no, CASE WHEN k % 7 <> 3 THEN strftime(date_op, '%Y-%m-%d') END AS day, CASE WHEN k % 7 <> 3 THEN 'movimiento ' || k END AS description,
+  CASE WHEN k % 7 <> 3 THEN amount_minor END AS amount_minor, CASE WHEN k % 7 = 3 THEN 'a day without an amount' END AS warning FROM m""")
+def registered_grammar(spark, sf_dir):
+    """Documents of an issuer whose grammar was registered; every seventh movement lacks its amount."""
+    rows, k = _moves(spark, sf_dir), F.col("k") % 7
+    lines = _lines(rows, _say(">> ", F.date_format("date_op", "yyyy-MM-dd"), " movimiento {k}"), F.when(k != 3, _say("{sign}${shown}")))
+    docs = _docs(rows, "dosrenglones")
+    grammars = {"dosrenglones": register_grammar(spark, "dosrenglones", TwoLines)}
+    found = issuers.parse_lines(lines, docs, grammars).select("doc_id", "line_no", F.date_format("date_op", "yyyy-MM-dd").alias("day"), "description", "amount_minor", F.lit(None).cast("string").alias("warning"))
+    said = issuers.warnings(lines, docs, grammars).select("doc_id", "line_no", F.lit(None).cast("string").alias("day"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("long").alias("amount_minor"), "warning")
+    return _told(found.unionByName(said), "day", "description", "amount_minor", "warning")
+
+
 _SPLIT = """CASE WHEN amount_minor < 0 THEN '-' ELSE '+' END || '$' || shown"""
 _DM = "strftime(date_op, '%d') || ' ' || " + str(list(_NAMES)) + "[month(date_op)]"
 
