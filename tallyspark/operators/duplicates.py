@@ -76,6 +76,27 @@ def _overlapping(asked: DataFrame, old: DataFrame) -> DataFrame:
     return told.groupBy("at").agg(F.max("weight").alias("weight"), least("began", "ended").alias("n"), least("began_ids", "ended_ids").alias("ids"))
 
 
+#: Old classes of one account, day and description that are compared one by one; beyond that they are counted.
+FEW = 16
+
+
+def _counted(mine: DataFrame, held: DataFrame) -> DataFrame:
+    """``(_class, n, ids)`` of classes with candidates, by running sums; for keys with any number of classes."""
+    counted = held.select(_groups(False).alias("g"), F.col("_class.period_start").alias("start"), F.col("_class.period_end").alias("end"), "n", "ids").select("g.group", "start", "end", "n", "ids")
+    asked = mine.select("_class", _groups(True).alias("g")).select("_class", "g.sign", F.struct("g.group", F.col("_class.period_start").alias("start"), F.col("_class.period_end").alias("end")).alias("at"))
+    found = durable(_overlapping(asked.select("at"), counted.groupBy("group", "start", "end").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))))
+    return spread_join(asked, found, "at", "weight").groupBy("_class").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("ids")).alias("ids")).where("n > 0")
+
+
+def _matched(mine: DataFrame, held: DataFrame) -> DataFrame:
+    """The same for keys with ``FEW`` old classes at most, which are joined."""
+    key = [F.col(f"_class.{c}").alias(c) for c in _KEY]
+    pairs = mine.select("_class", *key).join(held.select(*key, F.col("_class").alias("_old"), "n", "ids"), _KEY)
+    fits = "_class.statement_id <> _old.statement_id AND _class.fingerprint <> _old.fingerprint AND _old.period_start <= _class.period_end AND _old.period_end >= _class.period_start"
+    agree = "_class._ref = '' OR _old._ref = '' OR _class._ref = _old._ref"
+    return pairs.where(fits).where(agree).groupBy("_class").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+
+
 def prior_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """``(transaction_id, supersedes, ambiguous)``: rows that correct a row of an overlapping statement.
 
@@ -83,8 +104,9 @@ def prior_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
     superseded yet, references equal unless one is blank.  Only a single sibling
     with a single candidate supersedes; anything else is ambiguous.
 
-    Candidates are counted, not listed: classes of equal rows ask for running sums
-    over days, so many equal rows cost no pairs.  Where one candidate is left, the
+    Candidates are counted, not listed: equal rows are one class, and classes of a
+    key with more than ``FEW`` old ones ask for running sums over days, so neither
+    many equal rows nor many classes cost pairs.  Where one candidate is left, the
     sum of hashed ids is its own hash, by which it is fetched.  Rows without
     account, date, description, statement or period, or whose period ends before
     it begins, have and are no candidates.
@@ -95,10 +117,13 @@ def prior_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
     wanted = mine.select(*[F.col(f"_class.{c}").alias(c) for c in _KEY]).distinct()
     old = _classes(live).join(wanted, _KEY, "left_semi").select("_class", "transaction_id", F.xxhash64("transaction_id").alias("_hash"))
     held = durable(old.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_hash").cast("decimal(20,0)")).cast("decimal(38,0)").alias("ids")))
-    counted = held.select(_groups(False).alias("g"), F.col("_class.period_start").alias("start"), F.col("_class.period_end").alias("end"), "n", "ids").select("g.group", "start", "end", "n", "ids")
-    asked = mine.select("_class", _groups(True).alias("g")).select("_class", "g.sign", F.struct("g.group", F.col("_class.period_start").alias("start"), F.col("_class.period_end").alias("end")).alias("at"))
-    found = durable(_overlapping(asked.select("at"), counted.groupBy("group", "start", "end").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))))
-    met = spread_join(asked, found, "at", "weight").groupBy("_class").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("ids")).alias("ids")).where("n > 0")
+    key = [F.col(f"_class.{c}").alias(c) for c in _KEY]
+    crowded = durable(held.select(*key).groupBy(*_KEY).count().where(F.col("count") > FEW).drop("count"))
+    if crowded.isEmpty():
+        met = _matched(mine, held)
+    else:
+        part = lambda df, how: df.select("*", *key).join(crowded, _KEY, how).drop(*_KEY)
+        met = _matched(part(mine, "left_anti"), part(held, "left_anti")).unionByName(_counted(part(mine, "left_semi"), part(held, "left_semi")))
     siblings = F.sum("movements").over(Window.partitionBy("_class.statement_id", *[f"_class.{c}" for c in _KEY]))
     judged = mine.withColumn("siblings", siblings).join(met, "_class").withColumn("single", (F.col("n") == 1) & (F.col("siblings") == 1))
     single = judged.where("single").select("_class", F.col("ids").cast("long").alias("_hash"), *[F.col(f"_class.{c}").alias(c) for c in _KEY])

@@ -28,7 +28,8 @@ SCHEMA = T.StructType([
 _READ = 1 << 20
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
+    """The file system of a path and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
@@ -73,7 +74,7 @@ class StatementCsvReader(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
-        system, base = _filesystem(self.path)
+        system, base = filesystem(self.path)
         found = system.get_file_info(base)
         files = [found] if found.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.path.lower().endswith(".csv") and not f.base_name.startswith((".", "_"))]
         out, small, held = [], [], 0
@@ -89,7 +90,7 @@ class StatementCsvReader(DataSourceReader):
         return [*out, *([Ranges(small)] if small else [])] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
-        system, _ = _filesystem(self.path)
+        system, _ = filesystem(self.path)
         for path, low, high, number in partition.pieces:
             head, title = self._header(system, path)
             columns, nth = header_columns(title), 0

@@ -4,6 +4,9 @@ A commit writes a run's tables into ``<root>/<table>/run_id=<id>/`` and then
 publishes ``manifest-<version>.json``, which lists the runs that are visible; it is
 written aside and renamed, so it appears whole and only if no other writer was
 first.  Readers only see listed runs, and what a failed try left is written over.
+The manifest also tells which tables and which parts a run has and the checksum of its bytes.  Movements are laid out by
+month and account bucket, so a commit only opens the parts that its own accounts
+and days can meet, however long the ledger is.
 Superseding a row, resolving a quarantined one and closing a month are events of a
 run, so rolling a run back - publishing a manifest without it - takes them back.
 """
@@ -18,7 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import month_key
@@ -27,6 +30,7 @@ from .operators import duplicates, ledger, transfers, validate
 from .operators.validate import may_approve
 from .plans.ingest import Config, Staged
 from .session import durable
+from .sources.statement_csv import filesystem
 
 TABLES = ("statements", "transactions", "links", "events", "audit", "quarantine", "corrections", "institutions", "accounts")
 SCHEMA_VERSION = 2
@@ -36,6 +40,40 @@ _EVENTS = "kind string, key string, value string, reason string, at timestamp"
 _CORRECTIONS = "transaction_id string, field string, old_value string, new_value string, reason string"
 #: Digests that are hashed together.
 _FAN = 4096
+#: Accounts are dealt to so many folders of a month, which bounds the parts of a commit.
+BUCKETS = 8
+#: The ends of a link are no further apart.
+LINK_DAYS = 31
+#: Bytes that are hashed at a time.
+_BLOCK = 16 << 20
+
+
+def _part(day: Column, account: Column) -> tuple[Column, Column]:
+    """Month and bucket that a movement is stored under; rows without a day have a month of their own."""
+    return F.coalesce(F.date_format(day, "'m'yyyy-MM"), F.lit("none")).alias("op_month"), F.pmod(F.xxhash64(account), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _block_digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for path, offset, length in zip(frame["path"], frame["offset"], frame["length"]):
+            system, at = filesystem(path)
+            with system.open_input_file(at) as file:
+                file.seek(int(offset))
+                out.append(hashlib.sha256(file.read(int(length))).hexdigest())
+        yield pd.DataFrame({"group": frame["group"], "path": frame["path"], "offset": frame["offset"], "h": out})
+
+
+def byte_digests(spark: SparkSession, files: list[tuple[str, str, int]]) -> dict[str, str]:
+    """A checksum per group of files ``(group, path, length)``: blocks are hashed by the executors, blocks make a file's hash, and files, by name, their group's."""
+    blocks = [(g, p, low, min(_BLOCK, size - low)) for g, p, size in files for low in range(0, max(size, 1), _BLOCK)]
+    if not blocks:
+        return {}
+    df = spark.createDataFrame(blocks, "group string, path string, offset long, length long").repartition(1 + sum(size for *_, size in files) // (4 * _BLOCK))
+    hashed = df.mapInPandas(_block_digests, "group string, path string, offset long, h string")
+    whole = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    named = hashed.groupBy("group", "path").agg(whole("offset")).withColumn("h", F.sha2(F.concat_ws("|", F.regexp_extract("path", r"([^/]+)$", 1), "h"), 256))
+    return {r["group"]: r["h"] for r in named.groupBy("group").agg(whole("path")).collect()}  # a row per run and table
 
 
 def content_digest(df: DataFrame) -> str:
@@ -123,19 +161,48 @@ class Store:
         manifest = manifest | {"version": manifest["version"] + 1}
         self.write_text(f"{self.root}/manifest-{manifest['version']}.json", json.dumps(manifest, sort_keys=True), replace=False)
 
-    def table(self, name: str, runs: Sequence[str] | None = None) -> DataFrame | None:
-        """The rows of all visible runs; null before the first."""
-        runs = self.manifest()["runs"] if runs is None else runs
-        found = [f"{self.root}/{name}/run_id={r}" for r in runs if self._fs.exists(self._path(f"{self.root}/{name}/run_id={r}"))]
-        return self.spark.read.option("basePath", f"{self.root}/{name}").option("mergeSchema", "true").parquet(*found) if found else None
+    def _files(self, folder: str) -> list[tuple[str, int]]:
+        """Paths and lengths of a folder's data files, at any depth."""
+        out, found = [], self._fs.listFiles(self._path(folder), True)
+        while found.hasNext():
+            status = found.next()
+            if status.getPath().getName().startswith("part-"):
+                out.append((status.getPath().toString(), status.getLen()))
+        return sorted(out)
+
+    def _catalog(self, run_id: str) -> dict:
+        """Of a run that was just written: its tables, the parts of its movements, and checksums of the bytes as they read back."""
+        tables = [t for t in TABLES if self._fs.exists(self._path(f"{self.root}/{t}/run_id={run_id}"))]
+        files = [(t, path, size) for t in tables for path, size in self._files(f"{self.root}/{t}/run_id={run_id}")]
+        parts = {tuple(path.split("/")[-3:-1]) for t, path, _ in files if t == "transactions" and path.split("/")[-3].startswith("op_month=")}
+        return {"tables": tables, "parts": sorted("/".join(p) for p in parts), "digests": byte_digests(self.spark, files)}
+
+    def table(self, name: str, runs: Sequence[str] | None = None, parts: set[str] | None = None) -> DataFrame | None:
+        """The rows of all visible runs; null before the first.  ``parts`` limits movements to some months and buckets."""
+        manifest = self.manifest()
+        catalog, laid, plain = manifest.get("catalog", {}), [], []
+        for run in manifest["runs"] if runs is None else runs:
+            folder, known = f"{self.root}/{name}/run_id={run}", catalog.get(run)
+            if known and name not in known["tables"] or not known and not self._fs.exists(self._path(folder)):
+                continue
+            if not known or name != "transactions" or not known["parts"]:
+                plain.append(folder)
+            else:
+                laid += [folder] if parts is None else [f"{folder}/{p}" for p in known["parts"] if p in parts]
+        read = lambda found: self.spark.read.option("basePath", f"{self.root}/{name}").option("mergeSchema", "true").parquet(*found)
+        out = [read(found) for found in (laid, plain) if found]
+        if not out:
+            first = next((run for run in reversed(manifest["runs"] if runs is None else runs) if name in catalog.get(run, {}).get("tables", ())), None) if parts is not None else None
+            return self.table(name, [first]).limit(0) if first else None
+        return out[0].drop("op_month", "bucket") if len(out) == 1 else out[0].unionByName(out[1], allowMissingColumns=True).drop("op_month", "bucket")
 
     def _events(self, kind: str) -> DataFrame | None:
         events = self.table("events")
         return ledger.latest_by(events.where(F.col("kind") == kind), ["key"], ["at", "value"]) if events is not None else None
 
-    def transactions(self) -> DataFrame | None:
-        """Visible rows with superseding and resolution applied."""
-        rows = self.table("transactions")
+    def transactions(self, parts: set[str] | None = None) -> DataFrame | None:
+        """Visible rows with superseding and resolution applied; of some months and buckets only, if ``parts`` are given."""
+        rows = self.table("transactions", parts=parts)
         if rows is None:
             return None
         for kind, column in (("supersede", "dup_of"), ("resolve", "review_status")):
@@ -172,7 +239,25 @@ class Store:
 
     def _write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")  # a failed try of this run may have left a part
+            where = f"{self.root}/{name}/run_id={run_id}"  # a failed try of this run may have left a part
+            if name == "transactions":
+                df = df.select("*", *_part(F.col("date_op"), F.col("account_id")))
+                df.hint("rebalance", "op_month", "bucket").write.mode("overwrite").partitionBy("op_month", "bucket").parquet(where)
+                if not self._files(where):  # no rows: the schema is kept
+                    df.limit(0).drop("op_month", "bucket").coalesce(1).write.mode("overwrite").parquet(where)
+            else:
+                df.write.mode("overwrite").parquet(where)
+
+    def _with_run(self, manifest: dict, run_id: str) -> dict:
+        return manifest | {"runs": [*manifest["runs"], run_id], "catalog": manifest.get("catalog", {}) | {run_id: self._catalog(run_id)}}
+
+    def near(self, rows: DataFrame, days: int = 0, all_accounts: bool = False) -> set[str]:
+        """The parts in which movements of the accounts and months of ``rows`` may lie, or of all accounts up to ``days`` away; a month has ``BUCKETS`` at most."""
+        spread = F.array_distinct(F.array(*[F.date_add("date_op", k) for k in sorted({-days, 0, days} | set(range(-days, days, 28)))]))
+        months = rows.where("date_op IS NOT NULL").select(F.explode(spread).alias("date_op"), "account_id")
+        found = months.select(*_part(F.col("date_op"), F.col("account_id"))).distinct().collect()
+        buckets = range(BUCKETS) if all_accounts else ()
+        return {f"op_month={r['op_month']}/bucket={b}" for r in found for b in (buckets or (r["bucket"],))}
 
     def commit(self, run_id: str, staged: Staged, config: Config | None = None, originals: DataFrame | None = None) -> dict:
         """Adds a run and returns how many statements, transactions and links it has; repeating a finished run only returns that.
@@ -199,8 +284,6 @@ class Store:
             self.archive(originals.join(staged.statements.where("state = 'READY_TO_COMMIT'").select("file_sha256").distinct(), "file_sha256", "left_semi"))
         if manifest["version"]:
             self.backup(f"commit-{run_id}")
-        old = self.transactions()
-        old = durable(old) if old is not None else None
         statements = staged.statements.drop(*[c for c in ("meta", "warnings") if c in staged.statements.columns])
         known = self.table("statements")
         fresh = duplicates.not_committed(statements, known) if known is not None else statements
@@ -216,7 +299,9 @@ class Store:
         fresh = durable(fresh.withColumn("_reason", reason).drop("_c"))
         entered, held = fresh.where("_reason IS NULL").drop("_reason"), fresh.where("_reason IS NOT NULL").select("statement_id", F.col("_reason").alias("reason"))
         mine = staged.rows.where("dup_of IS NULL").join(entered.select("statement_id"), "statement_id", "left_semi")
+        mine = durable(mine)
         rows = mine.withColumn("created_at", F.current_timestamp())
+        old = self.transactions(self.near(mine)) if manifest["runs"] else None
         events = self.spark.createDataFrame([], _EVENTS)
         if old is not None:
             versions = durable(duplicates.prior_versions(rows, old))
@@ -225,7 +310,8 @@ class Store:
             events = events.union(won.select(F.lit("supersede"), "supersedes", "transaction_id", F.lit("corrected statement"), F.current_timestamp()))
         rows = durable(rows)
         pool = rows.withColumn("is_new", F.lit(True))
-        if old is not None:
+        if old is not None and not staged.links.isEmpty():
+            old = self.transactions(self.near(mine, LINK_DAYS, all_accounts=True))
             pool = pool.unionByName(old.where("dup_of IS NULL").withColumn("is_new", F.lit(False)), allowMissingColumns=True)
         links = transfers.revalidate_links(staged.links, pool)
         waiting = staged.rows.where("dup_of IS NULL").join(held, "statement_id")
@@ -241,7 +327,7 @@ class Store:
         })
         if config is not None:
             self._write(run_id, self._new_dimensions(config.accounts))
-        self._publish(manifest | {"runs": [*manifest["runs"], run_id]})
+        self._publish(self._with_run(manifest, run_id))
         return self._counts(run_id)
 
     def _new_dimensions(self, accounts: DataFrame) -> dict[str, DataFrame]:
@@ -275,7 +361,7 @@ class Store:
             return
         df = self.spark.createDataFrame(events, "kind string, key string, value string, reason string").withColumn("at", F.current_timestamp())
         self._write(run_id, {"events": df, "audit": df.select(F.col("kind").alias("action"), F.col("key").alias("subject"), "at")})
-        self._publish(manifest | {"runs": [*manifest["runs"], run_id]})
+        self._publish(self._with_run(manifest, run_id))
 
     def resolve(self, run_id: str, transaction_id: str, reason: str) -> None:
         """A quarantined row becomes valid, by hand and with a reason, in an open month."""
@@ -324,42 +410,49 @@ class Store:
     # --- snapshots and originals
 
     def fingerprint(self, manifest: dict) -> dict:
-        """Names and lengths of the files of all visible runs; files never change once their run is published."""
-        out = {}
-        for name in TABLES:
-            for run in manifest["runs"]:
-                folder = f"{self.root}/{name}/run_id={run}"
-                if self._fs.exists(self._path(folder)):
-                    files = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
-                    out[f"{name}/{run}"] = hashlib.sha256(json.dumps(sorted(files)).encode()).hexdigest()
-        return out
+        """Checksums over the bytes of all visible runs' files, read again by the executors."""
+        files = [(f"{t}/{run}", path, size) for run in manifest["runs"] for t in TABLES if self._fs.exists(self._path(f"{self.root}/{t}/run_id={run}")) for path, size in self._files(f"{self.root}/{t}/run_id={run}")]
+        return byte_digests(self.spark, files)
 
     def backup(self, tag: str) -> str:
-        """A snapshot: the manifest with a checksum of every file it needs, read back and compared; the newest ``KEEP_BACKUPS`` stay."""
+        """A snapshot: the manifest with a checksum of the bytes of every run; the newest ``KEEP_BACKUPS`` stay.
+
+        Files never change once their run is published, so the checksums are those
+        that were made of the bytes when the run was written, and a snapshot costs the
+        same however long the ledger is.  ``restore`` and ``doctor`` read all bytes again.
+        """
         manifest = self.manifest()
-        body = json.dumps({"tag": tag, "manifest": manifest, "files": self.fingerprint(manifest)}, sort_keys=True)
+        known = {f"{t}/{run}": h for run in manifest["runs"] for t, h in manifest.get("catalog", {}).get(run, {}).get("digests", {}).items()}
+        older = [run for run in manifest["runs"] if run not in manifest.get("catalog", {})]  # of a schema without checksums
+        body = json.dumps({"tag": tag, "manifest": manifest, "files": known | (self.fingerprint(manifest | {"runs": older}) if older else {})}, sort_keys=True)
         folder = f"{self.root}/backups"
         kept = [n for n in self.names(folder) if n.startswith("backup-")]
         name = f"backup-{(int(kept[-1].split('-')[1]) if kept else 0) + 1:09d}-{hashlib.sha256(body.encode()).hexdigest()}.json"
         self._fs.mkdirs(self._path(folder))
         self.write_text(f"{folder}/{name}", body)
-        if not self._sound(name):
+        if self._told(name) is None:
             raise RuntimeError(f"backup {name} can't be verified")
         for old in [*kept, name][:-KEEP_BACKUPS]:
             self._fs.delete(self._path(f"{folder}/{old}"), False)
         return name
 
-    def _sound(self, name: str) -> bool:
+    def _told(self, name: str) -> dict | None:
+        """What a snapshot says, if its own text is unchanged."""
         body = self.read_text(f"{self.root}/backups/{name}")
-        told = json.loads(body)
-        return name.rsplit("-", 1)[1] == f"{hashlib.sha256(body.encode()).hexdigest()}.json" and self.fingerprint(told["manifest"]) == told["files"]
+        return json.loads(body) if name.rsplit("-", 1)[1] == f"{hashlib.sha256(body.encode()).hexdigest()}.json" else None
+
+    def _sound(self, name: str) -> bool:
+        """Whether a snapshot and every byte it needs are unchanged."""
+        told = self._told(name)
+        return told is not None and self.fingerprint(told["manifest"]) == told["files"]
 
     def restore(self, name: str) -> None:
         """Publishes a snapshot's runs again; nothing that came later is deleted."""
         if not self._sound(name):
             raise RuntimeError(f"backup {name} can't be verified")
-        told = json.loads(self.read_text(f"{self.root}/backups/{name}"))["manifest"]
-        self._publish(self.manifest() | {"runs": told["runs"], "rolled_back": told["rolled_back"]})
+        told = self._told(name)["manifest"]
+        now = self.manifest()
+        self._publish(now | {"runs": told["runs"], "rolled_back": told["rolled_back"], "catalog": now.get("catalog", {}) | told.get("catalog", {})})
 
     def archive(self, originals: DataFrame) -> int:
         """Copies ``(path, content, file_sha256)`` to ``raw/<sha256>.<ext>``, by the executors; content that changed since it was hashed stops it."""
