@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..grammars import issuers
 from ..grammars.registry import LineGrammar, Movement, register_grammar
-from ..operators import duplicates, identify, transfers, validate
+from ..operators import consolidated, duplicates, identify, transfers, validate
 from ..sources import statements
 from .registry import query
-from .views import TXN, table, txn
+from .views import DECLARED, TXN, declared, table, txn
 
 _NAMES = ("ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SEP", "OCT", "NOV", "DIC")
 #: Opening balances are so high that none is overdrawn.
@@ -488,8 +488,24 @@ def retention(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("name")).orderBy(F.desc("name")).limit(20)
 
 
-@query(f"""WITH {MOVES} SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY lpad(CAST(k AS VARCHAR), 4, '0')) AS place, k FROM m""")
+@query(f"""WITH {MOVES} SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY k * 997 % 20011) AS place, k FROM m""")
 def consolidated_order(spark, sf_dir):
-    rows = _moves(spark, sf_dir).select("statement_id", F.concat(F.lit("line:"), F.col("k").cast("string")).alias("locator"), "k")
-    order = Window.partitionBy("statement_id").orderBy(F.lpad(F.substring_index("locator", ":", -1), 4, "0"))
+    """Locators of up to five digits, ordered as numbers."""
+    rows = _moves(spark, sf_dir).select("statement_id", F.concat(F.lit("line:"), (F.col("k") * 997 % 20011).cast("string")).alias("locator"), "k")
+    order = Window.partitionBy("statement_id").orderBy(*consolidated.locator_place(F.col("locator")))
     return rows.withColumn("place", F.row_number().over(order).cast("long")).select("statement_id", "place", "k")
+
+
+@query(f"""WITH {TXN}, {DECLARED} SELECT statement_id, CASE WHEN closing_minor IS NULL OR account_id % 7 = 0 OR account_id % 5 = 0 THEN 'NO_CUADRA' ELSE 'OK' END AS state,
+  CAST((closing_minor IS NULL OR account_id % 7 = 0)::INT + (account_id % 5 = 0)::INT AS BIGINT) AS n_problems, n_transactions AS n FROM declared
+UNION ALL SELECT statement_id + 1000000, 'DUPLICADO', 0, n_transactions FROM declared WHERE statement_id % 3 = 0""")
+def consolidated_check(spark, sf_dir):
+    """Statements held against what they declare; every third was read twice."""
+    base = txn(spark, sf_dir)
+    rows = base.select("statement_id", F.concat(F.lit("line:"), F.col("transaction_id").cast("string")).alias("locator"), "date_op", "description", "amount_minor", F.lit(False).alias("doubtful"))
+    start = F.make_date(F.lit(2024), F.lit(1), (F.col("statement_id") % 10 + 1).cast("int"))
+    s = declared(base).select("*", start.alias("period_start"), start.alias("period_end"))
+    again = lambda df: df.where("statement_id % 3 = 0").withColumn("statement_id", F.col("statement_id") + 1_000_000)
+    checked = consolidated.check_statements(s.unionByName(again(s)), rows.unionByName(again(rows)))
+    n = F.when(F.col("state") == "DUPLICADO", 0).otherwise(F.size("problems")).cast("long")
+    return checked.select("statement_id", "state", n.alias("n_problems"), "n")
