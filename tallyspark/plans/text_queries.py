@@ -424,6 +424,15 @@ def mentions(spark, sf_dir):
     )
 
 
+@query(f"WITH {TXN} SELECT transaction_id AS id, account_id FROM txn WHERE transaction_id % 200 = account_id")
+def counterparty_tokens(spark, sf_dir):
+    """Every movement names the brand of some account; which of them is its own."""
+    rows = txn(spark, sf_dir)
+    texts = rows.select(F.col("transaction_id").alias("id"), F.concat(F.lit("PAGO a Marca"), (F.col("transaction_id") % 200).cast("string"), F.lit(", gracias")).alias("text"), "account_id")
+    tokens = rows.select("account_id").distinct().select("account_id", F.concat(F.lit("marca"), F.col("account_id").cast("string")).alias("token"))
+    return transfers.token_mentions(texts, tokens)
+
+
 @query("SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AS approvable FROM orders")
 def approve_guard(spark, sf_dir):
     k = F.col("o_orderkey")

@@ -67,6 +67,20 @@ def test_reviews_name_the_amounts_beyond_the_cap(spark):
     assert {r["transaction_id"] for r in transfers.within_bucket_cap(df, 11).where("NOT bucket_ok").collect()} == crowded | {"t3"}
 
 
+def test_tokens_of_many_accounts_meet_only_their_words(spark):
+    n = 100_000
+    tokens = spark.range(n).select(F.concat(F.lit("acc"), "id").alias("account_id"), F.concat(F.lit("marca"), "id").alias("token"))
+    tokens = tokens.union(spark.createDataFrame([("acc1", "grupo del sol"), ("acc2", "nu"), ("acc3", "banco")], "account_id string, token string"))
+    texts = spark.createDataFrame([
+        ("t1", "Pago MARCA1, gracias", "acc1"), ("t2", "pago marca1", "acc2"), ("t3", "al grupo  del-sol hoy", "acc1"), ("t4", "al grupo del mar", "acc1"), ("t5", "compra nu skin", "acc2"), ("t6", "spei a nu", "acc2"),
+        ("t7", "banco", "acc3"), ("t8", None, "acc1"), ("t9", "", "acc1"), ("t10", "xmarca1", "acc1"), ("t1", "Pago MARCA1, gracias", "acc1"),
+    ], "id string, text string, account_id string")
+    found = transfers.token_mentions(texts, tokens)
+    assert sorted(tuple(r) for r in found.collect()) == [("t1", "acc1"), ("t3", "acc1"), ("t6", "acc2")]
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 VERSION = "transaction_id string, statement_id string, account_id string, date_op date, description_norm string, fingerprint string, bank_ref string, period_start date, period_end date"
 
 
