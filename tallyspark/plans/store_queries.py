@@ -12,7 +12,7 @@ from ..functions import ids
 from ..operators import categorize, ledger, validate
 from ..session import durable, shared_dir
 from ..sources import statement_csv
-from ..store import Store, approve, content_digest
+from ..store import Store, approve, content_digest, stored_under
 from ..streaming import late, ledger_stream, transfer_stream
 from .. import staging
 from .ingest import Staged
@@ -174,7 +174,8 @@ def doctor_checks(spark, sf_dir):
     store.commit("r2", staged)
     some = durable(store.table("transactions", ["r1"]).orderBy("transaction_id").limit(3))
     spoilt = some.union(some).withColumn("amount_minor", F.lit(None).cast("long")).withColumn("statement_id", F.lit("gone"))
-    spoilt.write.mode("append").parquet(f"{store.root}/transactions/run_id=r1")
+    spoilt = spoilt.drop("run_id").select("*", *stored_under(F.col("date_op"), F.col("account_id")))
+    spoilt.write.mode("append").partitionBy("op_month", "bucket").parquet(f"{store.root}/transactions/run_id=r1")
     spark.createDataFrame([("nobody", "no one", 1)], "from_id string, to_id string, amount_minor long").write.mode("append").parquet(f"{store.root}/links/run_id=r1")
     return spark.createDataFrame([(p,) for p in store.doctor()], "problem string")
 

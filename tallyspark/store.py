@@ -48,7 +48,7 @@ LINK_DAYS = 31
 _BLOCK = 16 << 20
 
 
-def _part(day: Column, account: Column) -> tuple[Column, Column]:
+def stored_under(day: Column, account: Column) -> tuple[Column, Column]:
     """Month and bucket that a movement is stored under; rows without a day have a month of their own."""
     return F.coalesce(F.date_format(day, "'m'yyyy-MM"), F.lit("none")).alias("op_month"), F.pmod(F.xxhash64(account), F.lit(BUCKETS)).cast("int").alias("bucket")
 
@@ -241,7 +241,7 @@ class Store:
         for name, df in tables.items():
             where = f"{self.root}/{name}/run_id={run_id}"  # a failed try of this run may have left a part
             if name == "transactions":
-                df = df.select("*", *_part(F.col("date_op"), F.col("account_id")))
+                df = df.select("*", *stored_under(F.col("date_op"), F.col("account_id")))
                 df.hint("rebalance", "op_month", "bucket").write.mode("overwrite").partitionBy("op_month", "bucket").parquet(where)
                 if not self._files(where):  # no rows: the schema is kept
                     df.limit(0).drop("op_month", "bucket").coalesce(1).write.mode("overwrite").parquet(where)
@@ -255,7 +255,7 @@ class Store:
         """The parts in which movements of the accounts and months of ``rows`` may lie, or of all accounts up to ``days`` away; a month has ``BUCKETS`` at most."""
         spread = F.array_distinct(F.array(*[F.date_add("date_op", k) for k in sorted({-days, 0, days} | set(range(-days, days, 28)))]))
         months = rows.where("date_op IS NOT NULL").select(F.explode(spread).alias("date_op"), "account_id")
-        found = months.select(*_part(F.col("date_op"), F.col("account_id"))).distinct().collect()
+        found = months.select(*stored_under(F.col("date_op"), F.col("account_id"))).distinct().collect()
         buckets = range(BUCKETS) if all_accounts else ()
         return {f"op_month={r['op_month']}/bucket={b}" for r in found for b in (buckets or (r["bucket"],))}
 
