@@ -70,7 +70,7 @@ def test_awkward_rows_against_plain_python(spark, sources):
     assert spark_rows(spark, docs) == plain(docs, tamper)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28])
+@pytest.mark.parametrize("n", [1, 3, 4, 28])
 def test_sizes_around_powers_of_the_fanout(spark, n):
     docs = [(k, f"text\n{k}", "one") for k in range(n)] + [(1000, "alone", "two")]
     assert spark_rows(spark, docs) == plain(docs, tamper)
