@@ -76,3 +76,23 @@ def test_late_rows_wait_with_their_delay(spark, tmp_path):
     split(again, 1)
     assert split.read().count() == 9 and {r["id"] for r in split.quarantined().collect()} == {5, 7}
     assert spark.createDataFrame([(1,)], "a int").select(F.lit(split.mark(2)).alias("m")).first()["m"] == at(12)
+
+
+def test_links_are_found_without_pairs(spark, tmp_path):
+    # brute force over all pairs of one amount, with every kind of signal
+    rng = random.Random(5)
+    refs = [None, "REF001", "REF0011", "REF00112", "REF", "OTHER01"]
+    rows = [(rng.random() < 0.5, f"m{k}", rng.choice("ABCD"), rng.randrange(150), rng.choice(refs), rng.choice([None] * 9 + ["A"]), rng.random() < 0.05, rng.random() < 0.2, False) for k in range(120)]
+    related = lambda x, y: x is not None and y is not None and (x == y or min(len(x), len(y)) >= 6 and (x.startswith(y) or y.startswith(x)))
+    signal = lambda d, c: related(d[4], c[4]) or d[5] == c[2] or c[5] == d[2] or c[6] or d[7] and c[7]
+    pairs = [(d, c) for d in rows if d[0] for c in rows if not c[0] and d[2] != c[2] and abs(d[3] - c[3]) <= 3 and signal(d, c)]
+    once = lambda x: sum(x in p for p in pairs) == 1
+    found = transfer_stream.SolePairs(3)._links(rows, None, 10**12)
+    want = {(d[1], c[1]) for d, c in pairs if once(d) and once(c)}
+    assert {(d.id, c.id) for d, c, _ in found} == want and len(want) > 3
+    # nothing joins movements with movements, and 20,000 copies on either side take no 400 million pairs
+    spark.createDataFrame(movements(3, 4), SCHEMA).write.parquet(f"{tmp_path}/in")
+    links = transfer_stream.transfer_links(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+    assert "Join" not in links._jdf.queryExecution().analyzed().toString()
+    copies = [(k % 2 == 0, f"m{k}", f"a{k}", k % 5, "REF00001", None, False, False, False) for k in range(40_000)]
+    assert not list(transfer_stream.SolePairs(3)._links(copies, None, 10**12))
