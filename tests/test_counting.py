@@ -130,3 +130,10 @@ def test_a_hundred_thousand_equal_fees_of_a_day(spark):
     found = duplicates.prior_versions(many("n", "v").union(fixed), many("o", "w").union(one))
     assert found.where("ambiguous").count() == n
     assert [tuple(r) for r in found.where("NOT ambiguous").collect()] == [("p", "m", False)]
+
+
+def test_every_movement_has_its_class_and_partners(spark):
+    day = lambda k: dt.date(2026, 1, k)
+    rows = [(1, "A", day(1), -100), (2, "A", day(1), -100), (3, "B", day(2), 100), (4, "C", day(4), 100), (5, "A", day(3), 100), (6, "B", day(20), 100), (7, "B", None, 100), (8, "B", day(2), 0), (9, None, day(2), -100)]
+    found = transfers.partner_counts(spark.createDataFrame(rows, "transaction_id long, account_id string, date_op date, amount_minor long"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 4, 2), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)}
