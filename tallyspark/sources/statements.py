@@ -108,19 +108,27 @@ def parse_xlsx(content: bytes) -> dict:
     return {"method": "xlsx", "meta": meta, "rows": rows, "warnings": warnings}
 
 
+#: Parsed rows and files that a task's Python holds before it hands them on; a file is one row of the result, so one file may have more.
+_PARSED_ROWS = 2_000
 PARSERS = {"csv": parse_csv, "xlsx": parse_xlsx, "xls": parse_xlsx}
 
 
 def _parse_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files come many at a time, but what was parsed is handed on as soon as it has ``_PARSED_ROWS`` rows."""
     for frame in frames:
-        out = []
+        out, n = [], 0
         for path, ext, digest, content in zip(frame["path"], frame["ext"], frame["file_sha256"], frame["content"]):
             try:
                 got = PARSERS[ext](content)
             except (KeyError, ImportError, ValueError, OSError) as e:
                 got = {"method": f"unreadable:{ext}", "meta": {}, "rows": [], "warnings": [f"{type(e).__name__}: {e}"]}
             out.append({"path": path, "file_sha256": digest, **got})
-        yield pd.DataFrame(out, columns=RAW.fieldNames())
+            n += 1 + len(got["rows"])
+            if n >= _PARSED_ROWS:
+                yield pd.DataFrame(out, columns=RAW.fieldNames())
+                out, n = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=RAW.fieldNames())
 
 
 def read_statements(files: DataFrame) -> DataFrame:

@@ -59,3 +59,15 @@ def test_records_of_several_lines_are_refused(spark, tmp_path):
     S.register(spark)
     with pytest.raises(Exception, match="several lines"):
         spark.read.format("statement_csv").load(str(tmp_path)).collect()
+
+
+def test_parsed_files_are_handed_on_in_bounded_frames():
+    import pandas as pd
+
+    from tallyspark.sources import statements
+
+    content = ("# account_id: a\nFecha,Concepto,Importe\n" + "2026-01-01,x,1.00\n" * 500).encode()
+    files = pd.DataFrame({"path": [f"/{k}.csv" for k in range(40)], "ext": ["csv"] * 40, "file_sha256": ["d"] * 40, "content": [content] * 40})
+    got = list(statements._parse_files(iter([files])))
+    assert [p for f in got for p in f["path"]] == list(files["path"]) and all(len(r) == 500 for f in got for r in f["rows"])
+    assert max(sum(map(len, f["rows"])) for f in got) <= 2_500
