@@ -20,6 +20,10 @@ from . import patterns as P
 from .registry import COLUMNS, parse_registered
 
 
+#: What a line is known by.
+_LINE = ("doc_id", "line_no")
+
+
 def _by_line():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
@@ -49,7 +53,14 @@ def _out(rows: DataFrame, **given: Column) -> DataFrame:
 
 
 def _dated(lines: DataFrame, pattern: str) -> DataFrame:
-    return lines.withColumn("s", F.trim("line")).where(F.col("s").rlike(pattern)).withColumn("date_raw", F.regexp_extract("s", pattern, 1))
+    """Lines that begin with a date; later filters stay above it, so that each line is searched once."""
+    rows = computed(lines.withColumn("s", F.trim("line")), *_LINE)
+    return computed(rows.withColumn("date_raw", F.regexp_extract("s", pattern, 1)), *_LINE).where("date_raw <> ''")
+
+
+def _months(start: str, end: str) -> Column:
+    """The first days of the months that a period touches."""
+    return F.sequence(F.trunc(start, "MM").cast("date"), F.trunc(end, "MM").cast("date"), F.expr("interval 1 month"))
 
 
 def _named_month(name: Column) -> Column:
@@ -112,24 +123,25 @@ def legacy_card(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def balance_column(lines: DataFrame, docs: DataFrame, dates: Column | None = None) -> DataFrame:
     """Unsigned amount and balance at the end of a dated line: the balance's change gives the sign and checks the amount."""
-    rows = _dated(lines, P.ANY_DATE).withColumn("_all", F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0))).where(F.size("_all") >= 2)
+    rows = computed(_dated(lines.select("doc_id", "line_no", "line"), P.ANY_DATE).withColumn("_all", F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0))), *_LINE).where(F.size("_all") >= 2)
     rows = rows.withColumn("balance_minor", cents(F.element_at("_all", -1))).withColumn("magnitude_minor", F.abs(cents(F.element_at("_all", -2)))).withColumn("_first", F.col("_all")[0])
     rows = rows.withColumn("description", _clean(_between("s", "date_raw", "_first")))
     rows = rows.join(docs.select("doc_id", "opening_minor", "period_start", "period_end"), "doc_id")
     done = signs_from_balance(rows, "doc_id", ["line_no"])
-    done = computed(done.withColumn("_day", normalize_date(F.regexp_replace("date_raw", r"\.", ""), F.year("period_end"))))
+    done = computed(done.withColumn("_day", normalize_date(F.regexp_replace("date_raw", r"\.", ""), F.year("period_end"))), *_LINE)
     return _out(done, date_op=resolve_year(F.col("_day"), F.col("date_raw"), F.col("period_start"), F.col("period_end")))
 
 
 def day_column(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Only the day is printed and thousands are set off by spaces: the day becomes a date if the period has one such day, then as ``balance_column``."""
-    period = docs.select("doc_id", F.col("period_start").alias("_ps"), F.col("period_end").alias("_pe"))
+    period = docs.select("doc_id", F.col("period_start").alias("_ps"), F.col("period_end").alias("_pe")).where("_ps <= _pe")
     amounts = F.regexp_extract_all("line", F.lit(P.SPACED_AMOUNT), F.lit(0))
-    mended = F.aggregate(amounts, F.col("line"), lambda text, a: F.replace(text, a, F.regexp_replace(F.regexp_replace(a, " ", ","), r"^\$,", "\\$ ")))
-    rows = lines.join(period, "doc_id").where("_ps <= _pe").withColumn("line", mended)
+    mended = F.aggregate(amounts, F.col("line"), lambda text, a: F.replace(text, a, F.regexp_replace(F.translate(a, " ", ","), r"^\$,", "\\$ ")))
+    rows = computed(lines.select(*_LINE, mended.alias("line")), *_LINE)
     day = F.nullif(F.regexp_extract("line", P.LONE_DAY, 1), F.lit("")).cast("int")
-    fits = F.filter(F.sequence("_ps", "_pe"), lambda d: F.dayofmonth(d) == F.col("_day"))
-    rows = rows.withColumn("_day", day).withColumn("_fits", F.when(F.col("_day").isNotNull() & (F.size(F.regexp_extract_all("line", F.lit(P.AMOUNT), F.lit(0))) >= 2), fits))
+    rows = computed(rows.withColumn("_day", day).withColumn("_many", F.size(F.regexp_extract_all("line", F.lit(P.AMOUNT), F.lit(0))) >= 2), *_LINE).join(period, "doc_id")
+    fits = F.filter(F.transform(_months("_ps", "_pe"), lambda m: F.when(F.col("_day").between(1, F.dayofmonth(F.last_day(m))), F.date_add(m, F.col("_day") - 1))), lambda d: d.between(F.col("_ps"), F.col("_pe")))
+    rows = computed(rows.withColumn("_fits", F.when(F.col("_day").isNotNull() & F.col("_many"), fits)), *_LINE)
     rest = F.expr("substring(line, length(regexp_extract(line, '^\\\\s*[0-9]{1,2}', 0)) + 1)")
     dated = F.when(F.size("_fits") == 1, F.concat(F.date_format(F.col("_fits")[0], "yyyy-MM-dd"), rest)).when(F.size("_fits") != 1, F.concat(F.lit("00-00-00"), rest)).otherwise(F.col("line"))
     return balance_column(rows.select("doc_id", "line_no", dated.alias("line")), docs)
