@@ -80,7 +80,7 @@ def rejoin_split_dates(lines: DataFrame) -> DataFrame:
     texted = F.col("s").rlike(P.DAY_MONTH_TEXT) & _named_month(F.regexp_extract("s", P.DAY_MONTH_TEXT, 2)) & ~F.col("s").rlike(P.FULL_DATE) & ~rest.rlike(P.SIGNED) & F.col("s1").rlike(P.SIGNED_ALONE) & F.col("s2").rlike(P.YEAR_TEXT)
     joined = F.when(plain, F.concat_ws(" ", "s", F.col("s2"), F.col("s1"))).when(
         texted, F.concat_ws(" ", F.regexp_extract("s", P.DAY_MONTH_TEXT, 1), F.regexp_extract("s2", P.YEAR_TEXT, 1), rest, F.nullif(F.regexp_extract("s2", P.YEAR_TEXT, 2), F.lit("")), F.col("s1")))
-    near = near.withColumn("joined", F.coalesce(joined, F.lit(None).cast("string")))
+    near = computed(near.select(*_LINE, "line", joined.alias("joined")), *_LINE)
     near = near.withColumn("_kept", F.col("joined").isNotNull())  # neither an amount nor a year begins another triple, so none overlap
     eaten = F.coalesce(F.lag("_kept", 1).over(_by_line()), F.lit(False)) | F.coalesce(F.lag("_kept", 2).over(_by_line()), F.lit(False))
     near = near.withColumn("_eaten", eaten & ~F.col("_kept"))
@@ -93,14 +93,14 @@ def signed(lines: DataFrame) -> DataFrame:
     text = F.when(F.trim("line") != "", F.trim("line"))
     before = F.last(text, ignorenulls=True).over(_by_line().rowsBetween(Window.unboundedPreceding, -1))
     rows = _dated(lines.withColumn("_above", F.lag("line").over(_by_line())).withColumn("_before", before), P.FULL_DATE)
-    rows = rows.withColumn("_all", F.regexp_extract_all("s", F.lit(P.SIGNED), F.lit(0)))
+    rows = computed(rows.withColumn("_all", F.regexp_extract_all("s", F.lit(P.SIGNED), F.lit(0))), *_LINE)
     alone = F.when(F.col("_above").rlike(P.SIGNED_ALONE), F.trim("_above"))
     rows = rows.withColumn("_token", F.when(F.size("_all") > 0, F.element_at("_all", -1)).otherwise(alone)).where("_token IS NOT NULL")
     rows = rows.withColumn("_first", F.when(F.size("_all") > 0, F.col("_all")[0]).otherwise(F.lit("\x00")))
     said = F.regexp_replace(_between("s", "date_raw", "_first"), P.SECOND_DATE, "")
     said = _clean(F.regexp_replace(said, P.TAX_SUFFIX, ""))
     loose = F.when(~F.col("_before").rlike(P.FULL_DATE) & ~F.col("_before").rlike(P.SIGNED) & ~F.col("_before").rlike(P.TABLE_HEADER), F.col("_before"))
-    rows = rows.withColumn("description", F.coalesce(F.nullif(said, F.lit("")), loose, F.lit("")))
+    rows = computed(rows.withColumn("description", F.coalesce(F.nullif(said, F.lit("")), loose, F.lit(""))), *_LINE)
     rows = rows.where(~F.col("description").rlike(P.NOT_A_MOVEMENT))
     return _out(rows, date_op=normalize_date(F.regexp_replace("date_raw", r"\.", "")), amount_minor=cents(F.regexp_replace("_token", r"\s", "")))
 
@@ -149,7 +149,8 @@ def day_column(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def segments(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Debit account: amount first, running balance on some lines; signs solve each stretch between balances, undated lines below are detail."""
-    rows = lines.withColumn("s", F.trim("line")).withColumn("date_raw", F.regexp_extract("s", P.DAY_MONTH, 1)).withColumn("_all", F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0)))
+    rows = computed(lines.select(*_LINE, F.trim("line").alias("s")), *_LINE)
+    rows = computed(rows.withColumn("date_raw", F.regexp_extract("s", P.DAY_MONTH, 1)).withColumn("_all", F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0))), *_LINE)
     moves = (F.col("date_raw") != "") & (F.size("_all") > 0)
     rows = rows.withColumn("_move", moves).withColumn("_stop", ~F.col("_move") & F.col("s").rlike(P.TABLE_END))
     group = F.count(F.when(F.col("_move") | F.col("_stop"), 1)).over(_by_line())
@@ -193,7 +194,8 @@ def two_dates(lines: DataFrame) -> DataFrame:
 
 def charges(lines: DataFrame) -> DataFrame:
     """Revolving card: charges raise the debt, payments and refunds lower it; a late-payment fee is a charge."""
-    rows = _dated(lines, P.CARD_DATE).withColumn("_all", F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0))).where(F.size("_all") > 0).withColumn("_first", F.col("_all")[0])
+    rows = _dated(lines, P.CARD_DATE).withColumn("_all", F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0)))
+    rows = computed(rows, *_LINE).where(F.size("_all") > 0).withColumn("_first", F.col("_all")[0])
     minus = F.trim("_first").rlike(r"^[(-]") | (F.col("s").rlike(P.PAYMENT_WORDS) & ~F.col("s").rlike(P.LATE_FEE))
     size = F.abs(cents(F.col("_first")))
     return _out(rows, date_op=normalize_date(F.regexp_replace("date_raw", r"\.", "")), description=_clean(_between("s", "date_raw", "_first")), amount_minor=F.when(minus, -size).otherwise(size))
@@ -246,6 +248,12 @@ def warnings(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None
     return told.unionByName(parse_registered(lines, docs, grammars)[1]) if grammars else told
 
 
+def _dealt(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Lines with what decides about their grammar, shuffled once: the grammars' conditions stay above, so they all read the same exchange."""
+    rows = computed(lines.select(*_LINE, "line").join(docs.select("doc_id", "bank", "_card").distinct(), "doc_id"))
+    return computed(rows.where("doc_id IS NOT NULL").repartition("doc_id"), "doc_id")
+
+
 def parse_lines(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None = None) -> DataFrame:
     """Movements of all documents, each by its bank's grammar; those of unknown banks by the generic one.
 
@@ -256,11 +264,12 @@ def parse_lines(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | No
     """
     docs = computed(docs)
     tagged = docs.withColumn("_card", F.coalesce(F.col("text").rlike(P.CARD_LAYOUT), F.lit(False)))
-    of = lambda condition: lines.join(tagged.where(condition).select("doc_id"), "doc_id", "left_semi")
+    dealt = _dealt(lines, tagged)
+    of = lambda condition: dealt.where(condition).select(*_LINE, "line")
     explicit, loose = signed(of("bank IN ('nu', 'uala')")), generic(of("bank IS NULL"))
-    found = explicit.select("doc_id").union(loose.select("doc_id")).distinct()
+    found = signed(of("bank = 'nu'")).select("doc_id").union(loose.select("doc_id")).distinct()
     silent = tagged.where("bank = 'nu' OR bank IS NULL").join(found, "doc_id", "left_anti")
-    older = legacy_card(lines.join(silent.select("doc_id"), "doc_id", "left_semi"), silent)
+    older = legacy_card(of("bank = 'nu' OR bank IS NULL").join(silent.select("doc_id"), "doc_id", "left_semi"), silent)
     parts = [explicit, loose, older, balance_column(of("bank = 'gbm'"), docs), day_column(of("bank = 'hsbc'"), docs), charges(of("bank = 'vexi'")), segments(of("bank = 'bbva' AND NOT _card"), docs), two_dates(of("bank = 'bbva' AND _card"))]
     out = parts[0]
     for p in parts[1:]:

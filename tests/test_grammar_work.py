@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tallyspark.grammars import issuers
 
 D = dt.date
@@ -35,3 +37,19 @@ def test_days_of_periods_over_months(spark):
         return inside[0] if len(inside) == 1 else None
 
     assert got == {(n, k): want(a, b, k) for n, a, b in periods[:3] for k in days}
+
+
+def test_lines_are_dealt_to_the_grammars_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(line):
+        seen.add(1)
+        return line
+
+    said = {"nu": "10 ENE 2026 Tienda +$1.00", "gbm": "01/01/2026 Deposito 5.00 15.00", "vexi": "05/01/2026 Cafe $50.00", "bbva": "19/DIC 19/DIC SPEI 1.00", None: "2026-01-06 Otra 1.50", "other": "x"}
+    docs = spark.createDataFrame([(str(b), b) for b in said], "doc_id string, bank string").selectExpr("*", "'' AS text", "DATE'2025-12-19' AS period_start", "DATE'2026-01-18' AS period_end", "1000L AS opening_minor", "900L AS closing_minor")
+    lines = spark.createDataFrame([(str(b), 1, x) for b, x in said.items()], "doc_id string, line_no int, line string").repartition(2).withColumn("line", counted("line"))
+    got = {r["doc_id"]: r["amount_minor"] for r in issuers.parse_lines(lines, docs).collect()}
+    assert got == {"nu": 100, "gbm": 500, "vexi": 5000, "bbva": -100, "None": 150}
+    assert seen.value == len(said)
