@@ -17,7 +17,7 @@ from ..functions.money import with_parsed_amount
 from ..operators.balances import signs_from_balance, solve_segments, with_segments
 from ..session import computed
 from . import patterns as P
-from .registry import COLUMNS, parse_registered
+from .registry import COLUMNS, MOVES, parse_registered, read_registered
 
 
 #: What a line is known by.
@@ -215,6 +215,15 @@ def generic_balances(docs: DataFrame) -> DataFrame:
     return docs.withColumn("opening_raw", found(P.GENERIC_OPENING)).withColumn("closing_raw", found(P.GENERIC_CLOSING))
 
 
+_BUILT_IN = ("nu", "uala", "gbm", "hsbc", "vexi", "bbva")
+
+
+def _unregistered(docs: DataFrame, grammars: dict[str, str] | None) -> DataFrame:
+    """Without the documents that only registered grammars read."""
+    own = [b for b in grammars or () if b not in _BUILT_IN]
+    return docs.where(F.col("bank").isNull() | ~F.col("bank").isin(own)) if own else docs
+
+
 def warnings(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None = None) -> DataFrame:
     """``(doc_id, line_no, warning)``: lines that look like movements but give none, or that were read with help.
 
@@ -223,7 +232,7 @@ def warnings(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None
     their date, dated lines of unknown issuers, and payments that differ from the
     declared total (without a line number).
     """
-    docs = computed(docs)
+    given, docs = docs, computed(_unregistered(docs, grammars))
     rows = lines.join(docs.select("doc_id", "bank", "period_start", "period_end"), "doc_id").withColumn("s", F.trim("line"))
     n_amounts = F.size(F.regexp_extract_all("s", F.lit(P.AMOUNT), F.lit(0)))
     above = F.lag("line").over(_by_line())
@@ -245,7 +254,7 @@ def warnings(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | None
     declared = docs.where("bank = 'nu'").select("doc_id", cents(F.regexp_extract("text", P.LEGACY_TOTAL, 1)).alias("_declared"))
     off = declared.join(paid, "doc_id").where("_declared <> _paid").select("doc_id", F.lit(None).cast("int").alias("line_no"), F.lit("payments differ from the declared total").alias("warning"))
     told = by_line.unionByName(off)
-    return told.unionByName(parse_registered(lines, docs, grammars)[1]) if grammars else told
+    return told.unionByName(parse_registered(lines, given, grammars)[1]) if grammars else told
 
 
 def _dealt(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -262,7 +271,7 @@ def parse_lines(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | No
     The older card layout is tried for documents of its issuer, or of none, in
     which the signed or the generic grammar finds nothing.
     """
-    docs = computed(docs)
+    given, docs = docs, computed(_unregistered(docs, grammars))
     tagged = docs.withColumn("_card", F.coalesce(F.col("text").rlike(P.CARD_LAYOUT), F.lit(False)))
     dealt = _dealt(lines, tagged)
     of = lambda condition: dealt.where(condition).select(*_LINE, "line")
@@ -274,7 +283,20 @@ def parse_lines(lines: DataFrame, docs: DataFrame, grammars: dict[str, str] | No
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.unionByName(parse_registered(lines, docs, grammars)[0]) if grammars else out
+    return out.unionByName(parse_registered(lines, given, grammars)[0]) if grammars else out
+
+
+def read_lines(lines: DataFrame, docs: DataFrame, grammars: dict[str, str]) -> DataFrame:
+    """``parse_lines`` and ``warnings`` as one table, the columns of movements and ``warning``: registered grammars read their documents once for both."""
+    rest = _unregistered(docs, grammars)
+    blank = lambda c: F.lit(None).cast("date" if c.startswith("date_") and c != "date_raw" else "long" if c.endswith("_minor") else "boolean" if c == "doubtful" else "string")
+    said = lambda own: [F.col(c) if c in ("doc_id", "line_no") else blank(c) for c in own]
+    moved = parse_lines(lines, rest).withColumn("warning", F.lit(None).cast("string"))
+    warned = warnings(lines, rest).select(*[c.alias(n) for n, c in zip(COLUMNS, said(COLUMNS))], "warning")
+    movement = F.when(F.expr(MOVES), F.struct(*COLUMNS, F.lit(None).cast("string").alias("warning")))
+    warning = F.when(F.col("warning").isNotNull(), F.struct(*[c.alias(n) for n, c in zip(COLUMNS, said(COLUMNS))], "warning"))
+    own = read_registered(lines, docs, grammars).select(F.inline(F.array_compact(F.array(movement, warning))))
+    return moved.unionByName(warned).unionByName(own)
 
 
 def summaries(docs: DataFrame) -> DataFrame:

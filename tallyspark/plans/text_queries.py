@@ -13,6 +13,7 @@ from ..functions import money, text
 from ..grammars import issuers
 from ..grammars.registry import LineGrammar, Movement, register_grammar
 from ..operators import consolidated, duplicates, identify, transfers, validate
+from ..session import bounded
 from ..sources import statements
 from .registry import query
 from .views import DECLARED, TXN, declared, table, txn
@@ -31,7 +32,7 @@ def _amount(minor: Column) -> Column:
 def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``txn`` with a number in its statement, its amount, sign, day and month as printed, and the balance after it."""
     order = Window.partitionBy("statement_id").orderBy("ts", "transaction_id")
-    rows = txn(spark, sf_dir).withColumn("k", F.row_number().over(order).cast("long")).withColumn("size", F.abs("amount_minor"))
+    rows = bounded(txn(spark, sf_dir), "statement_id").withColumn("k", F.row_number().over(order).cast("long")).withColumn("size", F.abs("amount_minor"))
     balance = _OPENING + F.sum("amount_minor").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumns({
         "shown": _amount(F.col("size")), "sign": F.when(F.col("amount_minor") < 0, "-").otherwise("+"), "dd": F.date_format("date_op", "dd"), "yyyy": F.date_format("date_op", "yyyy"),
@@ -108,9 +109,8 @@ def registered_grammar(spark, sf_dir):
     lines = _lines(rows, _say(">> ", F.date_format("date_op", "yyyy-MM-dd"), " movimiento {k}"), F.when(k != 3, _say("{sign}${shown}")))
     docs = _docs(rows, "dosrenglones")
     grammars = {"dosrenglones": register_grammar(spark, "dosrenglones", TwoLines)}
-    found = issuers.parse_lines(lines, docs, grammars).select("doc_id", "line_no", F.date_format("date_op", "yyyy-MM-dd").alias("day"), "description", "amount_minor", F.lit(None).cast("string").alias("warning"))
-    said = issuers.warnings(lines, docs, grammars).select("doc_id", "line_no", F.lit(None).cast("string").alias("day"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("long").alias("amount_minor"), "warning")
-    return _told(found.unionByName(said), "day", "description", "amount_minor", "warning")
+    read = issuers.read_lines(lines, docs, grammars).withColumn("day", F.date_format("date_op", "yyyy-MM-dd"))
+    return _told(read, "day", "description", "amount_minor", "warning")
 
 
 _SPLIT = """CASE WHEN amount_minor < 0 THEN '-' ELSE '+' END || '$' || shown"""
