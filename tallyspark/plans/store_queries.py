@@ -185,7 +185,8 @@ def seal_staging(spark, sf_dir):
     """The seal does not depend on the order of rows; another key or row changes it; a changed staging is not loaded."""
     store, staged = _store(spark), _staged(spark, sf_dir)
     shuffled = Staged(staged.statements.repartition(3), staged.rows.orderBy(F.desc("transaction_id")), staged.links)
-    sealed = store.seal(staged, _KEY)
+    contents = store.contents(staged)
+    sealed = store.sign(contents, _KEY)
     more = Staged(staged.statements, staged.rows.withColumn("amount_minor", F.when(F.col("transaction_id") == staged.rows.first()["transaction_id"], 1).otherwise(F.col("amount_minor") * 1)), staged.links)
     staging.save(store, "r1", staged, _KEY)
     staged.rows.limit(1).write.mode("append").parquet(f"{store.root}/staging/run_id=r1/rows")
@@ -194,7 +195,7 @@ def seal_staging(spark, sf_dir):
         refused = False
     except PermissionError:
         refused = True
-    return spark.createDataFrame([(store.seal(shuffled, _KEY) == sealed, store.seal(staged, b"another") != sealed, store.seal(more, _KEY) != sealed, refused)], "same boolean, other_key boolean, other_rows boolean, refused boolean")
+    return spark.createDataFrame([(store.seal(shuffled, _KEY) == sealed, store.sign(contents, b"another") != sealed, store.seal(more, _KEY) != sealed, refused)], "same boolean, other_key boolean, other_rows boolean, refused boolean")
 
 
 @query(f"""WITH {TXN} SELECT transaction_id, statement_id, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY date_op, lpad(CAST(transaction_id AS VARCHAR), 9, '0')) AS k FROM txn) WHERE k <= 12""")

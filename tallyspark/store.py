@@ -79,18 +79,19 @@ def byte_digests(spark: SparkSession, files: list[tuple[str, str, int]]) -> dict
 def content_digest(df: DataFrame) -> str:
     """SHA-256 over the rows of a table, whatever their order: sorted row hashes are hashed group by group, in as many rounds as it takes."""
     cols = sorted(df.columns)
-    rows = durable(df.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {"ignoreNullFields": "false"}), 256).alias("h")))
+    rows = durable(df.select(F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {"ignoreNullFields": "false"}), 256)).alias("h")))
+    listed = F.lower(F.hex(F.array_join(F.array_sort(F.collect_list("h")).cast("array<string>"), "")))  # hashes travel as bytes and are hashed as text
     n, rounds = rows.count(), 0
     total = n
     while n > 1:
         depth = 0
         while n > _FAN * 16**depth:
             depth += 1
-        rows = rows.groupBy(F.substring("h", 1, depth).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).select("h")
+        rows = rows.groupBy(F.substring(F.hex("h"), 1, depth).alias("g")).agg(F.unhex(F.sha2(listed, 256)).alias("h")).select("h")
         rows, rounds = durable(rows), rounds + 1
         n = rows.count()
     last = rows.first()
-    return hashlib.sha256(f"{','.join(cols)}|{total}|{last['h'] if last else ''}".encode()).hexdigest()
+    return hashlib.sha256(f"{','.join(cols)}|{total}|{last['h'].hex() if last else ''}".encode()).hexdigest()
 
 
 class Busy(RuntimeError):
@@ -226,12 +227,20 @@ class Store:
             return None
         return last.where("value = 'closed'").select(F.split("key", r"\|")[0].alias("account_id"), F.split("key", r"\|")[1].alias("month"))
 
-    def seal(self, staged: Staged, key: bytes) -> str:
-        """HMAC-SHA256 of a staged run's contents, whatever the order of its rows."""
+    def contents(self, staged: Staged) -> str:
+        """What a seal is made of, whatever the order of rows; for several keys it is read once."""
+        parts = [staged.statements, staged.rows, staged.links, *([staged.corrections] if staged.corrections is not None else [])]
+        return "\n".join(content_digest(df) for df in parts)
+
+    def sign(self, contents: str, key: bytes) -> str:
         if not key:
             raise ValueError("a seal needs a key")
-        parts = [staged.statements, staged.rows, staged.links, *([staged.corrections] if staged.corrections is not None else [])]
-        return hmac.new(key, "\n".join(content_digest(df) for df in parts).encode(), hashlib.sha256).hexdigest()
+        return hmac.new(key, contents.encode(), hashlib.sha256).hexdigest()
+
+    def seal(self, staged: Staged, key: bytes) -> str:
+        """HMAC-SHA256 of a staged run's contents."""
+        self.sign("", key)  # a missing key is told before anything is read
+        return self.sign(self.contents(staged), key)
 
     def _counts(self, run_id: str) -> dict:
         count = lambda name: df.count() if (df := self.table(name, [run_id])) is not None else 0
