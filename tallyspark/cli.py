@@ -76,6 +76,7 @@ def run(args: argparse.Namespace, spark=None) -> object:
     store = Store(spark, args.root)
     config, key = load_config(spark, args.config)
     fresh = lambda kind: f"{kind}_{uuid.uuid4().hex[:12]}"
+    listed = lambda manifest: manifest | {"states": staging.states(store, manifest["run_id"])}
     if args.command in ("commit", "rollback", "resolve") and not args.confirm:
         raise SystemExit(f"{args.command} changes the ledger: give --confirm")
     match args.command:
@@ -84,19 +85,19 @@ def run(args: argparse.Namespace, spark=None) -> object:
             run_id = args.run or fresh("run")
             staged = ingest.build(files, config, store.transactions())
             manifest = staging.save(store, run_id, staged, key)
-            if args.commit and set(manifest["states"].values()) == {"READY_TO_COMMIT"}:
+            if args.commit and set(manifest["state_counts"]) == {"READY_TO_COMMIT"}:
                 manifest["committed"] = store.commit(run_id, staging.load(store, run_id, key), config, files_of(spark, args.folder))
-            return manifest
+            return listed(manifest)
         case "review":
             return [r.asDict() for r in staging.preview(staging.load(store, args.run, key)).collect()]
         case "correct":
             fixes = [tuple(c.split("=", 2)) for c in args.corrections]  # transaction=field=value
             new = fresh("run")
             manifest, rejected = staging.correct(store, args.run, staging.load(store, args.run, key), fixes, key, new)
-            return manifest | {"rejected": rejected}
+            return listed(manifest) | {"rejected": rejected}
         case "approve":
             new = fresh("run")
-            return staging.save(store, new, approve(staging.load(store, args.run, key), args.statement, args.reason), key)
+            return listed(staging.save(store, new, approve(staging.load(store, args.run, key), args.statement, args.reason), key))
         case "commit":
             return store.commit(args.run, staging.load(store, args.run, key), config)
         case "rollback":

@@ -21,14 +21,15 @@ def _path(store: Store, run_id: str, name: str) -> str:
 
 
 def save(store: Store, run_id: str, staged: Staged, key: bytes, overwrite: bool = False) -> dict:
-    """Writes a run and its manifest: the seal, a summary and the state of each statement."""
+    """Writes a run and its manifest: the seal, a summary and how many statements have which state; ``states`` tells each one's."""
     for name in PARTS:
         if getattr(staged, name) is not None:
             getattr(staged, name).write.mode("overwrite" if overwrite else "errorifexists").parquet(_path(store, run_id, name))
     kept = _read(store, run_id)
     summary = ledger.run_summary(kept.rows).first().asDict()
-    states = {r["statement_id"]: r["state"] for r in kept.statements.select("statement_id", "state").collect()}  # one per file
-    manifest = {"run_id": run_id, "seal": store.seal(kept, key), "summary": summary, "states": states}
+    counted = kept.statements.groupBy(F.coalesce("state", F.lit("none")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["state"]: r["n"] for r in counted.collect()}  # a row per state
+    manifest = {"run_id": run_id, "seal": store.seal(kept, key), "summary": summary, "state_counts": counts}
     artifacts(store, run_id, kept)
     store.write_text(_path(store, run_id, "manifest.json"), json.dumps(manifest, default=str, sort_keys=True))
     return manifest
@@ -53,6 +54,11 @@ def read_manifest(store: Store, run_id: str) -> dict:
     return json.loads(store.read_text(_path(store, run_id, "manifest.json")))
 
 
+def states(store: Store, run_id: str) -> dict[str, str]:
+    """The state of each statement of a run, for an answer that lists them all; nothing else holds them in the driver."""
+    return {r["statement_id"]: r["state"] for r in _read(store, run_id).statements.select("statement_id", "state").toLocalIterator()}
+
+
 def load(store: Store, run_id: str, key: bytes) -> Staged:
     """A staged run, refused if it was changed since it was sealed."""
     manifest = read_manifest(store, run_id)

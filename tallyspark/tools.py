@@ -90,10 +90,13 @@ class Ledger:
         files = statements.discover(self.spark, f"file://{folder}")
         run_id = fresh("run")
         manifest = staging.save(self.store, run_id, ingest.build(statements.read_statements(files), self.config, self.store.transactions()), self.key)
-        return {k: v for k, v in manifest.items() if k != "seal"} | {"period": period}
+        return self._told(manifest) | {"period": period}
 
     def get_run(self, run_id: str) -> dict:
-        return {k: v for k, v in staging.read_manifest(self.store, run_id).items() if k != "seal"}
+        return self._told(staging.read_manifest(self.store, run_id))
+
+    def _told(self, manifest: dict) -> dict:
+        return {k: v for k, v in manifest.items() if k != "seal"} | {"states": staging.states(self.store, manifest["run_id"])}
 
     def review_queue(self, run_id: str) -> dict:
         waiting = self._staged(run_id).statements.where("state <> 'READY_TO_COMMIT'").select("statement_id", "account_id", "state", "result", "blocks").collect()  # one per file
